@@ -6,13 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as exact
-from . import packing, sharding, token_files, tokens
+from . import packing, sharding, simhash, substring_dedup, token_files, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(_documents(spark, sf_dir), 3, 3)
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_documents(spark, sf_dir), 35)
+
+
 def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_documents(spark, sf_dir), 24)
 
@@ -33,5 +41,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
-QUERIES = {f.__name__: f for f in (op5_jump_sharding, op7_bpe_codec, op8_packing, op9_exact_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op4_substring_dedup, op5_jump_sharding, op7_bpe_codec, op8_packing, op9_exact_dedup, op10_token_files)}
 ORACLES = {"op9_exact_dedup": exact.ORACLE_SQL}
