@@ -6,17 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as exact
-from . import packing, sharding, simhash, substring_dedup, token_files, tokens
+from . import language_id, licenses, packing, sharding, simhash, substring_dedup, token_files, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(_documents(spark, sf_dir))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_documents(spark, sf_dir), 3, 3)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_documents(spark, sf_dir))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_documents(spark, sf_dir), 35)
 
@@ -41,5 +49,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_substring_dedup, op5_jump_sharding, op7_bpe_codec, op8_packing, op9_exact_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_licenses, op4_substring_dedup, op5_jump_sharding, op7_bpe_codec, op8_packing, op9_exact_dedup, op10_token_files)}
 ORACLES = {"op9_exact_dedup": exact.ORACLE_SQL}
