@@ -1,12 +1,77 @@
-"""The corpus pipeline: STAGES over the documents table."""
+"""The corpus pipeline: language ID, exact dedup, near dedup, substring dedup, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
+stage's docs. A stage starts by dropping scratch tables of earlier ones, whose results have been written by then.
+All stages but the last return the columns of their input.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorewell.llm import exact_dedup, language_id, packing, simhash, substring_dedup
+from lorewell.llm.common import drop_path, release_scratch, scratch_path
+
+#: Share of a text's n-grams that must belong to its language. Texts below are in none of the learned languages.
+LEAST_SCORE = 0.3
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language: texts without letters and texts that match none go."""
+    release_scratch(spark)
+    filters = language_id.learn(docs.where(~language_id.held_out()))
+    named = language_id.identify(docs, filters, keep=tuple(docs.columns))
+    return named.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each distinct text, the one with the largest doc_id."""
+    release_scratch(spark)
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by similarity 0.8 or more over five-word shingles, the smallest doc_id."""
+    release_scratch(spark)
+    return simhash.drop_near_copies(docs, 5, 0.8)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 35 words and more that stand elsewhere too; what is left without words goes."""
+    release_scratch(spark)
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    kept = substring_dedup.remove_repeats(docs, 35, carry=carry, with_text=True).where("n_removed < n_words")
+    return kept.select(*[F.col("kept_text").alias("text") if c == "text" else F.length("kept_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences of 1024 ids."""
+    release_scratch(spark)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, 0)
+
 
-STAGES: list = []
+STAGES = [
+    ("language id", keep_languages),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("substring dedup", drop_repeated_passages),
+    ("packing", pack),
+]
+#: SQL expresses neither the language filters nor the tokenizer; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents table. The last one's result reads only its own scratch table."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, name.replace(" ", "-"), lasting=True)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            drop_path(spark, before)
+        docs, before = spark.read.parquet(path), path
+    result = STAGES[-1][1](spark, docs, sf_dir)
+    drop_path(spark, before)
+    return result

@@ -33,19 +33,23 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder. It stays until release_scratch()."""
+def scratch_path(spark: SparkSession, what: str, lasting: bool = False) -> str:
+    """A new path in the shared folder. It stays until release_scratch(), or until the caller drops a lasting one."""
     path = f"{shared_folder(spark)}/lorewell-{what}-{uuid.uuid4().hex}"
-    _scratch.append(path)
+    if not lasting:
+        _scratch.append(path)
     return path
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Delete the scratch tables made so far. Call it once results that read them have been written."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(conf).delete(path, True)
+        drop_path(spark, _scratch.pop())
 
 
 def cut_lineage(df: DataFrame, what: str) -> DataFrame:

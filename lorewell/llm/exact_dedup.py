@@ -60,6 +60,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, least_hot: int = LEAST_HOT) -> DataFrame:
+    """The input with one row of each distinct text: the one with the largest id, of rows repeated with that id the
+    largest by the other columns. All columns are kept; the three stages are those above."""
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    keyed = docs.select(F.struct(F.col(id_col), *rest).alias("_row"), F.col(text_col).isNotNull().alias("_known"), whole_text(text_col).alias("_text")).withColumn("_digest", F.unhex(F.sha2("_text", 256)))
+    least = max(least_hot, docs.count() // HOT_SHARE)
+    hot = [r[0] for r in keyed.groupBy("_digest").count().where(F.col("count") > least).select("_digest").collect()]
+    is_hot = F.col("_digest").isin(hot) if hot else F.lit(False)
+    best = F.max(F.struct("_row", "_known")).alias("_best")
+    cold = keyed.where(~is_hot).groupBy("_digest", "_text").agg(best)
+    if hot:
+        salted = keyed.where(is_hot).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts))).groupBy("_digest", "_salt", "_text").agg(best)
+        cold = cold.unionByName(salted.groupBy("_digest", "_text").agg(F.max("_best").alias("_best")))
+    text = F.when(F.col("_best._known"), F.col("_text")).alias(text_col)
+    return cold.select(*[text if c == text_col else F.col(f"_best._row.{c}").alias(c) for c in docs.columns])
+
+
 ORACLE_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

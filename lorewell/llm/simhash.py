@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
                 if sketch:
                     distinct = np.unique(h)
                     many.append(len(distinct))
-                    small.append(distinct[:sketch].view(np.int64))
+                    small.append((distinct[:sketch] ^ np.uint64(1 << 63)).view(np.int64))  # signed order is the hashes' order
             columns = [b.column(0), pa.array(fps, pa.int64())]
             if sketch:
                 columns += [pa.array(small, pa.list_(pa.int64())), pa.array(many, pa.int64())]
@@ -180,3 +180,78 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, id_co
     named = placed.join(least, "root").select("fp", "component_id", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"))
     salted = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
     return salted.join(named, ["fp", "_salt"]).select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _ring_chain(differ: Column, bits: int, segments: int = 8, lengths: int = 4) -> Column:
+    """Some chain of segments keeps its first l segments within l * bits / segments differing bits, l = 1 .. lengths."""
+    width = 64 // segments
+    counts = [F.bit_count(differ.bitwiseAND(F.lit(_signed(((1 << width) - 1) << width * i)).cast("long"))) for i in range(segments)]
+    some = F.lit(False)
+    for i in range(segments):
+        total, chain = F.lit(0), F.lit(True)
+        for length in range(1, lengths + 1):
+            total = total + counts[(i + length - 1) % segments]
+            chain = chain & (total <= length * bits // segments)
+        some = some | chain
+    return some
+
+
+def _meeting(rows: DataFrame, by: str, bits: int) -> DataFrame:
+    """Pairs (a, b) of rows (by, key, fp) that meet on ``by`` and pass the chains and the Hamming check."""
+    left = rows.select(by, F.col("key").alias("a"), F.col("fp").alias("fp_a"))
+    right = rows.select(by, F.col("key").alias("b"), F.col("fp").alias("fp_b"))
+    differ = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
+    return left.join(right, by).where(F.col("a") < F.col("b")).where(_ring_chain(differ, bits)).where(F.bit_count(differ) <= bits).select("a", "b")
+
+
+def _sized(rows: DataFrame, by: str, group: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups of 2 .. ``group`` rows, and rows of larger ones."""
+    sizes = rows.groupBy(by).agg(F.count("*").alias("_n")).where("_n > 1")
+    known = rows.join(sizes, by)
+    return known.where(F.col("_n") <= group).drop("_n"), known.where(F.col("_n") > group).drop("_n")
+
+
+def similar_pairs(sketches: DataFrame, similarity: float, radius: int = 24, group: int = GROUP, lookups: int = LOOKUPS) -> DataFrame:
+    """Verified pairs (a, b) of rows (key, fp, sketch, n_shingles) whose shingle sets have Jaccard similarity
+    ``similarity`` or more (exact up to SKETCH distinct shingles, estimated from the sketches beyond).
+
+    At 0.8 fingerprints differ in about 10 of 64 bits, too many for a segment to be equal, so rows meet on their
+    ``lookups`` smallest shingle hashes instead; chains with the wider radius prune before the Hamming check, and the
+    sets decide. Where more than ``group`` rows meet on one hash, they meet on pairs of their hashes; where more than
+    that agree in a pair too, each is compared with the group's first row and with the next one in order.
+    Fingerprints within BITS bits are candidates as well.
+    """
+    looked = sketches.select("key", "fp", F.explode(F.slice("sketch", 1, lookups)).alias("h"))
+    few, many = _sized(looked, "h", group)
+    combos = many.groupBy("key", "fp").agg(F.sort_array(F.collect_set("h")).alias("hs"))
+    twice = F.expr("flatten(transform(hs, (x, i) -> transform(slice(hs, i + 2, size(hs)), y -> xxhash64(x, y))))")
+    few2, many2 = _sized(combos.where(F.size("hs") > 1).select("key", "fp", F.explode(twice).alias("h")), "h", group)
+    first = many2.groupBy("h").agg(F.min("key").alias("a"))
+    star = many2.join(first, "h").where("key <> a").select("a", F.col("key").alias("b"))
+    following = many2.withColumn("b", F.lead("key").over(Window.partitionBy("h").orderBy("fp", "key"))).where("b IS NOT NULL").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
+    classes = sketches.groupBy("fp").agg(F.min("key").alias("key"))
+    same = sketches.select("fp", F.col("key").alias("b")).join(classes, "fp").where("key <> b").select(F.col("key").alias("a"), "b")
+    close = links(classes.select("fp")).join(classes.select(F.col("fp").alias("a"), F.col("key").alias("ka")), "a").join(classes.select(F.col("fp").alias("b"), F.col("key").alias("kb")), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    pairs = _meeting(few, "h", radius).unionByName(_meeting(few2, "h", radius)).unionByName(star).unionByName(following).unionByName(same).unionByName(close).distinct()
+    side = lambda x: sketches.select(F.col("key").alias(x), F.col("sketch").alias(f"s_{x}"), F.col("n_shingles").alias(f"n_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared = F.array_intersect("s_a", "s_b")
+    whole = (F.col("n_a") <= SKETCH) & (F.col("n_b") <= SKETCH)
+    smallest = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, SKETCH)
+    alike = F.when(whole, F.size(shared) / (F.col("n_a") + F.col("n_b") - F.size(shared))).otherwise(F.size(F.array_intersect(smallest, shared)) / F.size(smallest))
+    return both.where(alike >= similarity - 1e-9).select("a", "b")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input without near copies: of each group of linked rows the one with the smallest id stays, with all of
+    its columns. Texts without words are linked to none. Rows repeated with id and text count as one group."""
+    keyed = docs.withColumn("_key", row_key(id_col, text_col))
+    # a row's key and id travel through the fingerprints as one
+    packed = keyed.withColumn("_both", F.struct(F.col("_key").alias("key"), F.col(id_col).cast("long").alias("id")))
+    found = fingerprints(packed, shingle, "_both", text_col, SKETCH).where("n_shingles > 0")
+    sketches = cut_lineage(found.select("_id.key", "_id.id", "fp", "sketch", "n_shingles"), "sketches")
+    roots = components(similar_pairs(sketches.select("key", "fp", "sketch", "n_shingles").dropDuplicates(["key"]), similarity))
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(sketches.select(F.col("key").alias("node"), "id"), "node")
+    stays = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "node")).alias("s"))
+    gone = members.join(stays, "root").where(F.col("node") != F.col("s.node")).select(F.col("node").alias("_key")).distinct()
+    return keyed.join(gone, "_key", "left_anti").drop("_key")

@@ -204,8 +204,9 @@ def _kept_bytes(raw: np.ndarray, w: Words, doc: int, gone: np.ndarray) -> tuple[
     return removed, [raw[w.starts[lo + x] : w.ends[lo + y - 1]].tobytes() for x, y in zip(change[::2], change[1::2], strict=True)]
 
 
-def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """One row per input row: id, n_words, n_removed, kept_sha256 (and on demand the kept text itself).
+def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """One row per input row: id, n_words, n_removed, kept_sha256, on demand kept_text, and the columns ``carry``.
+    kept_text is the text itself where nothing is removed, else the kept runs as they stand, joined by a space.
 
     Removed is each word covered by a window of ``words`` words whose sequence starts anywhere else too, in the same
     text or another; all windows are judged on the input. Words are runs without space, tab or line breaks. Null
@@ -219,7 +220,7 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     buckets = max(8, blocks // 16)
     kind = docs.schema[id_col].dataType.simpleString()
     levels = _Levels(words)
-    texts = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"), F.pmod(row_key(id_col, text_col), F.lit(blocks)).alias("blk"))
+    texts = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"), F.pmod(row_key(id_col, text_col), F.lit(blocks)).alias("blk"), *carry)
 
     def first(table: pa.Table) -> pa.Table:
         return _send(table.column("blk")[0].as_py(), buckets, *levels.level1(Words(table.column("_text"))))
@@ -256,17 +257,19 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
             cover = np.bincount(p[hit], minlength=len(w.starts) + 1) - np.bincount(p[hit] + words, minlength=len(w.starts) + 1)
             gone = np.cumsum(cover)[:-1] > 0
         removed, digests, out = [], [], []
+        source = table.column("_text").combine_chunks().cast(pa.binary()).to_pylist() if with_text else []
         for doc in range(len(table)):
             n, runs = _kept_bytes(w.raw, w, doc, gone)
+            if with_text:
+                out.append((b" ".join(runs) if n else source[doc]))
             runs = [r.translate(_TO_SPACE) for r in runs]
             text = b" ".join(b" ".join(r.split()) if b"  " in r else r for r in runs)
             removed.append(n)
             digests.append(hashlib.sha256(text).hexdigest())
-            if with_text:
-                out.append(text.decode())
         columns = {"_id": table.column("_id"), "n_words": pa.array(w.n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
         if with_text:
-            columns["kept_text"] = pa.array(out, pa.string())
+            columns["kept_text"] = pa.array([x.decode() for x in out], pa.string())
+        columns |= {c: table.column(c) for c in carry}
         return pa.table(columns)
 
     def ask(sent: DataFrame) -> DataFrame:
@@ -277,4 +280,5 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     kept = ask(by_block().cogroup(kept.groupBy("blk")).applyInArrow(second, _SENT))
     kept = ask(by_block().cogroup(kept.groupBy("blk")).applyInArrow(third, _SENT))
     schema = f"_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return by_block().cogroup(kept.groupBy("blk")).applyInArrow(last, schema).withColumnRenamed("_id", id_col)
