@@ -33,8 +33,8 @@ SHINGLE, BITS, SEED = 3, 3, 42
 HOT_KEY = 2000
 #: Shares of rows, as in exact_dedup: a fingerprint with over 1/HOT_SHARE of the rows is joined over SALTS sub-groups.
 HOT_SHARE, LEAST_HOT, SALTS = 1000, 500, 64
-#: The similarity mode: hashes kept of a text, how many of them are looked up, documents on one look-up that are compared pair by pair.
-SKETCH, LOOKUPS, GROUP = 256, 5, 256
+#: The similarity mode: hashes kept of a text, how many of them are looked up, documents on one look-up that are compared pair by pair, and how far below the similarity a sketch may stay (four standard errors) for the whole sets to be compared.
+SKETCH, LOOKUPS, GROUP, SLACK = 64, 5, 256, 0.2
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -212,12 +212,12 @@ def _sized(rows: DataFrame, by: str, group: int) -> tuple[DataFrame, DataFrame]:
 
 
 def similar_pairs(sketches: DataFrame, similarity: float, radius: int = 24, group: int = GROUP, lookups: int = LOOKUPS) -> DataFrame:
-    """Verified pairs (a, b) of rows (key, fp, sketch, n_shingles) whose shingle sets have Jaccard similarity
-    ``similarity`` or more (exact up to SKETCH distinct shingles, estimated from the sketches beyond).
+    """Pairs (a, b) of rows (key, fp, sketch, n_shingles) whose shingle sets may have Jaccard similarity
+    ``similarity`` or more, by their sketches (exact up to SKETCH distinct shingles).
 
     At 0.8 fingerprints differ in about 10 of 64 bits, too many for a segment to be equal, so rows meet on their
     ``lookups`` smallest shingle hashes instead; chains with the wider radius prune before the Hamming check, and the
-    sets decide. Where more than ``group`` rows meet on one hash, they meet on pairs of their hashes; where more than
+    sketches decide about the rest. Where more than ``group`` rows meet on one hash, they meet on pairs of their hashes; where more than
     that agree in a pair too, each is compared with the group's first row and with the next one in order.
     Fingerprints within BITS bits are candidates as well.
     """
@@ -238,8 +238,26 @@ def similar_pairs(sketches: DataFrame, similarity: float, radius: int = 24, grou
     shared = F.array_intersect("s_a", "s_b")
     whole = (F.col("n_a") <= SKETCH) & (F.col("n_b") <= SKETCH)
     smallest = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, SKETCH)
-    alike = F.when(whole, F.size(shared) / (F.col("n_a") + F.col("n_b") - F.size(shared))).otherwise(F.size(F.array_intersect(smallest, shared)) / F.size(smallest))
-    return both.where(alike >= similarity - 1e-9).select("a", "b")
+    exact = F.size(shared) / (F.col("n_a") + F.col("n_b") - F.size(shared))
+    near = F.size(F.array_intersect(smallest, shared)) / F.size(smallest)
+    return both.where(F.when(whole, exact >= similarity - 1e-9).otherwise(near >= similarity - SLACK)).select("a", "b")
+
+
+def verified_pairs(pairs: DataFrame, keyed: DataFrame, similarity: float, shingle: int, key_col: str = "_key", text_col: str = "text") -> DataFrame:
+    """The pairs whose whole shingle sets are similar enough. Sets are made only of rows that are in some pair."""
+    pairs = cut_lineage(pairs, "pairs")
+    needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    texts = keyed.select(F.col(key_col).alias("key"), whole_text(text_col).alias("_text")).join(needed, "key", "left_semi").select("key", "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "s"])
+
+    sets = texts.mapInArrow(run, "key long, s array<long>").dropDuplicates(["key"])
+    side = lambda x: sets.select(F.col("key").alias(x), F.col("s").alias(f"s_{x}"))
+    shared = F.size(F.array_intersect("s_a", "s_b"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(shared / (F.size("s_a") + F.size("s_b") - shared) >= similarity - 1e-9).select("a", "b")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,7 +268,8 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     packed = keyed.withColumn("_both", F.struct(F.col("_key").alias("key"), F.col(id_col).cast("long").alias("id")))
     found = fingerprints(packed, shingle, "_both", text_col, SKETCH).where("n_shingles > 0")
     sketches = cut_lineage(found.select("_id.key", "_id.id", "fp", "sketch", "n_shingles"), "sketches")
-    roots = components(similar_pairs(sketches.select("key", "fp", "sketch", "n_shingles").dropDuplicates(["key"]), similarity))
+    likely = similar_pairs(sketches.select("key", "fp", "sketch", "n_shingles").dropDuplicates(["key"]), similarity)
+    roots = components(verified_pairs(likely, keyed, similarity, shingle))
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(sketches.select(F.col("key").alias("node"), "id"), "node")
     stays = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "node")).alias("s"))
     gone = members.join(stays, "root").where(F.col("node") != F.col("s.node")).select(F.col("node").alias("_key")).distinct()
