@@ -246,7 +246,8 @@ def similar_pairs(sketches: DataFrame, similarity: float, radius: int = 24, grou
 def verified_pairs(pairs: DataFrame, keyed: DataFrame, similarity: float, shingle: int, key_col: str = "_key", text_col: str = "text") -> DataFrame:
     """The pairs whose whole shingle sets are similar enough. Sets are made only of rows that are in some pair."""
     pairs = cut_lineage(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    # written, so that its size is known when the join is planned: texts are shuffled only if it is too large to broadcast
+    needed = cut_lineage(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "keys")
     texts = keyed.select(F.col(key_col).alias("key"), whole_text(text_col).alias("_text")).join(needed, "key", "left_semi").select("key", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +255,7 @@ def verified_pairs(pairs: DataFrame, keyed: DataFrame, similarity: float, shingl
             sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "s"])
 
-    sets = texts.mapInArrow(run, "key long, s array<long>").dropDuplicates(["key"])
+    sets = texts.mapInArrow(run, "key long, s array<long>")
     side = lambda x: sets.select(F.col("key").alias(x), F.col("s").alias(f"s_{x}"))
     shared = F.size(F.array_intersect("s_a", "s_b"))
     return pairs.join(side("a"), "a").join(side("b"), "b").where(shared / (F.size("s_a") + F.size("s_b") - shared) >= similarity - 1e-9).select("a", "b")
@@ -268,9 +269,9 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     packed = keyed.withColumn("_both", F.struct(F.col("_key").alias("key"), F.col(id_col).cast("long").alias("id")))
     found = fingerprints(packed, shingle, "_both", text_col, SKETCH).where("n_shingles > 0")
     sketches = cut_lineage(found.select("_id.key", "_id.id", "fp", "sketch", "n_shingles"), "sketches")
-    likely = similar_pairs(sketches.select("key", "fp", "sketch", "n_shingles").dropDuplicates(["key"]), similarity)
+    likely = similar_pairs(sketches.select("key", "fp", "sketch", "n_shingles"), similarity)
     roots = components(verified_pairs(likely, keyed, similarity, shingle))
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(sketches.select(F.col("key").alias("node"), "id"), "node")
     stays = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "node")).alias("s"))
-    gone = members.join(stays, "root").where(F.col("node") != F.col("s.node")).select(F.col("node").alias("_key")).distinct()
+    gone = cut_lineage(members.join(stays, "root").where(F.col("node") != F.col("s.node")).select(F.col("node").alias("_key")).distinct(), "gone")
     return keyed.join(gone, "_key", "left_anti").drop("_key")
