@@ -99,8 +99,10 @@ def read_papers(spark: SparkSession, path: str) -> DataFrame:
 
 def zipped_questions(df: DataFrame, key: str, arrays: list[str], default: str = "") -> DataFrame:
     """One row per element of parallel arrays, shorter ones filled up."""
-    rows = df.select(key, F.posexplode(F.arrays_zip(*arrays)).alias("i", "x"))
-    return rows.select(key, "i", *[F.coalesce(F.col(f"x.{a}"), F.lit(default)).alias(a) for a in arrays])
+    sizes = [F.coalesce(F.size(a), F.lit(0)) for a in arrays]
+    longest = F.greatest(*sizes) if len(sizes) > 1 else sizes[0]
+    rows = df.where(longest > 0).select(key, *arrays, F.explode(F.sequence(F.lit(0), longest - 1)).alias("i"))
+    return rows.select(key, "i", *[F.coalesce(F.get(a, F.col("i")), F.lit(default)).alias(a) for a in arrays])
 
 
 def seeded_sample(df: DataFrame, key: str, seed: int, most: int) -> DataFrame:
