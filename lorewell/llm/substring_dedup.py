@@ -10,9 +10,9 @@ reached or no candidate survives.
   128-bit hashes.
 
 Texts are dealt once over blocks; all passes read the same shuffle (Spark reuses the exchange). In a pass a block
-sends each distinct hash once, however often it occurs there, to the bucket of that hash; buckets answer with the
-hashes that occur elsewhere or repeatedly. So a passage in a third of all documents is one entry per block. Hashes
-travel in packed binary columns.
+sends each distinct hash once, however often it occurs there, to the bucket of that hash; buckets answer with a bit
+per hash, set where it occurs elsewhere or repeatedly, and the block makes its hashes again to read the bits. So a
+passage in a third of all documents is one entry per block. Hashes travel in packed binary columns.
 """
 
 from __future__ import annotations
@@ -122,17 +122,17 @@ class _Levels:
     def full_places(self, w: Words) -> np.ndarray:
         return np.flatnonzero(w.room >= self.words)
 
-    def level1(self, w: Words) -> tuple[np.ndarray, np.ndarray | None]:
+    def level1(self, w: Words) -> np.ndarray:
         short = _windows(w.hash, 1, self.short)
         picked = np.unique(self.smallest(w)[self.full_places(w)])
         everywhere = short[w.room[: len(short)] >= self.short]
-        return everywhere[_member(everywhere, picked)], None
+        return everywhere[_member(everywhere, picked)]
 
-    def level2(self, w: Words, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    def level2(self, w: Words, kept: np.ndarray) -> np.ndarray:
         p = self.full_places(w)
         p = p[_member(self.smallest(w)[p], kept)]
         both = np.unique(np.concatenate([p, p + self.words - self.half]))
-        return _windows(_windows(w.hash, 1, self.short), self.short, self.half)[both], None
+        return _windows(_windows(w.hash, 1, self.short), self.short, self.half)[both]
 
     def level3_places(self, w: Words, kept: np.ndarray) -> np.ndarray:
         half = _windows(_windows(w.hash, 1, self.short), self.short, self.half)
@@ -146,51 +146,66 @@ class _Levels:
         return _pair(left, right), _pair(right ^ _K3, left, _K3)
 
 
-def _send(block: int, buckets: int, a: np.ndarray, b: np.ndarray | None) -> pa.Table:
-    """Each distinct hash of a block once, with whether it occurs there more than once, by bucket."""
-    if b is None:
-        a, n = np.unique(a, return_counts=True)
-        many = n > 1
-    else:
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+class _Distinct:
+    """The distinct hashes of a block's windows, ordered by bucket and value: the same on every pass over the block."""
+
+    def __init__(self, buckets: int, a: np.ndarray, b: np.ndarray | None = None):
+        order = np.argsort(a, kind="stable") if b is None else np.lexsort((b, a))
+        bucket = ((a[order] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+        by_bucket = np.argsort(bucket, kind="stable")
+        order, bucket = order[by_bucket], bucket[by_bucket]
+        new = np.ones(len(order), bool)
+        new[1:] = (a[order][1:] != a[order][:-1]) | (bucket[1:] != bucket[:-1])
+        if b is not None:
+            new[1:] |= b[order][1:] != b[order][:-1]
         first = np.flatnonzero(new)
-        many = np.diff(np.append(first, len(a))) > 1
-        a, b = a[first], b[first]
-    bucket = ((a >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    found, begin = np.unique(bucket[order], return_index=True)
-    parts = [order[x:y] for x, y in zip(begin, [*begin[1:], len(order)], strict=True)]
-    pack = lambda x: pa.array([x[p].tobytes() for p in parts], pa.binary())
-    return pa.table({"bucket": pa.array(found, pa.int32()), "blk": pa.array(np.full(len(parts), block), pa.int64()), "a": pack(a), "b": pack(b if b is not None else np.zeros(len(a), "V0")), "many": pack(many)})
+        #: of each window its place among the distinct hashes
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        self.a, self.b = a[order][first], None if b is None else b[order][first]
+        self.many = np.diff(np.append(first, len(order))) > 1
+        self.found, self.begin = np.unique(bucket[first], return_index=True)
+        self.end = np.append(self.begin[1:], len(first))[: len(self.begin)]
+
+    def sent(self, block: int) -> pa.Table:
+        """Each hash once, with whether it occurs many times here, one row per bucket."""
+        spans = list(zip(self.begin.tolist(), self.end.tolist(), strict=True))
+        pack = lambda x: pa.array([x[i:j].tobytes() for i, j in spans], pa.binary())
+        none = pa.array([b""] * len(spans), pa.binary())
+        return pa.table({"bucket": pa.array(self.found, pa.int32()), "blk": pa.array(np.full(len(spans), block), pa.int64()), "a": pack(self.a), "b": none if self.b is None else pack(self.b), "many": pack(self.many)})
+
+    def repeated(self, answers: pa.Table, level: int) -> np.ndarray:
+        """Which of the hashes occur elsewhere too or many times here, from the buckets' answers."""
+        flags = np.zeros(len(self.a), bool)
+        for k, bucket, bits in zip(answers.column("level").to_pylist(), answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
+            if k == level:
+                i = int(np.searchsorted(self.found, bucket))
+                n = int(self.end[i] - self.begin[i])
+                flags[self.begin[i] : self.end[i]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
+        return flags
 
 
 _SENT = "bucket int, blk long, a binary, b binary, many binary"
-_ANSWER = "blk long, a binary, b binary"
+_ANSWER = "blk long, bucket int, bits binary"
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each block its hashes that occur in another block too, or many times in it."""
-    blocks, sizes = table.column("blk").to_pylist(), [len(x) // 8 for x in table.column("a").to_pylist()]
+    """Of one bucket: for each block one bit per hash that it sent, set where the hash occurs in another block too or
+    many times in it."""
+    sizes = np.array([len(x) // 8 for x in table.column("a").to_pylist()])
     a, b = _unpack(table, "a"), _unpack(table, "b")
     many = np.frombuffer(b"".join(table.column("many").to_pylist()), bool)
     order = np.lexsort((b, a)) if len(b) else np.argsort(a)
     same = a[order][1:] == a[order][:-1]
     if len(b):
         same &= b[order][1:] == b[order][:-1]
-    twice = np.zeros(len(a), bool)
+    twice = many.copy()
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
-    twice |= many
-    rows, at = [], 0
-    for block, n in zip(blocks, sizes, strict=True):
-        keep = np.flatnonzero(twice[at : at + n]) + at
-        if len(keep):
-            rows.append((block, a[keep].tobytes(), b[keep].tobytes() if len(b) else b""))
-        at += n
-    return pa.table({"blk": pa.array([r[0] for r in rows], pa.int64()), "a": pa.array([r[1] for r in rows], pa.binary()), "b": pa.array([r[2] for r in rows], pa.binary())})
+    ends = np.cumsum(sizes)
+    keep = [i for i, (x, y) in enumerate(zip(ends - sizes, ends, strict=True)) if twice[x:y].any()]
+    bits = [np.packbits(twice[ends[i] - sizes[i] : ends[i]]).tobytes() for i in keep]
+    return pa.table({"blk": table.column("blk").combine_chunks().take(pa.array(keep, pa.int64())), "bucket": table.column("bucket").combine_chunks().take(pa.array(keep, pa.int64())), "bits": pa.array(bits, pa.binary())})
 
 
 def _kept_bytes(raw: np.ndarray, w: Words, doc: int, gone: np.ndarray) -> tuple[int, list[bytes]]:
@@ -222,39 +237,36 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     levels = _Levels(words)
     texts = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"), F.pmod(row_key(id_col, text_col), F.lit(blocks)).alias("blk"), *carry)
 
-    def first(table: pa.Table) -> pa.Table:
-        return _send(table.column("blk")[0].as_py(), buckets, *levels.level1(Words(table.column("_text"))))
-
-    def second(table: pa.Table, kept: pa.Table) -> pa.Table:
-        if not len(table) or not len(kept):
-            return _send(0, buckets, np.zeros(0, np.uint64), None)
-        return _send(table.column("blk")[0].as_py(), buckets, *levels.level2(Words(table.column("_text")), np.sort(_unpack(kept, "a"))))
-
-    def third(table: pa.Table, kept: pa.Table) -> pa.Table:
-        if not len(table) or not len(kept):
-            return _send(0, buckets, np.zeros(0, np.uint64), None)
-        w = Words(table.column("_text"))
-        return _send(table.column("blk")[0].as_py(), buckets, *levels.full(w, levels.level3_places(w, np.sort(_unpack(kept, "a")))))
-
-    def last(table: pa.Table, kept: pa.Table) -> pa.Table:
-        w = Words(table.column("_text"), hashes=len(kept) > 0)
+    nothing = _Distinct(buckets, np.zeros(0, np.uint64)).sent(0)
+
+    def candidates(w: Words, answers: pa.Table, level: int) -> _Distinct | None:
+        """The windows counted at a level: those that all levels below left."""
+        if level == 1:
+            return _Distinct(buckets, levels.level1(w))
+        below = candidates(w, answers, level - 1)
+        kept = np.sort(below.a[below.repeated(answers, level - 1)]) if below else ()
+        if not len(kept):
+            return None
+        if level == 2:
+            return _Distinct(buckets, levels.level2(w, kept))
+        places = levels.level3_places(w, kept)
+        found = _Distinct(buckets, *levels.full(w, places))
+        found.places = places
+        return found
+
+    def count(level: int):
+        def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+            found = candidates(Words(table.column("_text")), answers, level) if len(table) and (level == 1 or len(answers)) else None
+            return found.sent(table.column("blk")[0].as_py()) if found else nothing
+
+        return run
+
+    def last(table: pa.Table, answers: pa.Table) -> pa.Table:
+        w = Words(table.column("_text"), hashes=len(answers) > 0)
         gone = np.zeros(len(w.starts), bool)
-        if len(kept):
-            ka, kb = _unpack(kept, "a"), _unpack(kept, "b")
-            p = levels.full_places(w)
-            a, b = levels.full(w, p)
-            maybe = np.flatnonzero(_member(a, np.sort(ka)))
-            p, a, b = p[maybe], a[maybe], b[maybe]
-            both_a, both_b = np.concatenate([ka, a]), np.concatenate([kb, b])
-            order = np.lexsort((np.arange(len(both_a)) >= len(ka), both_b, both_a))
-            x, y = both_a[order], both_b[order]
-            new = np.ones(len(x), bool)
-            new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-            group = np.cumsum(new) - 1
-            known = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
-            known[group[order < len(ka)]] = True
-            hit = order[(order >= len(ka)) & known[group]] - len(ka)
-            cover = np.bincount(p[hit], minlength=len(w.starts) + 1) - np.bincount(p[hit] + words, minlength=len(w.starts) + 1)
+        if len(answers) and (found := candidates(w, answers, 3)) is not None:
+            p = found.places[found.repeated(answers, 3)[found.place]]
+            cover = np.bincount(p, minlength=len(w.starts) + 1) - np.bincount(p + words, minlength=len(w.starts) + 1)
             gone = np.cumsum(cover)[:-1] > 0
         removed, digests, out = [], [], []
         source = table.column("_text").combine_chunks().cast(pa.binary()).to_pylist() if with_text else []
@@ -272,13 +284,23 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
         columns |= {c: table.column(c) for c in carry}
         return pa.table(columns)
 
-    def ask(sent: DataFrame) -> DataFrame:
-        return sent.groupBy("bucket").applyInArrow(_answer, _ANSWER)
+    def ask(sent: DataFrame, level: int) -> DataFrame:
+        return sent.groupBy("bucket").applyInArrow(_answer, _ANSWER).withColumn("level", F.lit(level))
 
     by_block = lambda: texts.groupBy("blk")
-    kept = ask(by_block().applyInArrow(first, _SENT))
-    kept = ask(by_block().cogroup(kept.groupBy("blk")).applyInArrow(second, _SENT))
-    kept = ask(by_block().cogroup(kept.groupBy("blk")).applyInArrow(third, _SENT))
+    kept = ask(by_block().applyInArrow(lambda t: count(1)(t, None), _SENT), 1)
+    for level in (2, 3):
+        kept = kept.unionByName(ask(by_block().cogroup(kept.groupBy("blk")).applyInArrow(count(level), _SENT), level))
     schema = f"_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return by_block().cogroup(kept.groupBy("blk")).applyInArrow(last, schema).withColumnRenamed("_id", id_col)
+
+
+ORACLE_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 35], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 34))) AS i FROM w)),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM p WHERE k IN (SELECT k FROM p GROUP BY k HAVING count(*) > 1)),
+x AS (SELECT doc_id, unnest(range(0, len(w))) AS j, unnest(w) AS word FROM w),
+k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.j) AS kept, count(*) AS n FROM x ANTI JOIN r ON r.doc_id = x.doc_id AND r.j = x.j GROUP BY 1)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
