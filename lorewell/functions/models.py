@@ -73,9 +73,3 @@ class Model:
         except Exception:  # noqa: BLE001  a model's failure must not end a run
             return {}
         return got if isinstance(got, dict) else {}
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def structure_features(values: pd.Series) -> pd.Series:
-    """Feature rows as they are; the place where a learned selector would look at them."""
-    return values
