@@ -351,7 +351,7 @@ def test_substring_dedup(docs, empty, size):
 
 
 def test_substring_dedup_keeps_text_and_columns(docs):
-    rows = substring_dedup.remove_repeats(docs, 35, carry=("source", "blk0"), with_text=True) if "blk0" in docs.columns else substring_dedup.remove_repeats(docs, 35, carry=("source", "lang"), with_text=True)
+    rows = substring_dedup.remove_repeats(docs, 35, carry=("source", "lang"), with_text=True)
     for r in rows.collect():
         kept = " ".join(re.findall(r"[^\x20\x09-\x0D]+", r.kept_text))
         assert hashlib.sha256(kept.encode()).hexdigest() == r.kept_sha256
