@@ -19,6 +19,7 @@ encoded by the tokenizers library itself; ids are the same either way.
 from __future__ import annotations
 
 import json
+from array import array
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
@@ -33,7 +34,7 @@ LONG_PIECE, LEAF, WINDOW = 4096, 2048, 4
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters on which this module's splitting and lower-casing provably agree with the library's.
-_PLAIN = regex.compile("[\t\n\r -~¡-¬®-ÿŒœ–—‘-„†-•…€]*")
+_PLAIN = frozenset("\t\n\rŒœ–—‘’‚‛“”„†‡•…€" + "".join(map(chr, [*range(32, 127), *range(161, 173), *range(174, 256)])))
 _LONG_RUN = regex.compile(r"\S{%d}" % LONG_PIECE)
 
 
@@ -99,7 +100,7 @@ class ByteBpe(_Engine):
         self._split = regex.compile(BYTE_PATTERN)
 
     def encode(self, text: str) -> np.ndarray:
-        if _PLAIN.fullmatch(text) is None:
+        if not _PLAIN.issuperset(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         if _LONG_RUN.search(text) is None:
             return np.frombuffer(self.core._core_bpe.encode_to_tiktoken_buffer(text, set(self.special)), np.uint32)
@@ -114,16 +115,35 @@ class ByteBpe(_Engine):
         return np.array(ids, np.uint32)
 
 
+class _Words(dict):
+    """Ids of words met so far, as bytes; emptied when full."""
+
+    def __init__(self, bpe: _Engine, most: int = 300_000):
+        super().__init__()
+        self.bpe, self.most = bpe, most
+
+    def __missing__(self, word: str) -> bytes:
+        data = word.encode() + b" "
+        if len(word) > LONG_PIECE:
+            return array("I", self.bpe.concatenated(data)).tobytes()
+        if len(self) >= self.most:
+            self.clear()
+        ids = self[word] = array("I", self.bpe.piece(data)).tobytes()
+        return ids
+
+
 class WordBpe(_Engine):
-    """The mark is a space, which no piece holds: a word is its bytes and the mark, "w</w>" a token that ends in it."""
+    """The mark is a space, which no piece holds: a word is its bytes and the mark, "w</w>" a token that ends in it.
+    Words repeat, so their ids are kept."""
 
     def __init__(self, path: str):
         super().__init__(path, b" ")
         self.core = tiktoken.Encoding("word", pat_str="[^ ]+ ", mergeable_ranks=self.ranks, special_tokens={})
         self._split = regex.compile(WORD_PATTERN)
+        self._words = _Words(self)
 
     def encode(self, text: str) -> np.ndarray:
-        if _PLAIN.fullmatch(text) is None:
+        if not _PLAIN.issuperset(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         if self._special and "<|" in text and self._special.search(text):
             parts, at = [], 0
@@ -134,14 +154,8 @@ class WordBpe(_Engine):
         return self._ordinary(text)
 
     def _ordinary(self, text: str) -> np.ndarray:
-        words = self._split.findall(text.lower())
-        if _LONG_RUN.search(text) is None:
-            return np.frombuffer(self.core._core_bpe.encode_to_tiktoken_buffer(" ".join(words) + " ", set()), np.uint32) if words else np.zeros(0, np.uint32)
-        ids: list[int] = []
-        for w in words:
-            data = w.encode() + b" "
-            ids += self.concatenated(data) if len(w) > LONG_PIECE else self.piece(data)
-        return np.array(ids, np.uint32)
+        words = self._words
+        return np.frombuffer(b"".join([words[w] for w in self._split.findall(text.lower())]), np.uint32)
 
 
 @lru_cache(maxsize=4)
