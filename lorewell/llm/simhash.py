@@ -35,6 +35,8 @@ HOT_KEY = 2000
 HOT_SHARE, LEAST_HOT, SALTS = 1000, 500, 64
 #: The similarity mode: hashes kept of a text, how many of them are looked up, documents on one look-up that are compared pair by pair, and how far below the similarity a sketch may stay (four standard errors) for the whole sets to be compared.
 SKETCH, LOOKUPS, GROUP, SLACK = 64, 5, 256, 0.2
+#: The order of prefixes: one row in ORDER_SAMPLE is counted, and of the hashes met ORDER_LEAST times there the ORDER_MOST most frequent come last. It decides about work only; any order finds the same pairs. A group is compared in slices of SLICE rows.
+ORDER_SAMPLE, ORDER_LEAST, ORDER_MOST, SLICE = 8, 4, 1 << 17, 2000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -211,28 +213,33 @@ def _sized(rows: DataFrame, by: str, group: int) -> tuple[DataFrame, DataFrame]:
     return known.where(F.col("_n") <= group).drop("_n"), known.where(F.col("_n") > group).drop("_n")
 
 
+def _looked(sketches: DataFrame, lookups: int = LOOKUPS) -> DataFrame:
+    return sketches.select("key", "fp", F.explode(F.slice("sketch", 1, lookups)).alias("h"))
+
+
 def similar_pairs(sketches: DataFrame, similarity: float, radius: int = 24, group: int = GROUP, lookups: int = LOOKUPS) -> DataFrame:
     """Pairs (a, b) of rows (key, fp, sketch, n_shingles) whose shingle sets may have Jaccard similarity
     ``similarity`` or more, by their sketches (exact up to SKETCH distinct shingles).
 
     At 0.8 fingerprints differ in about 10 of 64 bits, too many for a segment to be equal, so rows meet on their
     ``lookups`` smallest shingle hashes instead; chains with the wider radius prune before the Hamming check, and the
-    sketches decide about the rest. Where more than ``group`` rows meet on one hash, they meet on pairs of their hashes; where more than
-    that agree in a pair too, each is compared with the group's first row and with the next one in order.
-    Fingerprints within BITS bits are candidates as well.
+    sketches decide about the rest. Where more than ``group`` rows meet on one hash, each is compared with the group's first row and
+    with the next one in order here, and prefix_pairs() compares what that leaves unlinked. Fingerprints within BITS
+    bits are candidates as well.
     """
-    looked = sketches.select("key", "fp", F.explode(F.slice("sketch", 1, lookups)).alias("h"))
-    few, many = _sized(looked, "h", group)
-    combos = many.groupBy("key", "fp").agg(F.sort_array(F.collect_set("h")).alias("hs"))
-    twice = F.expr("flatten(transform(hs, (x, i) -> transform(slice(hs, i + 2, size(hs)), y -> xxhash64(x, y))))")
-    few2, many2 = _sized(combos.where(F.size("hs") > 1).select("key", "fp", F.explode(twice).alias("h")), "h", group)
-    first = many2.groupBy("h").agg(F.min("key").alias("a"))
-    star = many2.join(first, "h").where("key <> a").select("a", F.col("key").alias("b"))
-    following = many2.withColumn("b", F.lead("key").over(Window.partitionBy("h").orderBy("fp", "key"))).where("b IS NOT NULL").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
+    few, many = _sized(_looked(sketches, lookups), "h", group)
+    first = many.groupBy("h").agg(F.min("key").alias("a"))
+    star = many.join(first, "h").where("key <> a").select("a", F.col("key").alias("b"))
+    following = many.withColumn("b", F.lead("key").over(Window.partitionBy("h").orderBy("fp", "key"))).where("b IS NOT NULL").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
     classes = sketches.groupBy("fp").agg(F.min("key").alias("key"))
     same = sketches.select("fp", F.col("key").alias("b")).join(classes, "fp").where("key <> b").select(F.col("key").alias("a"), "b")
     close = links(classes.select("fp")).join(classes.select(F.col("fp").alias("a"), F.col("key").alias("ka")), "a").join(classes.select(F.col("fp").alias("b"), F.col("key").alias("kb")), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
-    pairs = _meeting(few, "h", radius).unionByName(_meeting(few2, "h", radius)).unionByName(star).unionByName(following).unionByName(same).unionByName(close).distinct()
+    pairs = _meeting(few, "h", radius).unionByName(star).unionByName(following).unionByName(same).unionByName(close).distinct()
+    return _by_sketches(pairs, sketches, similarity)
+
+
+def _by_sketches(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that may be similar enough by their sketches."""
     side = lambda x: sketches.select(F.col("key").alias(x), F.col("sketch").alias(f"s_{x}"), F.col("n_shingles").alias(f"n_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.array_intersect("s_a", "s_b")
@@ -243,6 +250,64 @@ def similar_pairs(sketches: DataFrame, similarity: float, radius: int = 24, grou
     return both.where(F.when(whole, exact >= similarity - 1e-9).otherwise(near >= similarity - SLACK)).select("a", "b")
 
 
+def _distinct_hashes(texts: DataFrame, shingle: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64))], ["h"])
+
+    return texts.select("_text").mapInArrow(run, "h long")
+
+
+def prefixes(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(key, root, n, at, h) over rows (key, root, _text): the hashes of each row's prefix with their places, rarest first.
+
+    Of two sets of which one has n hashes, at Jaccard similarity s the first n - ceil(s n) + 1 of each in any common order
+    share one, for else fewer than s n of the n were shared."""
+    sample = texts.where(F.pmod(F.xxhash64("key"), F.lit(ORDER_SAMPLE)) == 0)
+    counts = _distinct_hashes(sample, shingle).groupBy("h").count().where(F.col("count") >= ORDER_LEAST)
+    often = counts.orderBy(F.desc("count"), "h").limit(ORDER_MOST).toArrow()
+    common, times = often.column("h").to_numpy().view(np.uint64), often.column("count").to_numpy()
+    order = np.argsort(common)
+    common, times = np.append(common[order], np.uint64(0)), np.append(times[order], 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts, sizes, lengths = [], [], []
+            for t in b.column(2):
+                h = np.unique(shingle_hashes(t.as_py(), shingle))
+                at = np.searchsorted(common[:-1], h)
+                seen = np.where(common[at] == h, times[at], 0)
+                n = len(h)
+                parts.append(h[np.lexsort((h, seen))][: n - int(np.ceil(similarity * n - 1e-9)) + 1])
+                sizes.append(n)
+                lengths.append(len(parts[-1]))
+            if parts:
+                keys, roots = (np.repeat(b.column(i).to_numpy(), lengths) for i in (0, 1))
+                places = np.concatenate([np.arange(x) for x in lengths])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, roots, np.repeat(sizes, lengths), places, np.concatenate(parts).view(np.int64))], ["key", "root", "n", "at", "h"])
+
+    return texts.select("key", "root", "_text").mapInArrow(run, "key long, root long, n long, at long, h long")
+
+
+def prefix_pairs(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Pairs (a, b) of rows (key, root, _text) of different roots, among them all of similarity ``similarity`` or more.
+
+    Rows meet on the hashes of their prefixes, whatever the size of the group. Only pairs of one root, which are linked
+    already, are left out: each row that is not of the group's most frequent root meets all others."""
+    w = Window.partitionBy("h")
+    meet = prefixes(texts, similarity, shingle).select("*", F.count("*").over(w).alias("_n"), F.min("root").over(w).alias("_low"), F.max("root").over(w).alias("_high"), F.mode("root").over(w).alias("_most"))
+    slices = F.ceil(F.col("_n") / SLICE).cast("int")
+    meet = cut_lineage(meet.where("_low <> _high").select("h", "key", "root", "n", "at", "_most", slices.alias("_slices")), "prefixes")
+    left = meet.where("root <> _most").select("h", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"), *[F.col(c).alias(f"{c}_a") for c in ("key", "root", "n", "at")])
+    right = meet.select("h", F.pmod(F.xxhash64("key"), F.col("_slices")).cast("int").alias("_slice"), "_most", *[F.col(c).alias(f"{c}_b") for c in ("key", "root", "n", "at")])
+    once = (F.col("root_b") == F.col("_most")) | (F.col("key_a") < F.col("key_b"))
+    # the first hash that two rows share leaves them no more than the shorter rest
+    needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    found = left.join(right, ["h", "_slice"]).where((F.col("root_a") != F.col("root_b")) & once & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= needed))
+    return found.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
+
+
 def verified_pairs(pairs: DataFrame, keyed: DataFrame, similarity: float, shingle: int, key_col: str = "_key", text_col: str = "text") -> DataFrame:
     """The pairs whose whole shingle sets are similar enough. Sets are made only of rows that are in some pair."""
     pairs = cut_lineage(pairs, "pairs")
@@ -261,16 +326,26 @@ def verified_pairs(pairs: DataFrame, keyed: DataFrame, similarity: float, shingl
     return pairs.join(side("a"), "a").join(side("b"), "b").where(shared / (F.size("s_a") + F.size("s_b") - shared) >= similarity - 1e-9).select("a", "b")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """The input without near copies: of each group of linked rows the one with the smallest id stays, with all of
-    its columns. Texts without words are linked to none. Rows repeated with id and text count as one group."""
+    its columns. Texts without words are linked to none. Rows repeated with id and text count as one group.
+
+    Rows that over ``group`` rows meet on one hash are linked as far as similar_pairs() does first; then they meet
+    on their prefixes."""
     keyed = docs.withColumn("_key", row_key(id_col, text_col))
     # a row's key and id travel through the fingerprints as one
     packed = keyed.withColumn("_both", F.struct(F.col("_key").alias("key"), F.col(id_col).cast("long").alias("id")))
     found = fingerprints(packed, shingle, "_both", text_col, SKETCH).where("n_shingles > 0")
     sketches = cut_lineage(found.select("_id.key", "_id.id", "fp", "sketch", "n_shingles"), "sketches")
-    likely = similar_pairs(sketches.select("key", "fp", "sketch", "n_shingles"), similarity)
-    roots = components(verified_pairs(likely, keyed, similarity, shingle))
+    likely = similar_pairs(sketches.select("key", "fp", "sketch", "n_shingles"), similarity, group=group)
+    roots = components(verified_pairs(likely, keyed, similarity, shingle, text_col=text_col))
+    crowded = cut_lineage(_sized(_looked(sketches), "h", group)[1].select("key").distinct(), "crowded")
+    if not crowded.isEmpty():
+        placed = crowded.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+        texts = keyed.select(F.col("_key").alias("key"), whole_text(text_col).alias("_text")).join(placed, "key")
+        more = _by_sketches(prefix_pairs(texts, similarity, shingle), sketches, similarity)
+        found = verified_pairs(more, keyed, similarity, shingle, text_col=text_col)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(sketches.select(F.col("key").alias("node"), "id"), "node")
     stays = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "node")).alias("s"))
     gone = cut_lineage(members.join(stays, "root").where(F.col("node") != F.col("s.node")).select(F.col("node").alias("_key")).distinct(), "gone")

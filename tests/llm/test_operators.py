@@ -263,6 +263,25 @@ def test_simhash(docs, empty):
     assert simhash.near_groups(empty).count() == 0
 
 
+def test_near_copies_around_one_boilerplate(spark):
+    """Over GROUP documents share a passage that holds their smallest hashes, most of them unrelated otherwise; some have
+    a near copy, and those with little text of their own are alike by the passage alone."""
+    random.seed(4)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(4))
+    passage, rows = [word() for _ in range(200)], []
+    for n in range(simhash.GROUP + 60):
+        own = [word() for _ in range(random.randint(14, 30) if n % 8 == 0 else random.randint(40, 60))]
+        rows.append((len(rows), " ".join(passage + own)))
+        if n % 8 == 1:
+            own[20] = word()
+            rows.append((len(rows), " ".join(passage + own)))
+    sets = {i: frozenset(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    assert sum(set(sorted(s)[: simhash.LOOKUPS]) <= set(simhash.shingle_hashes(" ".join(passage), 5).tolist()) for s in sets.values()) > simhash.GROUP / 4
+    root = reach(list(sets), lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(df).collect()) == sorted(i for i in sets if root[i] == i)
+
+
 @pytest.mark.parametrize("hot_key", [2000, 3])
 def test_simhash_links_connect_what_brute_force_does(spark, hot_key):
     """Clusters of close fingerprints, found as pairs and by bridging values."""
