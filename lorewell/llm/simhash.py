@@ -64,7 +64,8 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", sketch: int = 0) -> DataFrame:
-    """(id, fp) of each row, and the ``sketch`` smallest distinct shingle hashes with the number of distinct ones."""
+    """(id, fp) of each row, and the ``sketch`` smallest distinct shingle hashes with the number of distinct ones; with
+    a sketch, the fingerprint is of the distinct hashes."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -73,9 +74,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
             fps, small, many = [], [], []
             for t in b.column(1):
                 h = shingle_hashes(t.as_py(), shingle)
-                fps.append(fingerprint(h))
+                distinct = np.unique(h) if sketch else h
+                fps.append(fingerprint(distinct))
                 if sketch:
-                    distinct = np.unique(h)
                     many.append(len(distinct))
                     small.append((distinct[:sketch] ^ np.uint64(1 << 63)).view(np.int64))  # signed order is the hashes' order
             columns = [b.column(0), pa.array(fps, pa.int64())]
@@ -184,26 +185,12 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, id_co
     return salted.join(named, ["fp", "_salt"]).select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _ring_chain(differ: Column, bits: int, segments: int = 8, lengths: int = 4) -> Column:
-    """Some chain of segments keeps its first l segments within l * bits / segments differing bits, l = 1 .. lengths."""
-    width = 64 // segments
-    counts = [F.bit_count(differ.bitwiseAND(F.lit(_signed(((1 << width) - 1) << width * i)).cast("long"))) for i in range(segments)]
-    some = F.lit(False)
-    for i in range(segments):
-        total, chain = F.lit(0), F.lit(True)
-        for length in range(1, lengths + 1):
-            total = total + counts[(i + length - 1) % segments]
-            chain = chain & (total <= length * bits // segments)
-        some = some | chain
-    return some
-
-
-def _meeting(rows: DataFrame, by: str, bits: int) -> DataFrame:
-    """Pairs (a, b) of rows (by, key, fp) that meet on ``by`` and pass the chains and the Hamming check."""
-    left = rows.select(by, F.col("key").alias("a"), F.col("fp").alias("fp_a"))
-    right = rows.select(by, F.col("key").alias("b"), F.col("fp").alias("fp_b"))
-    differ = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
-    return left.join(right, by).where(F.col("a") < F.col("b")).where(_ring_chain(differ, bits)).where(F.bit_count(differ) <= bits).select("a", "b")
+def _meeting(rows: DataFrame, by: str, similarity: float) -> DataFrame:
+    """Pairs (a, b) of rows (by, key, n_shingles) that meet on ``by`` and whose set sizes allow the similarity."""
+    left = rows.select(by, F.col("key").alias("a"), F.col("n_shingles").alias("n_a"))
+    right = rows.select(by, F.col("key").alias("b"), F.col("n_shingles").alias("n_b"))
+    sizes = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
+    return left.join(right, by).where((F.col("a") < F.col("b")) & sizes).select("a", "b")
 
 
 def _sized(rows: DataFrame, by: str, group: int) -> tuple[DataFrame, DataFrame]:
@@ -214,16 +201,15 @@ def _sized(rows: DataFrame, by: str, group: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _looked(sketches: DataFrame, lookups: int = LOOKUPS) -> DataFrame:
-    return sketches.select("key", "fp", F.explode(F.slice("sketch", 1, lookups)).alias("h"))
+    return sketches.select("key", "fp", "n_shingles", F.explode(F.slice("sketch", 1, lookups)).alias("h"))
 
 
-def similar_pairs(sketches: DataFrame, similarity: float, radius: int = 24, group: int = GROUP, lookups: int = LOOKUPS) -> DataFrame:
+def similar_pairs(sketches: DataFrame, similarity: float, group: int = GROUP, lookups: int = LOOKUPS) -> DataFrame:
     """Pairs (a, b) of rows (key, fp, sketch, n_shingles) whose shingle sets may have Jaccard similarity
     ``similarity`` or more, by their sketches (exact up to SKETCH distinct shingles).
 
     At 0.8 fingerprints differ in about 10 of 64 bits, too many for a segment to be equal, so rows meet on their
-    ``lookups`` smallest shingle hashes instead; chains with the wider radius prune before the Hamming check, and the
-    sketches decide about the rest. Where more than ``group`` rows meet on one hash, each is compared with the group's first row and
+    ``lookups`` smallest shingle hashes instead, and the sketches decide about all that meet. Where more than ``group`` rows meet on one hash, each is compared with the group's first row and
     with the next one in order here, and prefix_pairs() compares what that leaves unlinked. Fingerprints within BITS
     bits are candidates as well.
     """
@@ -234,7 +220,7 @@ def similar_pairs(sketches: DataFrame, similarity: float, radius: int = 24, grou
     classes = sketches.groupBy("fp").agg(F.min("key").alias("key"))
     same = sketches.select("fp", F.col("key").alias("b")).join(classes, "fp").where("key <> b").select(F.col("key").alias("a"), "b")
     close = links(classes.select("fp")).join(classes.select(F.col("fp").alias("a"), F.col("key").alias("ka")), "a").join(classes.select(F.col("fp").alias("b"), F.col("key").alias("kb")), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
-    pairs = _meeting(few, "h", radius).unionByName(star).unionByName(following).unionByName(same).unionByName(close).distinct()
+    pairs = _meeting(few, "h", similarity).unionByName(star).unionByName(following).unionByName(same).unionByName(close).distinct()
     return _by_sketches(pairs, sketches, similarity)
 
 

@@ -282,6 +282,21 @@ def test_near_copies_around_one_boilerplate(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_copies(df).collect()) == sorted(i for i in sets if root[i] == i)
 
 
+def test_near_copies_with_another_repeated_line(spark):
+    """One line that stands many times and differs sets the fingerprint of all shingles, not the similarity."""
+    random.seed(6)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(4))
+    rows = []
+    for _ in range(40):
+        own = " ".join(word() for _ in range(190))
+        for _ in range(2):
+            rows.append((len(rows), own + (" " + " ".join(word() for _ in range(8))) * 80))
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    assert all(len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8 for i in range(0, len(rows), 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(df).collect()) == list(range(0, len(rows), 2))
+
+
 @pytest.mark.parametrize("hot_key", [2000, 3])
 def test_simhash_links_connect_what_brute_force_does(spark, hot_key):
     """Clusters of close fingerprints, found as pairs and by bridging values."""
