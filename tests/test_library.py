@@ -1,5 +1,6 @@
 """Functions and operators outside the query oracles: goldens, invariants, sources and streaming."""
 
+import datetime
 import json
 import random
 
@@ -10,6 +11,7 @@ from pyspark.sql.window import Window
 
 from lorewell.functions import dates, models, text
 from lorewell.operators import memory, ranking, segments
+from lorewell.plans import memory_queries
 from lorewell.sources import readers, writers
 from lorewell.streaming import memory_stream
 
@@ -99,6 +101,22 @@ def test_delta_fold_invariants():
     assert np.allclose(np.concatenate([half, rest]), reads) and np.allclose(end, s)
 
 
+def test_delta_rule_fold_covers_every_user(spark, tmp_path):
+    """The registered query against the loop, users beyond the first twenty too."""
+    rows = [(i, datetime.datetime(2024, 1, 1), u, "view", 0.37 * i + u) for i, u in enumerate([3, 19, 20, 3, 500, 20, 19, 500, 500, 3, 20, 500])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for user in {r[2] for r in rows}:
+        own = [r for r in rows if r[2] == user]
+        q, k, v = (np.array([[np.sin(r[4] * (p + i)) for i in range(4)] for r in own]) for p in (1, 2, 3))
+        gates = [np.full((len(own), 4), x) for x in (0.9, 0.1, 0.5)]
+        reads, s = memory.delta_fold(q, k, v, *gates, np.array([r[0] % 5 > 0 for r in own]))
+        want |= {(user, n + 1): (np.linalg.norm(x), np.linalg.norm(s)) for n, x in enumerate(reads)}
+    found = {(r.user_id, r.step): (r.read_norm, r.state_norm) for r in memory_queries.delta_rule_fold(spark, f"file://{tmp_path}").collect()}
+    assert found.keys() == want.keys()
+    assert all(np.allclose(found[k], want[k]) for k in want)
+
+
 def test_mixture_gate_keeps_the_upper_scores():
     scores = np.array([0.1, 0.12, 0.11, 0.09, 0.9, 0.92, 0.95])
     assert 6 in memory.gate_accepts(scores) and set(memory.gate_accepts(scores)) <= {4, 5, 6}
