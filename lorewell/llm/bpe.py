@@ -13,7 +13,8 @@ pairs are each what BPE makes of their two texts is what BPE makes of the whole,
 the join exact.
 
 Texts with characters outside a plain set (say combining marks, whose normal form depends on their neighbours) are
-encoded by the tokenizers library itself; ids are the same either way.
+encoded by the tokenizers library itself, or, if they hold a long run without white space, normalised and split by it
+and merged here, so that long pieces of any script are concatenated; ids are the same either way.
 """
 
 from __future__ import annotations
@@ -52,6 +53,7 @@ class _Engine:
         spec = json.load(open(path, encoding="utf-8"))
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
         back = {c: bytes([b]) for b, c in enumerate(byte_letters())}
+        self.mark, self._letters = mark, {ord(c): b[0] for c, b in back.items()}
         self.ranks: dict[bytes, int] = {}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for token, i in spec["model"]["vocab"].items():
@@ -70,6 +72,23 @@ class _Engine:
     def piece(self, data: bytes) -> list[int]:
         return self.core._core_bpe.encode_single_piece(data)
 
+    def _by_library(self, text: str) -> np.ndarray:
+        """A text that the library encodes, or normalises and splits if a piece may be long."""
+        if _LONG_RUN.search(text) is None:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        ids: list[int] = []
+        at, norm = 0, self.library.normalizer
+        for m in [*(self._special.finditer(text) if self._special else ()), None]:
+            part = text[at : m.start() if m else len(text)]
+            for p, _ in self.library.pre_tokenizer.pre_tokenize_str(norm.normalize_str(part) if norm else part):
+                # pieces come in the letters of bytes, all below 512
+                data = p.translate(self._letters).encode("latin-1") + self.mark
+                ids += self.concatenated(data) if len(data) > LONG_PIECE else self.piece(data)
+            if m:
+                ids.append(self.special[m[0]])
+                at = m.end()
+        return np.array(ids, np.uint32)
+
     def concatenated(self, data: bytes, leaf: int = LEAF) -> list[int]:
         """A long piece by tree concatenation."""
         # halves, quarters, ... down to the leaves
@@ -101,7 +120,7 @@ class ByteBpe(_Engine):
 
     def encode(self, text: str) -> np.ndarray:
         if not _PLAIN.issuperset(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+            return self._by_library(text)
         if _LONG_RUN.search(text) is None:
             return np.frombuffer(self.core._core_bpe.encode_to_tiktoken_buffer(text, set(self.special)), np.uint32)
         ids: list[int] = []
@@ -144,7 +163,7 @@ class WordBpe(_Engine):
 
     def encode(self, text: str) -> np.ndarray:
         if not _PLAIN.issuperset(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+            return self._by_library(text)
         if self._special and "<|" in text and self._special.search(text):
             parts, at = [], 0
             for m in self._special.finditer(text):

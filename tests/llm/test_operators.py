@@ -129,6 +129,21 @@ def test_bpe_equals_the_library(path):
         assert undo(np.array(want, np.uint32)) == library.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_long_pieces_of_other_scripts_are_concatenated(path, monkeypatch):
+    engine, library, calls = bpe.engine(path), Tokenizer.from_file(path), []
+    whole = engine.concatenated
+    monkeypatch.setattr(engine, "concatenated", lambda data, *leaf: calls.append(len(data)) or whole(data, *leaf))
+    random.seed(8)
+    for letters in ("αβγδεζηθΑΒΣς", "абвгдежзЙЁ", "日本語中文字漢", "😀😁🎉", "e\u0301a\u0308\u1100\u1161İ"):
+        run = "".join(random.choice(letters) for _ in range(6000))
+        t = f"don't {run}<|endoftext|> {run[:50]}  1234\n{run[::-1]} x"
+        assert engine.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+        if letters[0] in "αа日😀":
+            assert max(calls) > bpe.LONG_PIECE
+        calls.clear()
+
+
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_tree_concatenation_is_exact(path):
     """Small leaves force many joins; the whole piece encoded at once is the truth."""
