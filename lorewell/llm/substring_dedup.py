@@ -6,13 +6,16 @@ reached or no candidate survives.
 
 * Level 1 counts short windows. A full window is told by the smallest hash among its short ones, so only those
   smallest hashes are counted (about 7 % of all places): two equal full windows have the same one, so nothing is lost.
-* Level 2 counts the half-length windows at both ends of the full windows that survived, level 3 the full ones, by
-  128-bit hashes.
-
-Texts are dealt once over blocks; all passes read the same shuffle (Spark reuses the exchange). In a pass a block
-sends each distinct hash once, however often it occurs there, to the bucket of that hash; buckets answer with a bit
-per hash, set where it occurs elsewhere or repeatedly, and the block makes its hashes again to read the bits. So a
-passage in a third of all documents is one entry per block. Hashes travel in packed binary columns.
+* Level 2 counts the half-length windows at both ends of the full windows that survived.
+* Level 3 compares the words of the full windows that are left. Windows that follow one another and share the place
+  of their smallest short hash (about 13 do) are sent as one stretch of words to the bucket of that hash. Equal
+  windows have the same smallest hash, so they meet there, and are counted as equal if all of their words are.
+
+Hashes have 64 bits and only choose what the next level looks at: two different windows with one hash cost work and
+nothing else, as level 3 compares words. Texts are dealt once over blocks; all passes read the same shuffle (Spark
+reuses the exchange). In a pass a block sends each distinct hash or stretch once, however often it occurs there, to
+its bucket; buckets answer with a bit per hash or window, set where it occurs elsewhere or repeatedly, and the block
+makes its hashes again to read the bits. So a passage in a third of all documents is one entry per block.
 """
 
 from __future__ import annotations
@@ -24,17 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix64, n_blocks, row_key, text_buffers, whole_text
+from .common import bounded_batches, mix64, n_blocks, text_buffers, whole_text
 
 WORDS = 35
-BLOCK_BYTES = 3 << 20
+#: Bytes of text of a block, and of a task's blocks, on average.
+BLOCK_BYTES, TASK_BYTES = 3 << 20, 24 << 20
 #: Bytes hashed at a time, so that a very long text needs no more scratch memory than others.
 _SLICE = 4 << 20
+#: Windows whose words or short hashes are laid out side by side at a time.
+_ROWS = 1 << 15
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _TO_SPACE = bytes(0x20 if _SPACE[b] else b for b in range(256))
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
-_K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Words:
@@ -74,13 +80,9 @@ class Words:
         return mix64(out + (self.ends - self.starts).astype(np.uint64) * _K2)
 
 
-def _pair(left: np.ndarray, right: np.ndarray, k: np.uint64 = _K2) -> np.ndarray:
-    return mix64(left * _K1 + mix64(right + k))
-
-
-def _extend(h: np.ndarray, size: int, to: int, k: np.uint64 = _K2) -> np.ndarray:
+def _extend(h: np.ndarray, size: int, to: int) -> np.ndarray:
     """Hashes of windows of ``to`` words from those of ``size`` words (to <= 2 * size)."""
-    return _pair(h[: max(0, len(h) - (to - size))], h[to - size :], k)
+    return mix64(h[: max(0, len(h) - (to - size))] * _K1 + mix64(h[to - size :] + _K2))
 
 
 def _windows(h: np.ndarray, size: int, to: int) -> np.ndarray:
@@ -105,10 +107,6 @@ def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.searchsorted(among, values).clip(max=len(among) - 1)] == values
 
 
-def _unpack(table: pa.Table, name: str) -> np.ndarray:
-    return np.frombuffer(b"".join(x or b"" for x in table.column(name).to_pylist()), "<u8")
-
-
 class _Levels:
     def __init__(self, words: int):
         self.words = words
@@ -140,74 +138,164 @@ class _Levels:
         p = self.full_places(w)
         return p[good[p] & good[p + self.words - self.half]]
 
-    def full(self, w: Words, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        half = _windows(_windows(w.hash, 1, self.short), self.short, self.half)
-        left, right = half[p], half[p + self.words - self.half]
-        return _pair(left, right), _pair(right ^ _K3, left, _K3)
+    def anchors(self, w: Words, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For full windows at ``p`` the first place of their smallest short hash, and that hash."""
+        short, reach = _windows(w.hash, 1, self.short), np.arange(self.words - self.short + 1)
+        at = [q + short[q[:, None] + reach].argmin(1) for q in np.split(p, range(_ROWS, len(p), _ROWS))]
+        found = np.concatenate(at) if at else p
+        return found, short[found]
 
 
 class _Distinct:
     """The distinct hashes of a block's windows, ordered by bucket and value: the same on every pass over the block."""
 
-    def __init__(self, buckets: int, a: np.ndarray, b: np.ndarray | None = None):
-        order = np.argsort(a, kind="stable") if b is None else np.lexsort((b, a))
-        bucket = ((a[order] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+    def __init__(self, buckets: int, hashes: np.ndarray):
+        values, counts = np.unique(hashes, return_counts=True)
+        bucket = _bucket(values, buckets)
         by_bucket = np.argsort(bucket, kind="stable")
-        order, bucket = order[by_bucket], bucket[by_bucket]
-        new = np.ones(len(order), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (bucket[1:] != bucket[:-1])
-        if b is not None:
-            new[1:] |= b[order][1:] != b[order][:-1]
-        first = np.flatnonzero(new)
-        #: of each window its place among the distinct hashes
-        self.place = np.empty(len(order), np.int64)
-        self.place[order] = np.cumsum(new) - 1
-        self.a, self.b = a[order][first], None if b is None else b[order][first]
-        self.many = np.diff(np.append(first, len(order))) > 1
-        self.found, self.begin = np.unique(bucket[first], return_index=True)
-        self.end = np.append(self.begin[1:], len(first))[: len(self.begin)]
+        self.values, self.many, bucket = values[by_bucket], counts[by_bucket] > 1, bucket[by_bucket]
+        self.found, self.begin = np.unique(bucket, return_index=True)
+        self.end = np.append(self.begin[1:], len(values))[: len(self.begin)]
 
     def sent(self, block: int) -> pa.Table:
         """Each hash once, with whether it occurs many times here, one row per bucket."""
         spans = list(zip(self.begin.tolist(), self.end.tolist(), strict=True))
-        pack = lambda x: pa.array([x[i:j].tobytes() for i, j in spans], pa.binary())
-        none = pa.array([b""] * len(spans), pa.binary())
-        return pa.table({"bucket": pa.array(self.found, pa.int32()), "blk": pa.array(np.full(len(spans), block), pa.int64()), "a": pack(self.a), "b": none if self.b is None else pack(self.b), "many": pack(self.many)})
+        return _rows(block, self.found, [self.values[i:j].tobytes() for i, j in spans], [self.many[i:j].tobytes() for i, j in spans])
 
     def repeated(self, answers: pa.Table, level: int) -> np.ndarray:
-        """Which of the hashes occur elsewhere too or many times here, from the buckets' answers."""
-        flags = np.zeros(len(self.a), bool)
-        for k, bucket, bits in zip(answers.column("level").to_pylist(), answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
-            if k == level:
-                i = int(np.searchsorted(self.found, bucket))
-                n = int(self.end[i] - self.begin[i])
-                flags[self.begin[i] : self.end[i]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
-        return flags
+        """The hashes that occur elsewhere too or many times here, sorted, from the buckets' answers."""
+        flags = np.zeros(len(self.values), bool)
+        for bucket, bits in _bits(answers, level):
+            i = int(np.searchsorted(self.found, bucket))
+            flags[self.begin[i] : self.end[i]] = np.unpackbits(bits, count=int(self.end[i] - self.begin[i]))
+        return np.sort(self.values[flags])
+
+
+class _Stretches:
+    """The words of a block's candidate windows: stretches of windows that follow one another and share an anchor,
+    each distinct one once, ordered by bucket and first place: the same on every pass over the block."""
+
+    def __init__(self, buckets: int, levels: _Levels, w: Words, places: np.ndarray):
+        anchor, smallest = levels.anchors(w, places)
+        new = np.ones(len(places), bool)
+        new[1:] = (np.diff(places) != 1) | (np.diff(anchor) != 0)
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(places)))
+        text = w.raw.tobytes().translate(_TO_SPACE)
+        #: of each distinct stretch its number of windows, how often it stands here, and its bucket
+        self.places, known, which, sizes, self.times, owner = places, {}, [], [], [], []
+        for a, b, k, bucket in zip(w.starts[places[first]].tolist(), w.ends[places[first] + n + levels.words - 2].tolist(), n.tolist(), _bucket(smallest[first], buckets).tolist(), strict=True):
+            words = text[a:b]
+            if b"  " in words:
+                words = b" ".join(words.split())
+            at = known.setdefault(words, len(known))
+            if at == len(sizes):
+                sizes.append(k)
+                self.times.append(0)
+                owner.append(bucket)
+            self.times[at] += 1
+            which.append(at)
+        self.words, self.by_bucket = list(known), {}
+        for i, bucket in enumerate(owner):
+            self.by_bucket.setdefault(bucket, []).append(i)
+        self.sizes, self.ends = np.array(sizes, np.int64), np.cumsum(sizes, dtype=np.int64)
+        #: of each window its place among the distinct stretches' windows
+        which = np.array(which, np.int64)
+        self.place = np.repeat((self.ends - self.sizes)[which], n) + np.arange(len(places)) - np.repeat(first, n) if len(places) else places
+
+    def sent(self, block: int) -> pa.Table:
+        mine = list(self.by_bucket.items())
+        return _rows(block, np.array([b for b, _ in mine], np.int32), [b"\n".join([self.words[i] for i in own]) for _, own in mine], [bytes(self.times[i] > 1 for i in own) for _, own in mine])
+
+    def repeated(self, answers: pa.Table, level: int) -> np.ndarray:
+        """The places of windows that stand anywhere else too."""
+        flags = np.zeros(int(self.ends[-1]) if len(self.ends) else 0, bool)
+        for bucket, bits in _bits(answers, level):
+            own = np.array(self.by_bucket[bucket])
+            windows = np.repeat((self.ends - self.sizes)[own], n := self.sizes[own]) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            flags[windows] = np.unpackbits(bits, count=len(windows))
+        return self.places[flags[self.place]]
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+
+
+def _rows(block: int, buckets: np.ndarray, body: list[bytes], many: list[bytes]) -> pa.Table:
+    return pa.table({"bucket": pa.array(buckets, pa.int32()), "blk": pa.array(np.full(len(body), block), pa.int64()), "body": pa.array(body, pa.binary()), "many": pa.array(many, pa.binary())})
+
 
+def _bits(answers: pa.Table, level: int) -> list[tuple[int, np.ndarray]]:
+    rows = zip(answers.column("level").to_pylist(), answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True)
+    return [(bucket, np.frombuffer(bits, np.uint8)) for k, bucket, bits in rows if k == level]
 
-_SENT = "bucket int, blk long, a binary, b binary, many binary"
+
+_SENT = "bucket int, blk long, body binary, many binary"
 _ANSWER = "blk long, bucket int, bits binary"
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each block one bit per hash that it sent, set where the hash occurs in another block too or
-    many times in it."""
-    sizes = np.array([len(x) // 8 for x in table.column("a").to_pylist()])
-    a, b = _unpack(table, "a"), _unpack(table, "b")
-    many = np.frombuffer(b"".join(table.column("many").to_pylist()), bool)
-    order = np.lexsort((b, a)) if len(b) else np.argsort(a)
-    same = a[order][1:] == a[order][:-1]
-    if len(b):
-        same &= b[order][1:] == b[order][:-1]
-    twice = many.copy()
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+def _answered(table: pa.Table, twice: np.ndarray, sizes: np.ndarray) -> pa.Table:
+    """One row for each sender with something repeated: a bit for each of what it sent."""
     ends = np.cumsum(sizes)
     keep = [i for i, (x, y) in enumerate(zip(ends - sizes, ends, strict=True)) if twice[x:y].any()]
     bits = [np.packbits(twice[ends[i] - sizes[i] : ends[i]]).tobytes() for i in keep]
     return pa.table({"blk": table.column("blk").combine_chunks().take(pa.array(keep, pa.int64())), "bucket": table.column("bucket").combine_chunks().take(pa.array(keep, pa.int64())), "bits": pa.array(bits, pa.binary())})
 
 
+def _count_hashes(table: pa.Table) -> pa.Table:
+    """Of one bucket: for each block one bit per hash that it sent, set where the hash occurs in another block too or
+    many times in it."""
+    body = table.column("body").to_pylist()
+    values = np.frombuffer(b"".join(body), "<u8")
+    twice = np.frombuffer(b"".join(table.column("many").to_pylist()), bool).copy()
+    order = np.argsort(values, kind="stable")
+    same = values[order][1:] == values[order][:-1]
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    return _answered(table, twice, np.array([len(x) // 8 for x in body]))
+
+
+def _equal_windows(ids: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
+    """Which windows of word numbers equal another one, all of their words compared."""
+    reach, twice = np.arange(words), np.zeros(len(starts), bool)
+    key = _windows(mix64(ids.astype(np.uint64) + _K1), 1, words)[starts] if len(starts) else starts
+    for exact in (False, True):
+        order = np.argsort(key, kind="stable")
+        at, same = starts[order], key[order][1:] == key[order][:-1]
+        for some in np.split(pairs := np.flatnonzero(same), range(_ROWS, len(pairs), _ROWS)):
+            same[some] = (ids[at[some][:, None] + reach] == ids[at[some + 1][:, None] + reach]).all(1)
+        if exact or len(pairs) == same.sum():
+            break
+        # different windows share a key: number them by their words instead
+        rows = np.ascontiguousarray(ids[starts[:, None] + reach]).view([("", ids.dtype)] * words)[:, 0]
+        key = np.unique(rows, return_inverse=True)[1]
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    return twice
+
+
+def _compare_words(words: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Of one bucket: for each block one bit per window of the stretches that it sent, set where its words stand in
+        another stretch too or the stretch many times in the block."""
+        body = [x.split(b"\n") for x in table.column("body").to_pylist()]
+        stretches = [x for own in body for x in own]
+        data = b" ".join(stretches) + b" "
+        spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 0x20)
+        offsets = np.concatenate([[0], spaces + 1]).astype(np.int64)
+        # a value is a word and the space behind it
+        ids = pa.Array.from_buffers(pa.large_binary(), len(spaces), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode().indices.to_numpy()
+        begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in stretches])])
+        word = np.searchsorted(offsets, begin)
+        n = np.diff(word) - words + 1
+        starts = np.repeat(word[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        many = np.frombuffer(b"".join(table.column("many").to_pylist()), bool)
+        sizes = np.add.reduceat(n, np.cumsum([0] + [len(own) for own in body[:-1]]))
+        return _answered(table, _equal_windows(ids, starts, words) | np.repeat(many, n), sizes)
+
+    return run
+
+
 def _kept_bytes(raw: np.ndarray, w: Words, doc: int, gone: np.ndarray) -> tuple[int, list[bytes]]:
     """Words removed from a text, and the byte runs of those that stay."""
     lo, hi = w.bounds[doc], w.bounds[doc + 1]
@@ -219,45 +307,62 @@ def _kept_bytes(raw: np.ndarray, w: Words, doc: int, gone: np.ndarray) -> tuple[
     return removed, [raw[w.starts[lo + x] : w.ends[lo + y - 1]].tobytes() for x, y in zip(change[::2], change[1::2], strict=True)]
 
 
-def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
-    """One row per input row: id, n_words, n_removed, kept_sha256, on demand kept_text, and the columns ``carry``.
-    kept_text is the text itself where nothing is removed, else the kept runs as they stand, joined by a space.
+def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, n_words, n_removed, kept_sha256.
 
     Removed is each word covered by a window of ``words`` words whose sequence starts anywhere else too, in the same
     text or another; all windows are judged on the input. Words are runs without space, tab or line breaks. Null
     text has no words; a text shorter than a window keeps all of its words; repeated rows lose all words of theirs
-    that fill a window. Other columns are ignored; an empty table gives an empty result.
+    that fill a window. Other columns are ignored; an empty table gives an empty result. The input must come in the
+    same order when a lost task reads it again, as tables and checkpoints do.
     """
+    return _judged(docs, words, id_col, text_col).select(F.col("_id").alias(id_col), "n_words", "n_removed", "kept_sha256")
+
+
+def drop_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None) -> DataFrame:
+    """The input without the words that remove_repeats() removes: all columns, whatever their names, the text replaced.
+    A text that loses nothing stays as it is; of others the kept runs stay, joined by a space. Rows that lose all of
+    their words go. ``chars_col``, if there, becomes the new text's length."""
+    judged = _judged(docs, words, id_col, text_col, True, tuple(docs.columns)).where("n_removed = 0 OR n_removed < n_words")
+    new = {text_col: F.when((F.col("n_removed") > 0) | F.col(f"_c{docs.columns.index(text_col)}"), F.col("kept_text"))}
+    if chars_col in docs.columns:
+        new[chars_col] = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col(f"_c{docs.columns.index(chars_col)}")).cast(docs.schema[chars_col].dataType)
+    return judged.select(*[new.get(c, F.col(f"_c{i}")).alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _judged(docs: DataFrame, words: int, id_col: str, text_col: str, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """_id, n_words, n_removed, kept_sha256, on demand kept_text, and the columns ``carry`` as _c0, _c1 and so on (of
+    the text whether it is not null)."""
     if words < 4:
         raise ValueError("a window has 4 words at least")
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     blocks = n_blocks(docs, text_col, BLOCK_BYTES)
     buckets = max(8, blocks // 16)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks * BLOCK_BYTES // TASK_BYTES))
     kind = docs.schema[id_col].dataType.simpleString()
     levels = _Levels(words)
-    texts = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"), F.pmod(row_key(id_col, text_col), F.lit(blocks)).alias("blk"), *carry)
+    # the row's number spreads rows that are repeated
+    block = F.pmod(F.xxhash64(id_col, text_col, F.monotonically_increasing_id()), F.lit(blocks)).alias("_blk")
+    other = [(F.col(text_col).isNotNull() if c == text_col else F.col(c)).alias(f"_c{i}") for i, c in enumerate(carry)]
+    texts = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"), block, *other).repartition(tasks, "_blk")
 
-    nothing = _Distinct(buckets, np.zeros(0, np.uint64)).sent(0)
+    nothing = _rows(0, np.zeros(0, np.int32), [], [])
 
-    def candidates(w: Words, answers: pa.Table, level: int) -> _Distinct | None:
-        """The windows counted at a level: those that all levels below left."""
+    def candidates(w: Words, answers: pa.Table | None, level: int) -> _Distinct | _Stretches | None:
+        """What is counted at a level: what all levels below left."""
         if level == 1:
             return _Distinct(buckets, levels.level1(w))
         below = candidates(w, answers, level - 1)
-        kept = np.sort(below.a[below.repeated(answers, level - 1)]) if below else ()
+        kept = below.repeated(answers, level - 1) if below else ()
         if not len(kept):
             return None
-        if level == 2:
-            return _Distinct(buckets, levels.level2(w, kept))
-        places = levels.level3_places(w, kept)
-        found = _Distinct(buckets, *levels.full(w, places))
-        found.places = places
-        return found
+        return _Distinct(buckets, levels.level2(w, kept)) if level == 2 else _Stretches(4 * buckets, levels, w, levels.level3_places(w, kept))
 
     def count(level: int):
-        def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        def run(table: pa.Table, answers: pa.Table | None = None) -> pa.Table:
             found = candidates(Words(table.column("_text")), answers, level) if len(table) and (level == 1 or len(answers)) else None
-            return found.sent(table.column("blk")[0].as_py()) if found else nothing
+            return found.sent(table.column("_blk")[0].as_py()) if found else nothing
 
         return run
 
@@ -265,7 +370,7 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
         w = Words(table.column("_text"), hashes=len(answers) > 0)
         gone = np.zeros(len(w.starts), bool)
         if len(answers) and (found := candidates(w, answers, 3)) is not None:
-            p = found.places[found.repeated(answers, 3)[found.place]]
+            p = found.repeated(answers, 3)
             cover = np.bincount(p, minlength=len(w.starts) + 1) - np.bincount(p + words, minlength=len(w.starts) + 1)
             gone = np.cumsum(cover)[:-1] > 0
         removed, digests, out = [], [], []
@@ -281,19 +386,20 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
         columns = {"_id": table.column("_id"), "n_words": pa.array(w.n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
         if with_text:
             columns["kept_text"] = pa.array([x.decode() for x in out], pa.string())
-        columns |= {c: table.column(c) for c in carry}
+        columns |= {f"_c{i}": table.column(f"_c{i}") for i in range(len(carry))}
         return pa.table(columns)
 
     def ask(sent: DataFrame, level: int) -> DataFrame:
-        return sent.groupBy("bucket").applyInArrow(_answer, _ANSWER).withColumn("level", F.lit(level))
+        return sent.groupBy("bucket").applyInArrow(_count_hashes if level < 3 else _compare_words(words), _ANSWER).withColumn("level", F.lit(level))
 
-    by_block = lambda: texts.groupBy("blk")
-    kept = ask(by_block().applyInArrow(lambda t: count(1)(t, None), _SENT), 1)
+    by_block = lambda: texts.groupBy("_blk")
+    kept = ask(by_block().applyInArrow(lambda t: count(1)(t), _SENT), 1)
     for level in (2, 3):
         kept = kept.unionByName(ask(by_block().cogroup(kept.groupBy("blk")).applyInArrow(count(level), _SENT), level))
     schema = f"_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return by_block().cogroup(kept.groupBy("blk")).applyInArrow(last, schema).withColumnRenamed("_id", id_col)
+    kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
+    schema += "".join(f", _c{i} {kinds[f'_c{i}']}" for i in range(len(carry)))
+    return by_block().cogroup(kept.groupBy("blk")).applyInArrow(last, schema)
 
 
 ORACLE_SQL = """

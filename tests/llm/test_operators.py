@@ -399,13 +399,40 @@ def test_substring_dedup(docs, empty, size):
     assert substring_dedup.remove_repeats(empty, size).count() == 0
 
 
-def test_substring_dedup_keeps_text_and_columns(docs):
-    rows = substring_dedup.remove_repeats(docs, 35, carry=("source", "lang"), with_text=True)
-    for r in rows.collect():
-        kept = " ".join(re.findall(r"[^\x20\x09-\x0D]+", r.kept_text))
-        assert hashlib.sha256(kept.encode()).hexdigest() == r.kept_sha256
-    untouched = {r.doc_id: r.kept_text for r in rows.where("n_removed = 0").collect()}
-    assert untouched[3] == "   \n\t " and untouched[4] == "one"
+def test_substring_dedup_keeps_text_and_columns(spark):
+    rows = [(i, t, "s", n, n) for n, (i, t) in enumerate(texts())]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, n_removed string, _id int, n_words int")
+    kept = substring_dedup.drop_repeats(odd, 35, chars_col="n_words")
+    assert kept.columns == odd.columns
+    # row numbers in _id tell repeated rows apart
+    want = {n: r for (_, _, _, n, _), r in zip(rows, removal(texts(), 35), strict=True)}
+    got = {r["_id"]: r for r in kept.collect()}
+    assert set(got) == {n for n, r in want.items() if not r[2] or r[2] < r[1]}
+    for n, r in got.items():
+        assert r.n_removed == "s" and r.doc_id == rows[n][0]
+        assert hashlib.sha256(" ".join(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")).encode()).hexdigest() == want[n][3]
+        assert r.n_words == (len(r.text) if want[n][2] else n)
+        assert want[n][2] or r.text == rows[n][1]
+
+
+#: Two words that a sum of byte values times place factors gave one 64-bit hash.
+COLLIDING = "hbdaehcdgghcdeee", "beaababgfdbfgghf"
+
+
+def test_substring_dedup_compares_words(spark, monkeypatch):
+    """Windows with equal hashes and different words do not repeat."""
+    random.seed(12)
+    rest = ["".join(random.choice("abcdefgh") for _ in range(5)) for _ in range(34)]
+    rows = [(i, " ".join([*rest[:17], w, *rest[17:]])) for i, w in enumerate(COLLIDING)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(collected(substring_dedup.remove_repeats(df))) == sorted(removal(rows, 35))
+    # the last level alone, with a hash that tells nothing apart: words are numbered, 0 0 1 0 0 2 0 0 1 ...
+    ids = np.array([0, 0, 1, 0, 0, 2, 0, 0, 1, 3, 0, 2, 0, 0], np.int32)
+    starts = np.arange(len(ids) - 3)
+    want = [Counter(tuple(ids[i : i + 4]) for i in starts)[tuple(ids[s : s + 4])] > 1 for s in starts]
+    assert substring_dedup._equal_windows(ids, starts, 4).tolist() == want
+    monkeypatch.setattr(substring_dedup, "mix64", lambda x: x * np.uint64(0))
+    assert substring_dedup._equal_windows(ids, starts, 4).tolist() == want
 
 
 def test_licenses(docs, empty):
