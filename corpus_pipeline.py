@@ -41,9 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 35 words and more that stand elsewhere too; what is left without words goes."""
     release_scratch(spark)
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    kept = substring_dedup.remove_repeats(docs, 35, carry=carry, with_text=True).where("n_removed < n_words")
-    return kept.select(*[F.col("kept_text").alias("text") if c == "text" else F.length("kept_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return substring_dedup.drop_repeats(docs, 35, chars_col="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
