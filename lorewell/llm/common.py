@@ -14,8 +14,34 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 6 << 20
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
+#: A key is hot when it has over 1/HOT_SHARE of all rows and over LEAST_HOT; its rows are dealt over SALTS sub-groups.
+HOT_SHARE, LEAST_HOT, SALTS = 1000, 500, 64
 
-_scratch: list[str] = []
+
+class Scratch:
+    """The scratch tables made while a block runs, to be deleted once the results that read them have been written::
+
+        with scratch: result = near_groups(docs)
+        result.write.parquet(path)
+        scratch.release(spark)
+
+    Tables made outside of any such block stay."""
+
+    _open: list[Scratch] = []
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scratch._open.remove(self)
+
+    def release(self, spark: SparkSession) -> None:
+        while self.paths:
+            drop_path(spark, self.paths.pop())
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -25,19 +51,22 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where all is one machine, a
+    folder of our own if that is unset; on a cluster it must be set."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lorewell-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, what: str, lasting: bool = False) -> str:
-    """A new path in the shared folder. It stays until release_scratch(), or until the caller drops a lasting one."""
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, which the innermost open Scratch will delete."""
     path = f"{shared_folder(spark)}/lorewell-{what}-{uuid.uuid4().hex}"
-    if not lasting:
-        _scratch.append(path)
+    if Scratch._open:
+        Scratch._open[-1].paths.append(path)
     return path
 
 
@@ -46,12 +75,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far. Call it once results that read them have been written."""
-    while _scratch:
-        drop_path(spark, _scratch.pop())
-
-
 def cut_lineage(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again, so that it is computed once and outlives executors."""
     spark = df.sparkSession
@@ -65,9 +88,22 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def row_key(*names: str) -> Column:
-    """A 64-bit key that spreads rows evenly even where one column is constant or null."""
-    return F.xxhash64(*[F.col(n) for n in names])
+def hot_keys(rows: DataFrame, by: str, least: int = LEAST_HOT) -> list:
+    """The keys that over 1/HOT_SHARE of all rows have, so at most HOT_SHARE of them."""
+    bound = max(least, rows.count() // HOT_SHARE)
+    return [r[0] for r in rows.groupBy(by).count().where(F.col("count") > bound).select(by).collect()]
+
+
+def spread_join(rows: DataFrame, single: DataFrame, by: str, how: str = "inner", least: int = LEAST_HOT) -> DataFrame:
+    """``rows`` joined with ``single``, which has one row for each key. Rows of a hot key are dealt over SALTS
+    sub-groups by their number, and the key's one row is copied to each."""
+    hot = hot_keys(rows, by, least)
+    if not hot:
+        return rows.join(single, by, how)
+    is_hot = F.col(by).isin(hot)
+    salted = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    copies = single.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(copies, [by, "_salt"], how).drop("_salt")
 
 
 def n_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:

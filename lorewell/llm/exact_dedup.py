@@ -1,7 +1,7 @@
 """Exact dedup by skew-safe combining, in DataFrame operations only.
 
 1. Local: Spark's map-side aggregate keeps one row of each distinct (digest, salt, text) in a task.
-2. Salted: rows of hot digests are dealt over SALTS sub-groups by a hash of their id; each sub-group combines.
+2. Salted: rows of hot digests are dealt over SALTS sub-groups by their number; each sub-group combines.
 3. Global: the sub-groups' winners of a hot digest (at most SALTS of each text) are combined.
 
 The text itself is part of every grouping key, so full contents are compared at each of the three stages.
@@ -14,14 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
-
-#: Sub-groups of a hot digest.
-SALTS = 64
-#: A digest is hot when it has over 1/HOT_SHARE of all rows, so at most HOT_SHARE digests are.
-HOT_SHARE = 1000
-LEAST_HOT = 500
-
+from .common import LEAST_HOT, SALTS, hot_keys, whole_text
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, least_hot: int = LEAST_HOT) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
@@ -33,18 +26,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
     keyed = rows.withColumn("_digest", F.unhex(F.sha2("_text", 256)))
-    least = max(least_hot, docs.count() // HOT_SHARE)
-    hot = [r[0] for r in keyed.groupBy("_digest").count().where(F.col("count") > least).select("_digest").collect()]
+    hot = hot_keys(keyed, "_digest", least_hot)
     is_hot = F.col("_digest").isin(hot) if hot else F.lit(False)
-    keyed = keyed.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int")).otherwise(F.lit(-1)))
+    keyed = keyed.withColumn("_salt", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).otherwise(F.lit(-1)))
 
     def winners(df: DataFrame) -> DataFrame:
         return df.groupBy("_digest", "_salt", "_text").agg(F.max("_id").alias("_win"), F.count("*").alias("_n"))
 
     if hot:
         salted = winners(keyed.where("_salt >= 0"))
-        whole = salted.groupBy("_digest", "_text").agg(F.max("_win").alias("_win"), F.sum("_n").alias("_n"), F.collect_set("_salt").alias("_salts"))
-        whole = whole.select("_digest", F.explode("_salts").alias("_salt"), "_win", "_n")
+        whole = salted.groupBy("_digest", "_text").agg(F.max("_win").alias("_win"), F.sum("_n").alias("_n"))
+        whole = whole.select("_digest", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), "_win", "_n")
         cold = winners(keyed.where("_salt < 0")).select("_digest", "_salt", "_win", "_n")
         groups = cold.unionByName(whole)
     else:
@@ -62,19 +54,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, least_hot: int = LEAST_HOT) -> DataFrame:
     """The input with one row of each distinct text: the one with the largest id, of rows repeated with that id the
-    largest by the other columns. All columns are kept; the three stages are those above."""
-    rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    keyed = docs.select(F.struct(F.col(id_col), *rest).alias("_row"), F.col(text_col).isNotNull().alias("_known"), whole_text(text_col).alias("_text")).withColumn("_digest", F.unhex(F.sha2("_text", 256)))
-    least = max(least_hot, docs.count() // HOT_SHARE)
-    hot = [r[0] for r in keyed.groupBy("_digest").count().where(F.col("count") > least).select("_digest").collect()]
+    largest by the other columns (MAP columns, which have no order, aside). All columns are kept, whatever their names;
+    the three stages are those above."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    maps = [names[f.name] for f in docs.schema.fields if "map<" in f.dataType.simpleString()]
+    own, text = [x for c, x in names.items() if c not in (id_col, text_col) and x not in maps], names[text_col]
+    # what decides, then what only goes along
+    keyed = docs.toDF(*names.values()).select(F.struct(names[id_col], *own).alias("_row"), F.struct(F.lit(0), *maps).alias("_more"), F.col(text).isNotNull().alias("_known"), whole_text(text).alias("_text")).withColumn("_digest", F.unhex(F.sha2("_text", 256)))
+    hot = hot_keys(keyed, "_digest", least_hot)
     is_hot = F.col("_digest").isin(hot) if hot else F.lit(False)
-    best = F.max(F.struct("_row", "_known")).alias("_best")
-    cold = keyed.where(~is_hot).groupBy("_digest", "_text").agg(best)
+    order = F.struct("_row", "_known")
+    best = (F.max(order).alias("_best"), F.max_by("_more", order).alias("_more"))
+    cold = keyed.where(~is_hot).groupBy("_digest", "_text").agg(*best)
     if hot:
-        salted = keyed.where(is_hot).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts))).groupBy("_digest", "_salt", "_text").agg(best)
-        cold = cold.unionByName(salted.groupBy("_digest", "_text").agg(F.max("_best").alias("_best")))
-    text = F.when(F.col("_best._known"), F.col("_text")).alias(text_col)
-    return cold.select(*[text if c == text_col else F.col(f"_best._row.{c}").alias(c) for c in docs.columns])
+        salted = keyed.where(is_hot).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))).groupBy("_digest", "_salt", "_text").agg(*best)
+        cold = cold.unionByName(salted.groupBy("_digest", "_text").agg(F.max("_best").alias("_best"), F.max_by("_more", "_best").alias("_more")))
+    kept = {text: F.when(F.col("_best._known"), F.col("_text"))} | {m: F.col(f"_more.{m}") for m in maps}
+    return cold.select(*[kept.get(x, F.col(f"_best._row.{x}")).alias(c) for c, x in names.items()])
 
 
 ORACLE_SQL = """

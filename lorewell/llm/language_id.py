@@ -195,18 +195,31 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def identify(docs: DataFrame, filters: Filters, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with lang_pred and score. ``und`` and 0 for null texts and texts without letters; texts
+    """The columns ``keep``, as they are named, then lang_pred and score. ``und`` and 0 for null texts and texts without letters; texts
     of which no n-gram is known get the most frequent language and score 0. Only the text is looked at."""
+    return _named(docs, filters, text_col, keep).toDF(*keep, "lang_pred", "score")
+
+
+def _named(docs: DataFrame, filters: Filters, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """The columns ``keep`` as _c0, _c1 and so on, lang_pred and score."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # GRAMS n-grams a language bound it
-    kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in keep)
+    kinds = ", ".join(f"_c{i} {docs.schema[n].dataType.simpleString()}" for i, n in enumerate(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = shared.value.predict(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], [*(f"_c{i}" for i in range(len(keep))), "lang_pred", "score"])
+
+    rows = docs.select(*[F.col(n).alias(f"_c{i}") for i, n in enumerate(keep)], F.col(text_col).alias("_text"))
+    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+def keep_known(docs: DataFrame, filters: Filters, least: float, text_col: str = "text") -> DataFrame:
+    """The rows whose text is in one of the languages: neither ``und`` nor of a score below ``least``. All columns are
+    kept, whatever their names."""
+    named = _named(docs, filters, text_col, tuple(docs.columns))
+    return named.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).drop("lang_pred", "score").toDF(*docs.columns)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -25,18 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, cut_lineage, row_key, whole_text
+from .common import bounded_batches, cut_lineage, spread_join, whole_text
 from .components import TASK_LINKS, components
 
 SHINGLE, BITS, SEED = 3, 3, 42
 #: Fingerprints on one key beyond which links go by bridging values.
 HOT_KEY = 2000
-#: Shares of rows, as in exact_dedup: a fingerprint with over 1/HOT_SHARE of the rows is joined over SALTS sub-groups.
-HOT_SHARE, LEAST_HOT, SALTS = 1000, 500, 64
-#: The similarity mode: hashes kept of a text, how many of them are looked up, documents on one look-up that are compared pair by pair, and how far below the similarity a sketch may stay (four standard errors) for the whole sets to be compared.
-SKETCH, LOOKUPS, GROUP, SLACK = 64, 5, 256, 0.2
-#: The order of prefixes: one row in ORDER_SAMPLE is counted, and of the hashes met ORDER_LEAST times there the ORDER_MOST most frequent come last. It decides about work only; any order finds the same pairs. A group is compared in slices of SLICE rows.
-ORDER_SAMPLE, ORDER_LEAST, ORDER_MOST, SLICE = 8, 4, 1 << 17, 2000
+#: The order of prefixes: one row in ORDER_SAMPLE is counted, and of the hashes met ORDER_LEAST times there the ORDER_MOST most frequent come last. It decides about work only; any order finds the same pairs.
+ORDER_SAMPLE, ORDER_LEAST, ORDER_MOST = 16, 3, 1 << 17
+#: Bits of a set's parity map, rows of one prefix hash that are compared in one task, and pairs of one row that are.
+PARITY, SLICE, HUB = 512, 2000, 500
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -63,29 +61,17 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", sketch: int = 0) -> DataFrame:
-    """(id, fp) of each row, and the ``sketch`` smallest distinct shingle hashes with the number of distinct ones; with
-    a sketch, the fingerprint is of the distinct hashes."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, fp) of each row."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, small, many = [], [], []
-            for t in b.column(1):
-                h = shingle_hashes(t.as_py(), shingle)
-                distinct = np.unique(h) if sketch else h
-                fps.append(fingerprint(distinct))
-                if sketch:
-                    many.append(len(distinct))
-                    small.append((distinct[:sketch] ^ np.uint64(1 << 63)).view(np.int64))  # signed order is the hashes' order
-            columns = [b.column(0), pa.array(fps, pa.int64())]
-            if sketch:
-                columns += [pa.array(small, pa.list_(pa.int64())), pa.array(many, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["_id", "fp", "sketch", "n_shingles"][: len(columns)])
-
-    schema = f"_id {kind}, fp long" + ", sketch array<long>, n_shingles long" * bool(sketch)
-    return docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text")).mapInArrow(run, schema)
+            fps = [fingerprint(shingle_hashes(t.as_py(), shingle)) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["_id", "fp"])
+
+    return docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, fp long")
 
 
 def _signed(x: int) -> int:
@@ -112,6 +98,8 @@ def links(fps: DataFrame, bits: int = BITS, hot_key: int = HOT_KEY) -> DataFrame
         raise ValueError("links are found up to 3 differing bits")
     segments = bits + 1
     widths = _widths(segments)
+    # a fingerprint makes some 70 rows: dealt over all tasks first
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     budgets = [(i + 1) * bits // segments for i in range(segments)]
 
     def key_rows(i: int, ring: Column, flips: bool) -> Column:
@@ -135,7 +123,7 @@ def links(fps: DataFrame, bits: int = BITS, hot_key: int = HOT_KEY) -> DataFrame
     hot = own.groupBy("key").count().where(F.col("count") > hot_key).select("key")
     some_hot = bool(hot.take(1))
     left = (own.join(hot, "key", "left_anti") if some_hot else own).select("key", F.col("at").alias("at_a"), F.col("ring").alias("ring_a"))
-    right = keyed(True).select("key", F.col("at").alias("at_b"), F.col("ring").alias("ring_b"))
+    right = (keyed(True).join(hot, "key", "left_anti") if some_hot else keyed(True)).select("key", F.col("at").alias("at_b"), F.col("ring").alias("ring_b"))
     differ = F.col("ring_a").bitwiseXOR(F.col("ring_b"))
     chain, lows = F.col("at_a") == F.col("at_b"), [*widths, *widths]
     for i in range(segments):
@@ -172,68 +160,12 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, id_co
     null, then component_id is null. Other columns are ignored; an empty table gives an empty result.
     """
     rows = cut_lineage(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("_id").alias("_least"), F.count("*").alias("_n"))
+    classes = rows.groupBy("fp").agg(F.min("_id").alias("_least"))
     roots = components(links(classes.select("fp"), bits, hot_key), task_links)
-    placed = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = cut_lineage(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "classes")
     least = placed.groupBy("root").agg(F.min("_least").alias("component_id"))
-    # a hot fingerprint's rows are dealt over SALTS sub-groups, and its class row is copied to each
-    bound = max(LEAST_HOT, rows.count() // HOT_SHARE)
-    hot = [r[0] for r in classes.where(F.col("_n") > bound).select("fp").collect()]
-    is_hot = F.col("fp").isin(hot) if hot else F.lit(False)
-    named = placed.join(least, "root").select("fp", "component_id", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"))
-    salted = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
-    return salted.join(named, ["fp", "_salt"]).select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def _meeting(rows: DataFrame, by: str, similarity: float) -> DataFrame:
-    """Pairs (a, b) of rows (by, key, n_shingles) that meet on ``by`` and whose set sizes allow the similarity."""
-    left = rows.select(by, F.col("key").alias("a"), F.col("n_shingles").alias("n_a"))
-    right = rows.select(by, F.col("key").alias("b"), F.col("n_shingles").alias("n_b"))
-    sizes = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
-    return left.join(right, by).where((F.col("a") < F.col("b")) & sizes).select("a", "b")
-
-
-def _sized(rows: DataFrame, by: str, group: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of groups of 2 .. ``group`` rows, and rows of larger ones."""
-    sizes = rows.groupBy(by).agg(F.count("*").alias("_n")).where("_n > 1")
-    known = rows.join(sizes, by)
-    return known.where(F.col("_n") <= group).drop("_n"), known.where(F.col("_n") > group).drop("_n")
-
-
-def _looked(sketches: DataFrame, lookups: int = LOOKUPS) -> DataFrame:
-    return sketches.select("key", "fp", "n_shingles", F.explode(F.slice("sketch", 1, lookups)).alias("h"))
-
-
-def similar_pairs(sketches: DataFrame, similarity: float, group: int = GROUP, lookups: int = LOOKUPS) -> DataFrame:
-    """Pairs (a, b) of rows (key, fp, sketch, n_shingles) whose shingle sets may have Jaccard similarity
-    ``similarity`` or more, by their sketches (exact up to SKETCH distinct shingles).
-
-    At 0.8 fingerprints differ in about 10 of 64 bits, too many for a segment to be equal, so rows meet on their
-    ``lookups`` smallest shingle hashes instead, and the sketches decide about all that meet. Where more than ``group`` rows meet on one hash, each is compared with the group's first row and
-    with the next one in order here, and prefix_pairs() compares what that leaves unlinked. Fingerprints within BITS
-    bits are candidates as well.
-    """
-    few, many = _sized(_looked(sketches, lookups), "h", group)
-    first = many.groupBy("h").agg(F.min("key").alias("a"))
-    star = many.join(first, "h").where("key <> a").select("a", F.col("key").alias("b"))
-    following = many.withColumn("b", F.lead("key").over(Window.partitionBy("h").orderBy("fp", "key"))).where("b IS NOT NULL").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
-    classes = sketches.groupBy("fp").agg(F.min("key").alias("key"))
-    same = sketches.select("fp", F.col("key").alias("b")).join(classes, "fp").where("key <> b").select(F.col("key").alias("a"), "b")
-    close = links(classes.select("fp")).join(classes.select(F.col("fp").alias("a"), F.col("key").alias("ka")), "a").join(classes.select(F.col("fp").alias("b"), F.col("key").alias("kb")), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
-    pairs = _meeting(few, "h", similarity).unionByName(star).unionByName(following).unionByName(same).unionByName(close).distinct()
-    return _by_sketches(pairs, sketches, similarity)
-
-
-def _by_sketches(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The pairs that may be similar enough by their sketches."""
-    side = lambda x: sketches.select(F.col("key").alias(x), F.col("sketch").alias(f"s_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.array_intersect("s_a", "s_b")
-    whole = (F.col("n_a") <= SKETCH) & (F.col("n_b") <= SKETCH)
-    smallest = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, SKETCH)
-    exact = F.size(shared) / (F.col("n_a") + F.col("n_b") - F.size(shared))
-    near = F.size(F.array_intersect(smallest, shared)) / F.size(smallest)
-    return both.where(F.when(whole, exact >= similarity - 1e-9).otherwise(near >= similarity - SLACK)).select("a", "b")
+    named = spread_join(placed.select("fp", "root"), least, "root").select("fp", "component_id")
+    return spread_join(rows, named, "fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _distinct_hashes(texts: DataFrame, shingle: int) -> DataFrame:
@@ -245,94 +177,146 @@ def _distinct_hashes(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("_text").mapInArrow(run, "h long")
 
 
-def prefixes(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(key, root, n, at, h) over rows (key, root, _text): the hashes of each row's prefix with their places, rarest first.
+def profiles(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """For rows (key, _text) that have words: key, n (distinct shingles), fp (of the distinct ones), parity and prefix.
 
-    Of two sets of which one has n hashes, at Jaccard similarity s the first n - ceil(s n) + 1 of each in any common order
-    share one, for else fewer than s n of the n were shared."""
+    The prefix holds the first n - ceil(s n) + 1 shingle hashes in one common order, the frequent ones last: of two
+    sets at Jaccard similarity s the prefixes share a hash, for else fewer than s n of the n were shared. Its hashes
+    that the sample shows in over SLICE rows stand in ``hot``, the others in ``cold``, both as (place, hash) arrays.
+    Bit i of the parity map is the number of hashes that end in i, modulo 2: two maps differ in no more bits than the
+    sets differ in hashes."""
+    spark = texts.sparkSession
     sample = texts.where(F.pmod(F.xxhash64("key"), F.lit(ORDER_SAMPLE)) == 0)
     counts = _distinct_hashes(sample, shingle).groupBy("h").count().where(F.col("count") >= ORDER_LEAST)
     often = counts.orderBy(F.desc("count"), "h").limit(ORDER_MOST).toArrow()
     common, times = often.column("h").to_numpy().view(np.uint64), often.column("count").to_numpy()
     order = np.argsort(common)
-    common, times = np.append(common[order], np.uint64(0)), np.append(times[order], 0)
+    # at most ORDER_MOST numbers
+    shared = spark.sparkContext.broadcast((np.append(common[order], np.uint64(0)), np.append(times[order], 0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, times = shared.value
         for b in batches:
-            parts, sizes, lengths = [], [], []
-            for t in b.column(2):
+            rows = []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 h = np.unique(shingle_hashes(t.as_py(), shingle))
+                n = len(h)
+                if not n:
+                    continue
                 at = np.searchsorted(common[:-1], h)
                 seen = np.where(common[at] == h, times[at], 0)
-                n = len(h)
-                parts.append(h[np.lexsort((h, seen))][: n - int(np.ceil(similarity * n - 1e-9)) + 1])
-                sizes.append(n)
-                lengths.append(len(parts[-1]))
-            if parts:
-                keys, roots = (np.repeat(b.column(i).to_numpy(), lengths) for i in (0, 1))
-                places = np.concatenate([np.arange(x) for x in lengths])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, roots, np.repeat(sizes, lengths), places, np.concatenate(parts).view(np.int64))], ["key", "root", "n", "at", "h"])
+                first = np.argsort(seen, kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+                hot = seen[first] * ORDER_SAMPLE > SLICE
+                parity = np.bincount((h % np.uint64(PARITY)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1
+                chosen, places = h[first].view(np.int64), np.arange(len(first), dtype=np.int32)
+                rows.append((k, n, fingerprint(h), np.packbits(parity).view(np.int64), places[~hot], chosen[~hot], places[hot], chosen[hot]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["key", "n", "fp", "parity", "cold_at", "cold", "hot_at", "hot"])
 
-    return texts.select("key", "root", "_text").mapInArrow(run, "key long, root long, n long, at long, h long")
+    return texts.select("key", "_text").mapInArrow(run, "key long, n long, fp long, parity array<long>, cold_at array<int>, cold array<long>, hot_at array<int>, hot array<long>")
 
 
-def prefix_pairs(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Pairs (a, b) of rows (key, root, _text) of different roots, among them all of similarity ``similarity`` or more.
+def _meetings(known: DataFrame) -> DataFrame:
+    """(h, key, at, centre) of the prefix hashes that two rows and more share; the centre is the smallest such key."""
+
+    def rows(which: str) -> DataFrame:
+        return known.select("key", F.explode(F.arrays_zip(which, f"{which}_at")).alias("x")).select(F.col(f"x.{which}").alias("h"), "key", F.col(f"x.{which}_at").alias("at"))
 
-    Rows meet on the hashes of their prefixes, whatever the size of the group. Only pairs of one root, which are linked
-    already, are left out: each row that is not of the group's most frequent root meets all others."""
     w = Window.partitionBy("h")
-    meet = prefixes(texts, similarity, shingle).select("*", F.count("*").over(w).alias("_n"), F.min("root").over(w).alias("_low"), F.max("root").over(w).alias("_high"), F.mode("root").over(w).alias("_most"))
-    slices = F.ceil(F.col("_n") / SLICE).cast("int")
-    meet = cut_lineage(meet.where("_low <> _high").select("h", "key", "root", "n", "at", "_most", slices.alias("_slices")), "prefixes")
-    left = meet.where("root <> _most").select("h", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"), *[F.col(c).alias(f"{c}_a") for c in ("key", "root", "n", "at")])
-    right = meet.select("h", F.pmod(F.xxhash64("key"), F.col("_slices")).cast("int").alias("_slice"), "_most", *[F.col(c).alias(f"{c}_b") for c in ("key", "root", "n", "at")])
-    once = (F.col("root_b") == F.col("_most")) | (F.col("key_a") < F.col("key_b"))
-    # the first hash that two rows share leaves them no more than the shorter rest
-    needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-9)
-    found = left.join(right, ["h", "_slice"]).where((F.col("root_a") != F.col("root_b")) & once & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= needed))
+    cold = rows("cold").select("*", F.min("key").over(w).alias("centre"), F.max("key").over(w).alias("_last")).where("centre <> _last").drop("_last")
+    hot = rows("hot")
+    # at most ORDER_MOST rows
+    centres = hot.groupBy("h").agg(F.min("key").alias("centre"), F.max("key").alias("_last")).where("centre <> _last").drop("_last")
+    return cold.unionByName(hot.join(F.broadcast(centres), "h").select("h", "key", "at", "centre"))
+
+
+def _may_be_similar(similarity: float, used: Column | None = None) -> Column:
+    """Whether two sets of n_a and n_b hashes may share as many as ``similarity`` takes, by their sizes, their parity
+    maps and, for a hash that both hold at at_a and at_b and none before, the places left. Drops no similar pair."""
+    both = F.col("n_a") + F.col("n_b")
+    needed = F.ceil(F.lit(similarity / (1 + similarity)) * both - 1e-9)
+    apart = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY // 64)), F.lit(0))
+    sizes = F.least("n_a", "n_b") >= needed
+    return (sizes if used is None else sizes & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= needed)) & (apart <= both - 2 * needed)
+
+
+def _side(known: DataFrame, x: str, *more: str) -> DataFrame:
+    return known.select(*[F.col(c).alias(x if c == "key" else f"{c}_{x}") for c in ("key", "n", "parity", *more)])
+
+
+def first_pairs(known: DataFrame, meetings: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) that may be similar, as many as rows: equal fingerprints, fingerprints that pigeonring finds within
+    BITS bits, and for each prefix hash all rows with its centre."""
+    classes = known.groupBy("fp").agg(F.min("key").alias("first"))
+    same = spread_join(known.select("fp", F.col("key").alias("b")), classes, "fp").where("first <> b").select(F.col("first").alias("a"), "b")
+    one = lambda x: classes.select(F.col("fp").alias(x), F.col("first").alias(f"k{x}"))
+    close = links(classes.select("fp")).join(one("a"), "a").join(one("b"), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    stars = meetings.where("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b"))
+    pairs = same.unionByName(close).unionByName(stars).distinct()
+    return spread_join(pairs.join(_side(known, "b"), "b"), _side(known, "a"), "a").where(_may_be_similar(similarity)).select("a", "b")
+
+
+def other_pairs(placed: DataFrame, meetings: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of rows (key, n, parity, root) of different roots that may be similar, all of them: rows meet on
+    every hash of their prefixes, whatever the size of the group. Only rows of the centre's root do not meet each
+    other, as they are linked. A group is dealt over slices, and sizes are compared by buckets that a similar pair's
+    differ by one at most."""
+    groups = spread_join(meetings, placed.select("key", "root"), "key")
+    several = groups.groupBy("h").agg(F.count("*").alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high"), F.min_by("root", "key").alias("main")).where("_low <> _high")
+    several = several.select("h", "main", F.ceil(F.col("_n") / SLICE).cast("int").alias("slices"))
+    bucket = F.floor(F.log(F.col("n")) / F.lit(-np.log(similarity)) + F.lit(1e-9)).cast("int")
+    met = cut_lineage(spread_join(spread_join(groups.select("h", "key", "at"), several, "h"), placed, "key").withColumn("bucket", bucket), "meetings")
+    near = F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])).alias("bucket")
+    names = ("key", "root", "n", "at", "parity")
+    sliced = met.where("root <> main").select("h", "bucket", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), *[F.col(c).alias(f"{c}_a") for c in names])
+    left = sliced.select("h", "slice", near, *[f"{c}_a" for c in names])
+    right = met.select("h", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int").alias("slice"), "bucket", "main", *[F.col(c).alias(f"{c}_b") for c in names])
+    once = (F.col("root_b") == F.col("main")) | (F.col("key_a") < F.col("key_b"))
+    found = left.join(right, ["h", "slice", "bucket"]).where((F.col("root_a") != F.col("root_b")) & once & _may_be_similar(similarity, F.col("at_a")))
     return found.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
 
 
-def verified_pairs(pairs: DataFrame, keyed: DataFrame, similarity: float, shingle: int, key_col: str = "_key", text_col: str = "text") -> DataFrame:
-    """The pairs whose whole shingle sets are similar enough. Sets are made only of rows that are in some pair."""
+def verified_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs whose whole shingle sets are similar enough. Sets are made only of rows (key, _text) that are in some
+    pair. A row with many pairs is copied to a task for each HUB of them, its partners' sets come to it."""
     pairs = cut_lineage(pairs, "pairs")
     # written, so that its size is known when the join is planned: texts are shuffled only if it is too large to broadcast
     needed = cut_lineage(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "keys")
-    texts = keyed.select(F.col(key_col).alias("key"), whole_text(text_col).alias("_text")).join(needed, "key", "left_semi").select("key", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "s"])
 
-    sets = texts.mapInArrow(run, "key long, s array<long>")
-    side = lambda x: sets.select(F.col("key").alias(x), F.col("s").alias(f"s_{x}"))
+    sets = cut_lineage(texts.join(needed, "key", "left_semi").select("key", "_text").mapInArrow(run, "key long, s array<long>"), "sets")
+    slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("slices"))
+    partners = spread_join(pairs, sets.select(F.col("key").alias("b"), F.col("s").alias("s_b")), "b")
+    sliced = spread_join(partners, slices, "a").select("a", "b", "s_b", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"))
+    hubs = slices.join(sets.withColumnRenamed("key", "a"), "a").select("a", F.col("s").alias("s_a"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
     shared = F.size(F.array_intersect("s_a", "s_b"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(shared / (F.size("s_a") + F.size("s_b") - shared) >= similarity - 1e-9).select("a", "b")
-
-
-def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """The input without near copies: of each group of linked rows the one with the smallest id stays, with all of
-    its columns. Texts without words are linked to none. Rows repeated with id and text count as one group.
-
-    Rows that over ``group`` rows meet on one hash are linked as far as similar_pairs() does first; then they meet
-    on their prefixes."""
-    keyed = docs.withColumn("_key", row_key(id_col, text_col))
-    # a row's key and id travel through the fingerprints as one
-    packed = keyed.withColumn("_both", F.struct(F.col("_key").alias("key"), F.col(id_col).cast("long").alias("id")))
-    found = fingerprints(packed, shingle, "_both", text_col, SKETCH).where("n_shingles > 0")
-    sketches = cut_lineage(found.select("_id.key", "_id.id", "fp", "sketch", "n_shingles"), "sketches")
-    likely = similar_pairs(sketches.select("key", "fp", "sketch", "n_shingles"), similarity, group=group)
-    roots = components(verified_pairs(likely, keyed, similarity, shingle, text_col=text_col))
-    crowded = cut_lineage(_sized(_looked(sketches), "h", group)[1].select("key").distinct(), "crowded")
-    if not crowded.isEmpty():
-        placed = crowded.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
-        texts = keyed.select(F.col("_key").alias("key"), whole_text(text_col).alias("_text")).join(placed, "key")
-        more = _by_sketches(prefix_pairs(texts, similarity, shingle), sketches, similarity)
-        found = verified_pairs(more, keyed, similarity, shingle, text_col=text_col)
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
-    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(sketches.select(F.col("key").alias("node"), "id"), "node")
-    stays = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "node")).alias("s"))
-    gone = cut_lineage(members.join(stays, "root").where(F.col("node") != F.col("s.node")).select(F.col("node").alias("_key")).distinct(), "gone")
-    return keyed.join(gone, "_key", "left_anti").drop("_key")
+    return sliced.join(hubs, ["a", "slice"]).where(shared / (F.size("s_a") + F.size("s_b") - shared) >= similarity - 1e-9).select("a", "b")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input without near copies: of each group of rows linked by Jaccard similarity ``similarity`` or more of
+    their distinct shingles, the one with the smallest id stays, with all of its columns, whatever their names.
+
+    No similar pair is left out, but for those of one group already. Texts without words are linked to none. Of rows
+    repeated with id and text one stays. Null ids come last. An empty table gives an empty result.
+    """
+    # a table of its own: every step must see the same keys
+    keyed = cut_lineage(docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn("key", F.monotonically_increasing_id()), "keyed")
+    id_col, text_col = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    bounded_batches(docs.sparkSession)
+    texts = keyed.select("key", whole_text(text_col).alias("_text"))
+    known = cut_lineage(profiles(texts, similarity, shingle), "profiles")
+    meetings = cut_lineage(_meetings(known), "meetings")
+    linked = cut_lineage(verified_pairs(first_pairs(known, meetings, similarity), texts, similarity, shingle), "linked")
+    roots = components(linked)
+    placed = cut_lineage(known.select("key", "n", "parity").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
+    more = verified_pairs(other_pairs(placed, meetings, similarity), texts, similarity, shingle)
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(keyed.select(F.col("key").alias("node"), F.col(id_col).alias("id")), "node")
+    stays = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "node")).alias("s")).select(F.col("s.node").alias("node"))
+    gone = cut_lineage(members.join(stays, "node", "left_anti").select(F.col("node").alias("key")), "gone")
+    return keyed.join(gone, "key", "left_anti").drop("key").toDF(*docs.columns)

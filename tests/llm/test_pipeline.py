@@ -3,7 +3,8 @@
 import re
 
 import corpus_pipeline
-from lorewell.llm import common
+from lorewell.llm import simhash
+from lorewell.llm.common import Scratch
 from pyspark.sql import functions as F
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -73,7 +74,43 @@ def test_run_returns_the_last_stage(spark, sf_dir):
     pieces = corpus_pipeline.run(spark, sf_dir)
     assert pieces.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert pieces.agg(F.sum("length")).first()[0] > 0
-    common.release_scratch(spark)
+
+
+def test_columns_of_any_name_pass(spark, sf_dir, tmp_path):
+    """Extra columns named as the operators name theirs, nulls in all of them."""
+    names = "score lang_pred _text _id blk _blk n_words kept_text n_removed kept_sha256 _key key _row _known _digest _salt root _c0 c0 part".split()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    for n in names:
+        docs = docs.withColumn(n, F.lit(None).cast("string") if len(n) % 2 else F.col("doc_id"))
+    docs = docs.unionByName(docs.limit(5))
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        made = stage(spark, docs, sf_dir)
+        assert made.columns == docs.columns or i == 4
+        made.write.parquet(f"file://{tmp_path}/{i}")
+        docs = spark.read.parquet(f"file://{tmp_path}/{i}")
+        assert i == 4 or docs.where("score IS NOT NULL OR lang_pred <> doc_id").count() == 0
+    assert docs.count() > 0
+
+
+def test_empty_table(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"file://{tmp_path}/{i}")
+        docs = spark.read.parquet(f"file://{tmp_path}/{i}")
+        assert docs.count() == 0
+
+
+def test_a_stage_leaves_other_results_alone(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50)
+    groups = simhash.near_groups(docs)
+    corpus_pipeline.drop_copies(spark, docs, sf_dir)
+    assert groups.count() == 50
+    own = Scratch()
+    with own:
+        groups = simhash.near_groups(docs)
+    assert groups.count() == 50 and own.paths
+    own.release(spark)
+    assert not own.paths
 
 
 def test_registered():
