@@ -2,8 +2,10 @@
 
 Rows are dealt over shards of a bounded size by a hash of the vector. In each shard greedy searches from the medoid
 propose neighbours for every point, and robust pruning with a relaxed distance (alpha) keeps a bounded number of
-diverse ones: a neighbour goes if a kept one is alpha times closer to it than the point is. Beam search then answers
-the queries in each shard, and the shards' results are merged. Points and queries are worked on in batches.
+diverse ones: a neighbour goes if a kept one is alpha times closer to it than the point is. Each graph is built once
+and written to the shared folder as one row. Queries are packed into blocks; each block meets each shard's row, beam
+search answers it there, and the shards' results are merged. So a shard as large as a task's memory allows is best:
+building takes time in proportion to the points, answering to queries times shards.
 
 Nearness is the largest inner product. For the graph, vectors get one more component, sqrt(M^2 - |x|^2) with M the
 shard's longest norm, and queries a zero: then the nearest in Euclidean distance has the largest inner product.
@@ -14,26 +16,34 @@ Equal vectors are one point that carries its smallest ids, as many as a result c
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import bounded_batches, cut_lineage
+
 #: Points of a shard on average, degree, search list while building, relaxation, beam of a query, points or queries of a batch.
-SHARD_POINTS, DEGREE, BUILD_LIST, ALPHA, BEAM, BATCH = 4000, 32, 48, 1.2, 96, 256
-#: Queries that one task answers in one shard.
-TASK_QUERIES = 20_000
+SHARD_POINTS, DEGREE, BUILD_LIST, ALPHA, BEAM, BATCH = 20_000, 32, 48, 1.2, 128, 256
+#: Queries of one packed block.
+BLOCK_QUERIES = 2000
 TOP = 20
 
 
 class Graph:
     """A directed graph over the rows of ``points`` (augmented vectors, 32-bit)."""
 
-    def __init__(self, points: np.ndarray, degree: int = DEGREE, build_list: int = BUILD_LIST, alpha: float = ALPHA, seed: int = 7):
+    def __init__(self, points: np.ndarray, degree: int = DEGREE, build_list: int = BUILD_LIST, alpha: float = ALPHA, seed: int = 7, built: tuple[np.ndarray, int] | None = None):
         self.points = np.ascontiguousarray(points, np.float32)
         self.norms = np.einsum("ij,ij->i", self.points, self.points)
         n = len(self.points)
+        if built is not None:
+            self.edges, self.start = built
+            self.degree = self.edges.shape[1]
+            return
         self.degree = min(degree, max(n - 1, 0))
         self.start = int(((self.points - self.points.mean(0)) ** 2).sum(1).argmin()) if n else 0
         if self.degree == 0:
@@ -166,66 +176,97 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
 
 
+_GRAPH = "dims int, shard int, base binary, ids binary, owners binary, edges binary, start int"
+
+
+def build_graphs(points: DataFrame) -> DataFrame:
+    """One row per shard of points (dims, shard, v, ids): its vectors, their ids, and the graph's edges."""
+
+    def run(table: pa.Table) -> pa.Table:
+        base = _matrix(table.column("v"))
+        order = np.lexsort(base.T)  # the same graph on every attempt
+        base, ids = base[order], table.column("ids").combine_chunks().take(pa.array(order)).to_pylist()
+        graph = Graph(augmented(base))
+        flat, owners = np.array([i for x in ids for i in x], np.int64), np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])
+        packed = [pa.array([x.tobytes()], pa.binary()) for x in (base, flat, owners, graph.edges)]
+        return pa.table([table.column("dims").combine_chunks()[:1], table.column("shard").combine_chunks()[:1], *packed, pa.array([graph.start], pa.int32())], ["dims", "shard", "base", "ids", "owners", "edges", "start"])
+
+    return points.groupBy("dims", "shard").applyInArrow(run, _GRAPH)
+
+
+def _query_blocks(asked: DataFrame) -> DataFrame:
+    """Queries (id, v) as blocks of vectors of one length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = np.diff(batch.column(1).offsets.to_numpy())
+            for d in np.unique(dims):
+                own = np.flatnonzero(dims == d)
+                for at in range(0, len(own), BLOCK_QUERIES):
+                    some = batch.take(pa.array(own[at : at + BLOCK_QUERIES]))
+                    yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([some.column(0).to_numpy().tobytes()], pa.binary()), pa.array([_matrix(some.column(1)).tobytes()], pa.binary())], ["q_dims", "q_ids", "q"])
+
+    return asked.mapInArrow(run, "q_dims int, q_ids binary, q binary")
+
+
+def _answers(graphs: DataFrame, blocks: DataFrame, k: int, beam: int, exact: bool) -> DataFrame:
+    """(query_id, vec_id, score): of each query the k best of each shard, more if scores are equal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, graph = None, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["dims"] != row["q_dims"]:
+                    continue
+                if known != (row["dims"], row["shard"]):
+                    known = row["dims"], row["shard"]
+                    base = np.frombuffer(row["base"]).reshape(-1, row["dims"])
+                    ids, owners = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["owners"], np.int32)
+                    first = np.append(np.searchsorted(owners, np.arange(len(base))), len(owners))
+                    graph = Graph(augmented(base), built=(np.frombuffer(row["edges"], np.int32).reshape(len(base), -1), row["start"]))
+                names, query = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q"]).reshape(-1, row["dims"])
+                # a shard with no more points than the beam holds is listed whole, as the beam would hold them all
+                whole = exact or len(base) <= beam
+                found = np.broadcast_to(np.arange(len(base)), (len(query), len(base))) if whole else graph.search(np.concatenate([query, np.zeros((len(query), 1))], 1), beam)
+                out: list[tuple[int, int, float]] = []
+                for i, (name, hits) in enumerate(zip(names.tolist(), found, strict=True)):
+                    hits = hits[hits >= 0]
+                    scores = base[hits] @ query[i]
+                    listed: list[tuple[float, int]] = []
+                    edge = None
+                    for b in np.argsort(-scores, kind="stable"):
+                        if len(listed) >= k and scores[b] != edge:
+                            break
+                        listed += [(-scores[b], v) for v in ids[first[hits[b]] : first[hits[b] + 1]].tolist() if v != name]
+                        edge = scores[b]
+                    out += [(name, v, -s) for s, v in sorted(listed)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+    return graphs.crossJoin(blocks).mapInArrow(run, "query_id long, vec_id long, score double")  # shards and blocks, not rows
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding", shard_points: int = SHARD_POINTS, beam: int = BEAM, exact: bool = False) -> DataFrame:
     """For each row that ``is_query`` picks, its k nearest other rows: query_id, rank, vec_id, score.
 
     Nearest first, equal scores by the smaller id. Vectors that are null, zero or hold null or non-finite components
-    take no part, nor do null ids; vectors must share one length (others than the most frequent length are left
-    out). Rows repeated with the same id and vector count once. With fewer than k other rows all are returned. An
-    empty table gives an empty result; other columns are ignored. ``exact`` searches every shard by brute force
-    (for measuring recall).
+    take no part, nor do null ids. Vectors of different lengths have no inner product: each length is a space of its
+    own, and a query finds rows of its own length. Rows repeated with the same id and vector count once; of an id with
+    several vectors the smallest is the query, all can be found, and the id is listed once, with its best score. With
+    fewer than k other rows all are returned. An empty table gives an empty result; other columns are ignored.
+    ``exact`` searches every shard by brute force (for measuring recall).
     """
-    spark = vectors.sparkSession
+    bounded_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    result = "query_id long, rank int, vec_id long, score double"
-    if not lengths:
-        return spark.createDataFrame([], result)
-    dims, total = lengths[0]["n"], lengths[0]["count"]
-    rows = rows.where(F.size("v") == dims)
-    shards = max(1, -(-total // shard_points))
+    shards = max(1, -(-rows.count() // shard_points))
     # equal vectors: one point with its k + 1 smallest ids (one may be the query itself). Salted first, so that no
     # task sorts all ids of a very common vector
     salted = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"), F.xxhash64("v").alias("h")).distinct()
     first = salted.withColumn("r", F.row_number().over(Window.partitionBy("h", "v", "salt").orderBy("id"))).where(F.col("r") <= k + 1)
     points = first.groupBy("h", "v").agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"))
-    points = points.select(F.pmod(F.col("h"), F.lit(shards)).cast("int").alias("shard"), "v", "ids")
-    asked = rows.where("q").select("id", "v").dropDuplicates(["id"])
-    blocks = max(1, -(-asked.count() // TASK_QUERIES))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int"))
-    everywhere = asked.select("id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    copied = points.select("shard", "v", "ids", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        base, query = _matrix(left.column("v")), _matrix(right.column("v"))
-        if not len(base) or not len(query):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        order = np.lexsort(base.T)  # the same graph on every attempt
-        base, ids = base[order], left.column("ids").combine_chunks().take(pa.array(order)).to_pylist()
-        if exact or len(base) <= beam:
-            found = np.broadcast_to(np.arange(len(base)), (len(query), len(base)))
-        else:
-            graph = Graph(augmented(base))
-            found = graph.search(np.concatenate([query, np.zeros((len(query), 1))], 1), beam)
-        out_q, out_v, out_s = [], [], []
-        names = right.column("id").to_pylist()
-        for i, (name, hits) in enumerate(zip(names, found, strict=True)):
-            hits = hits[hits >= 0]
-            scores = base[hits] @ query[i]
-            best = np.argsort(-scores, kind="stable")
-            listed: list[tuple[float, int]] = []
-            edge = None
-            for b in best:
-                if len(listed) >= k and scores[b] != edge:
-                    break
-                listed += [(-scores[b], v) for v in ids[hits[b]] if v != name]
-                edge = scores[b]
-            for s, v in sorted(listed)[:k]:
-                out_q.append(name)
-                out_v.append(v)
-                out_s.append(-s)
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
-
-    hits = copied.groupBy("shard", "block").cogroup(everywhere.groupBy("shard", "block")).applyInArrow(answer, "query_id long, vec_id long, score double")
+    points = points.select(F.size("v").alias("dims"), F.pmod(F.col("h"), F.lit(shards)).cast("int").alias("shard"), "v", "ids")
+    graphs = cut_lineage(build_graphs(points), "graphs")
+    asked = cut_lineage(_query_blocks(rows.where("q").groupBy("id").agg(F.min("v").alias("v"))), "queries")
+    hits = _answers(graphs, asked, k, beam, exact).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
