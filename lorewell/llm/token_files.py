@@ -4,13 +4,13 @@ A shard file, all little-endian:
 
     payload      ids of the shard's documents one after another, unsigned 16 or 32 bits
     starts       u64[rows + 1]   offset of each document, in ids
-    keys         i64[rows]       document keys, ascending (for scans; look-ups do not need them)
+    keys         i64[rows - nulls]  document keys, ascending (for scans; look-ups do not need them)
     levels       u32 bits per level, then the levels' bit arrays
     ranks        u32 per 512 bits: set bits before
-    slots        u64[distinct]   row of the first document with the key that hashes here
+    slots        u64[distinct]   row of the first document with the key that hashes here, behind the nulls
     counts       u32[distinct]   rows with that key
     prints       u32[distinct]   fingerprint of that key
-    footer       JSON, then its length as u32 and the magic bytes
+    footer       JSON, then its length as u32 and the magic bytes; ``nulls`` rows without a key come first
 
 The hash is built level by level: at each level the remaining keys are hashed into twice as many bits, keys alone
 on their bit are settled, the others go on. A settled key's slot is the number of set bits before its own, so a
@@ -27,18 +27,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .bpe import engine
-from .common import bounded_batches, mix64, scratch_path, whole_text
+from .common import bounded_batches, cut_lineage, mix64, scratch_path, whole_text
 
-MAGIC = b"LWTOK001"
+MAGIC = b"LWTOK002"
 #: Bits of a level for each key that reaches it, and levels before the keys left are listed.
 GAMMA, LEVELS = 2.0, 40
-SHARD_BYTES = 8 << 20
-#: The key that a null document id is stored under.
-NULL_KEY = -(1 << 63)
+#: Bytes of a file's payload beyond which the next file begins, of texts that one task writes, and the most such tasks.
+SHARD_BYTES, TASK_BYTES, TASKS = 8 << 20, 16 << 20, 50_000
 
 
 def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -109,17 +109,19 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_shard(uri: str, rows: Iterator[tuple[int, np.ndarray]], width: int) -> tuple[int, int]:
-    """Write (key, ids) rows, keys ascending, as one shard: a new name first, then a rename, so that a repeated or
-    speculative task cannot leave a half-written shard. Only the index is held in memory. Returns rows and ids."""
+def write_shard(uri: str, rows: Iterator[tuple[int | None, np.ndarray]], width: int) -> tuple[int, int]:
+    """Write (key, ids) rows, null keys first and then ascending, as one shard: a new name first, then a rename, so that
+    a repeated or speculative task cannot leave a half-written shard. Only the index is held in memory. Returns rows
+    and ids."""
     fs, path = _store(uri)
     context = TaskContext.get()
     temp = f"{path}.{context.taskAttemptId() if context else 0}.part"
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     keys, sizes = [], []
     with fs.open_output_stream(temp) as out:
-        for key, ids in rows:
-            keys.append(key)
+        for k, ids in rows:
+            if k is not None:
+                keys.append(k)
             sizes.append(len(ids))
             out.write(ids.astype(f"<u{width}", copy=False).tobytes())
         key = np.array(keys, np.int64)
@@ -130,13 +132,13 @@ def write_shard(uri: str, rows: Iterator[tuple[int, np.ndarray]], width: int) ->
         assert len(np.unique(order)) == len(distinct)
         slots, many, prints = np.zeros(len(distinct), "<u8"), np.zeros(len(distinct), "<u4"), np.zeros(len(distinct), "<u4")
         slots[order], many[order], prints[order] = first, counts, _prints(distinct)
-        foot = {"rows": len(key), "ids": int(starts[-1]), "distinct": len(distinct), "width": width, "sizes": index.sizes, "bit_bytes": len(index.bits), "rank_blocks": len(index.ranks), "left": len(index.left)}
+        foot = {"rows": len(sizes), "nulls": len(sizes) - len(key), "ids": int(starts[-1]), "distinct": len(distinct), "width": width, "sizes": index.sizes, "bit_bytes": len(index.bits), "rank_blocks": len(index.ranks), "left": len(index.left)}
         for a in (starts, key.astype("<i8"), index.bits, index.ranks, index.left.astype("<i8"), slots, many, prints):
             out.write(a.tobytes())
         tail = json.dumps(foot).encode()
         out.write(tail + len(tail).to_bytes(4, "little") + MAGIC)
     fs.move(temp, path)
-    return len(key), foot["ids"]
+    return len(sizes), foot["ids"]
 
 
 class Shard:
@@ -161,7 +163,7 @@ class Shard:
             used += a.nbytes
             return a
 
-        self.starts, self.keys = take("<u8", f["rows"] + 1).astype(np.int64), take("<i8", f["rows"])
+        self.starts, self.keys = take("<u8", f["rows"] + 1).astype(np.int64), take("<i8", f["rows"] - f["nulls"])
         bits, ranks, left = take("u1", f["bit_bytes"]), take("<u4", f["rank_blocks"]), take("<i8", f["left"])
         self.hash = PerfectHash(f["sizes"], bits, ranks, left)
         self.slots, self.counts, self.prints = take("<u8", f["distinct"]), take("<u4", f["distinct"]), take("<u4", f["distinct"])
@@ -175,105 +177,91 @@ class Shard:
         safe = np.where(here, slot, 0)
         if not self.foot["distinct"]:
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        return self.slots[safe].astype(np.int64), np.where(here, self.counts[safe], 0).astype(np.int64)
+        return self.foot["nulls"] + self.slots[safe].astype(np.int64), np.where(here, self.counts[safe], 0).astype(np.int64)
 
     def ids(self, row: int) -> np.ndarray:
         a, b = int(self.starts[row]), int(self.starts[row + 1])
         w = self.foot["width"]
         return np.frombuffer(self.file.read_at((b - a) * w, a * w), f"<u{w}").astype("<u4")
 
-    def get(self, key: int) -> list[np.ndarray]:
-        """The ids of every document with the key."""
-        first, n = self.rows_of(np.array([key]))
+    def get(self, key: int | None) -> list[np.ndarray]:
+        """The ids of every document with the key, or of those without one."""
+        first, n = self.rows_of(np.array([key])) if key is not None else ([0], [self.foot["nulls"]])
         return [self.ids(r) for r in range(int(first[0]), int(first[0]) + int(n[0]))]
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Encode all texts and write them below ``path`` in ascending id order; returns (shard, uri, rows, ids).
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Encode all texts and write them below ``path`` in ascending id order; returns (part, file, uri, rows, ids).
 
-    Ids are dealt over shards by their quantiles, then sorted within a task, which streams each of its shards to a
-    file. Null text is empty: the end id alone. A null id comes first, under NULL_KEY; repeated ids stand one after
-    another and share an index entry. Other columns are ignored. An empty table writes no shard.
+    Rows are dealt over tasks by ranges of their id and, so that an id with very many rows is no single task, of the
+    text's hash and the row's number. A task sorts its rows and streams them to files of about ``shard_bytes``. Null
+    text is empty: the end id alone. Null ids come first, without a key; repeated ids stand one after another and share
+    an index entry in each file. Other columns are ignored. An empty table writes no file.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY)).alias("key"), whole_text(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("key"), whole_text(text_col).alias("_text"))
+    rows = rows.withColumn("_hash", F.xxhash64("_text")).withColumn("_number", F.monotonically_increasing_id())
     total = rows.agg(F.sum(F.octet_length("_text") + 8)).first()[0] or 0
-    shards = max(1, -(-total // (2 * shard_bytes)))
-    cuts: list[int] = []
-    if shards > 1:
-        cuts = rows.agg(F.percentile_approx("key", [i / shards for i in range(1, shards)], 100 * shards)).first()[0]
-        cuts = sorted(set(cuts))
-    edges = np.array(cuts, np.int64)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = engine(tokenizer)
-        width = "<u2" if max(bpe.size, end_id + 1) <= 1 << 16 else "<u4"
-        for b in batches:
-            shard = np.searchsorted(edges, b.column(0).to_numpy(), side="right").astype(np.int32)
-            ids = [np.append(bpe.encode(t), np.uint32(end_id)).astype(width).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(shard), b.column(0), pa.array(ids, pa.binary())], ["shard", "key", "ids"])
+    tasks = max(1, min(TASKS, -(-total // task_bytes)))
+    order = [F.asc_nulls_first("key"), "_hash", "_number"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = engine(tokenizer)
+        bpe, part = engine(tokenizer), TaskContext.get().partitionId()
         width = 2 if max(bpe.size, end_id + 1) <= 1 << 16 else 4
-        flow = ((s, k, np.frombuffer(i, f"<u{width}")) for b in batches for s, k, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
-        row = next(flow, None)
+        flow = ((k, np.append(bpe.encode(t), np.uint32(end_id))) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        row, file = next(flow, None), 0
+
+        def some() -> Iterator[tuple[int | None, np.ndarray]]:
+            nonlocal row
+            written = 0
+            while row is not None and written < shard_bytes:
+                yield row
+                written += len(row[1]) * width
+                row = next(flow, None)
+
         while row is not None:
-            shard = row[0]
-
-            def own() -> Iterator[tuple[int, np.ndarray]]:
-                nonlocal row
-                while row is not None and row[0] == shard:
-                    yield row[1:]
-                    row = next(flow, None)
-
-            uri = f"{path}/shard-{shard:06d}.tok"
-            n, ids = write_shard(uri, own(), width)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "uri": [uri], "rows": pa.array([n], pa.int64()), "ids": pa.array([ids], pa.int64())})
-
-    dealt = rows.mapInArrow(encode, "shard int, key long, ids binary").repartition(shards, "shard").sortWithinPartitions("shard", "key")
-    written = dealt.mapInArrow(write, "shard int, uri string, rows long, ids long")
-    # one row per shard file; running it here writes the files once
-    listed = written.collect()
-    return spark.createDataFrame(listed, written.schema) if listed else spark.createDataFrame([], written.schema)
-
-
-def read_token_files(spark: SparkSession, shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """From the files: id, start (ids of all documents before it), n_tokens, ids_crc32. ``shards``: what
-    write_token_files() returned, a row per file. Each document is found through its shard's index."""
-    listed = sorted(shards.collect(), key=lambda r: r["shard"])
-    base, table = 0, []
-    for r in listed:
-        table.append((r["uri"], base))
-        base += r["ids"]
+            uri = f"{path}/tokens-{part:06d}-{file:06d}.tok"
+            n, ids = write_shard(uri, some(), width)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": pa.array([file], pa.int32()), "uri": [uri], "rows": pa.array([n], pa.int64()), "ids": pa.array([ids], pa.int64())})
+            file += 1
+
+    dealt = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("key", "_text")
+    # a table of the files: written once, by the tasks that write them
+    return cut_lineage(dealt.mapInArrow(write, "part int, file int, uri string, rows long, ids long"), "files")
+
+
+def read_token_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """From the files that write_token_files() lists: id, start (ids of all documents before it), n_tokens, ids_crc32.
+    Each document is found through its file's index. Where a file starts is a prefix sum in two passes: over the
+    tasks' totals, then over the files of a task."""
+    running = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # TASKS rows at most
+    parts = files.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", running(Window.orderBy("part")).alias("before"))
+    own = files.withColumn("within", running(Window.partitionBy("part").orderBy("file")))
+    placed = own.join(parts, "part").select("uri", (F.col("before") + F.col("within")).alias("base"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 shard = Shard(uri)
-                keys = shard.keys
+                keys, nulls = shard.keys, shard.foot["nulls"]
                 first, n = shard.rows_of(keys)
-                if not ((n > 0) & (shard.keys[first] == keys)).all():
+                if not ((n > 0) & (keys[first - nulls] == keys)).all():
                     raise ValueError(f"{uri}: its index does not find all of its keys")
                 # repeated keys: the k-th of them is the k-th row from the first
-                rows = first + np.arange(len(keys)) - np.searchsorted(keys, keys)
+                rows = np.concatenate([np.arange(nulls), first + np.arange(len(keys)) - np.searchsorted(keys, keys)])
+                ids = pa.concat_arrays([pa.nulls(nulls, pa.int64()), pa.array(keys, pa.int64())])
                 for at in range(0, len(rows), 2000):
                     some = rows[at : at + 2000]
                     crc = [zlib.crc32(shard.ids(int(r)).tobytes()) for r in some]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[at : at + 2000], mask=keys[at : at + 2000] == NULL_KEY), pa.array(start + shard.starts[some]), pa.array(shard.starts[some + 1] - shard.starts[some]), pa.array(crc, pa.int64())],
-                        [id_col, "start", "n_tokens", "ids_crc32"],
-                    )
+                    yield pa.RecordBatch.from_arrays([ids[at : at + 2000], pa.array(start + shard.starts[some]), pa.array(shard.starts[some + 1] - shard.starts[some]), pa.array(crc, pa.int64())], ["_id", "start", "n_tokens", "ids_crc32"])
 
-    schema = f"{id_col} long, start long, n_tokens long, ids_crc32 long"
-    if not table:
-        return spark.createDataFrame([], schema)
-    files = spark.createDataFrame(table, "uri string, base long").repartition(max(1, min(len(table), 2000)))
-    return files.mapInArrow(read, schema)
+    tasks = max(1, min(TASKS, files.count()))
+    read_back = placed.repartitionByRange(tasks, "base").mapInArrow(read, "_id long, start long, n_tokens long, ids_crc32 long")
+    return read_back.withColumnRenamed("_id", id_col)
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Write all documents to token files in the shared folder, then read them back."""
-    spark = docs.sparkSession
-    return read_token_files(spark, write_token_files(docs, scratch_path(spark, "tokens"), tokenizer, end_id))
+    return read_token_files(write_token_files(docs, scratch_path(docs.sparkSession, "tokens"), tokenizer, end_id))

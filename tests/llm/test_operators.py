@@ -88,7 +88,7 @@ def jump(k, n):
 def test_jump_hash_is_the_published_function(spark):
     keys = [0, 1, -1, 42, (1 << 63) - 1, -(1 << 63), 0x123456789ABCDEF]
     df = spark.createDataFrame([(k,) for k in keys], "k long")
-    for n in (1, 2, 24, 100):
+    for n in (1, 2, 24, 100, 10_000, 1_000_000):
         got = dict(collected(df.select("k", sharding.jump_shard(F.col("k"), n))))
         assert got == {k: jump(k % (1 << 64), n) for k in keys}
 
@@ -214,24 +214,29 @@ def test_token_files(docs, empty):
     assert token_files.token_files(empty, WORD).count() == 0
 
 
-def test_token_files_in_many_shards_and_by_key(docs, tmp_path):
-    listed = token_files.write_token_files(docs, f"file://{tmp_path}/t", WORD, shard_bytes=4000)
-    assert listed.count() > 3
+def test_token_files_in_many_shards_and_by_key(spark, docs, tmp_path):
+    """Files cut by size, an id with many rows over several tasks, and the smallest of all ids, which is no null."""
+    rows = [*texts(), (-(1 << 63), "least"), *[(7777, f"text {i % 4} of one id") for i in range(200)], *[(None, "no id")] * 30]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    listed = token_files.write_token_files(df, f"file://{tmp_path}/t", WORD, shard_bytes=2000, task_bytes=4000)
+    assert listed.count() > listed.select("part").distinct().count() > 3
     library = Tokenizer.from_file(WORD)
     wanted = defaultdict(list)
-    for i, t in texts():
-        wanted[token_files.NULL_KEY if i is None else i].append([*library.encode(t or "", add_special_tokens=False).ids, 1])
-    found = {}
+    for i, t in rows:
+        wanted[i].append([*library.encode(t or "", add_special_tokens=False).ids, 1])
+    found, places = defaultdict(list), Counter()
     for r in listed.collect():
         shard = token_files.Shard(r.uri)
         for k in wanted:
             if ids := shard.get(k):
-                assert k not in found
-                found[k] = [x.tolist() for x in ids]
+                places[k] += 1
+                found[k] += [x.tolist() for x in ids]
         assert shard.get(987654321) == []
     assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in wanted.items()}
-    spark = docs.sparkSession
-    assert token_files.read_token_files(spark, listed).count() == len(texts())
+    assert places[7777] > 1
+    back = token_files.read_token_files(listed).orderBy("start").collect()
+    assert [r.doc_id for r in back] == sorted((i for i, _ in rows), key=key)
+    assert [r.start for r in back] == [0, *np.cumsum([r.n_tokens for r in back]).tolist()[:-1]]
 
 
 def test_perfect_hash_is_minimal():
@@ -516,7 +521,7 @@ def test_nearest(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(1500)]
     same = [1.0] * 16
-    rows += [(2000 + i, same) for i in range(60)] + [(3000, None), (3001, [0.0] * 16), (3002, [float("nan")] * 16), (3003, [None] * 16), (3020, [float("inf")] + [1.0] * 15), (3040, [1.0, 2.0]), (None, same), (2000, same)]
+    rows += [(2000 + i, same) for i in range(60)] + [(3000, None), (3001, [0.0] * 16), (3002, [float("nan")] * 16), (3003, [None] * 16), (3020, [float("inf")] + [1.0] * 15), (None, same), (2000, same)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, shard string").repartition(7)
     query = F.col("vec_id") % 20 == 0
     good = {i: np.array(np.array(v, np.float32), float) for i, v in rows if i is not None and v is not None and i < 3000}
@@ -540,6 +545,20 @@ def test_nearest(spark):
     for r in graph_search.nearest(df, query, shard_points=400).collect():
         found[r.query_id].add(r.vec_id)
     assert np.mean([len(found[q] & {i for _, i in want[q]}) / 20 for q in want]) >= 0.9
+    # other lengths are spaces of their own, an id with two vectors is listed once with its best score
+    odd = spark.createDataFrame([(20, [1.0, 2.0]), (21, [2.0, 1.0]), (22, [1.0, 1.0]), (21, [5.0, 5.0]), (40, [1.0, 2.0, 3.0]), (20, [9.0, 9.0])], "vec_id long, embedding array<float>")
+    assert sorted(collected(graph_search.nearest(odd, query))) == [(20, 1, 21, 15.0), (20, 2, 22, 3.0)]
     assert graph_search.nearest(df.limit(0), query).count() == 0
     few = graph_search.nearest(df.where("vec_id < 5"), query).collect()
     assert len(few) == 4
+
+
+def test_recall_of_whole_shards(spark):
+    """Against brute force, in shards of thousands of points and of the usual size."""
+    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").where("vec_id < 9000")
+    query, truth = F.col("vec_id") % 60 == 0, defaultdict(set)
+    for r in graph_search.nearest(df, query, exact=True).collect():
+        truth[r.query_id].add(r.vec_id)
+    for points in (4000, graph_search.SHARD_POINTS):
+        found = graph_search.nearest(df, query, shard_points=points).collect()
+        assert sum(r.vec_id in truth[r.query_id] for r in found) / sum(map(len, truth.values())) >= 0.9
