@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 6 << 20
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
-#: A key is hot when it has over 1/HOT_SHARE of all rows and over LEAST_HOT; its rows are dealt over SALTS sub-groups.
+#: The HOT_SHARE keys with the most rows are hot if they have over LEAST_HOT; their rows are dealt over SALTS sub-groups.
 HOT_SHARE, LEAST_HOT, SALTS = 1000, 500, 64
 
 
@@ -89,15 +89,17 @@ def whole_text(name: str = "text") -> Column:
 
 
 def hot_keys(rows: DataFrame, by: str, least: int = LEAST_HOT) -> list:
-    """The keys that over 1/HOT_SHARE of all rows have, so at most HOT_SHARE of them."""
-    bound = max(least, rows.count() // HOT_SHARE)
-    return [r[0] for r in rows.groupBy(by).count().where(F.col("count") > bound).select(by).collect()]
+    """The HOT_SHARE keys with the most rows, of those with over ``least``: any other key has at most 1/HOT_SHARE of
+    all rows."""
+    counts = rows.groupBy(by).count().where(F.col("count") > least)
+    return [r[0] for r in counts.orderBy(F.desc("count"), by).limit(HOT_SHARE).select(by).collect()]
 
 
-def spread_join(rows: DataFrame, single: DataFrame, by: str, how: str = "inner", least: int = LEAST_HOT) -> DataFrame:
+def spread_join(rows: DataFrame, single: DataFrame, by: str, how: str = "inner", hot: list | None = None) -> DataFrame:
     """``rows`` joined with ``single``, which has one row for each key. Rows of a hot key are dealt over SALTS
-    sub-groups by their number, and the key's one row is copied to each."""
-    hot = hot_keys(rows, by, least)
+    sub-groups by their number, and the key's one row is copied to each. ``hot``: hot_keys() of the rows, where they
+    are known already; otherwise the rows are counted here."""
+    hot = hot_keys(rows, by) if hot is None else hot
     if not hot:
         return rows.join(single, by, how)
     is_hot = F.col(by).isin(hot)

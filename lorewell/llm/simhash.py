@@ -25,15 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, cut_lineage, spread_join, whole_text
+from .common import bounded_batches, cut_lineage, hot_keys, spread_join, whole_text
 from .components import TASK_LINKS, components
 
 SHINGLE, BITS, SEED = 3, 3, 42
 #: Fingerprints on one key beyond which links go by bridging values.
 HOT_KEY = 2000
 #: The order of prefixes: one row in ORDER_SAMPLE is counted, and of the hashes met ORDER_LEAST times there the ORDER_MOST most frequent come last. It decides about work only; any order finds the same pairs.
-ORDER_SAMPLE, ORDER_LEAST, ORDER_MOST = 16, 3, 1 << 17
-#: Bits of a set's parity map, rows of one prefix hash that are compared in one task, and pairs of one row that are.
+ORDER_SAMPLE, ORDER_LEAST, ORDER_MOST = 32, 3, 1 << 17
+#: Bits of a set's parity map, rows of one prefix hash that are compared in one task, and pairs of a row that are.
 PARITY, SLICE, HUB = 512, 2000, 500
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -99,7 +99,7 @@ def links(fps: DataFrame, bits: int = BITS, hot_key: int = HOT_KEY) -> DataFrame
     segments = bits + 1
     widths = _widths(segments)
     # a fingerprint makes some 70 rows: dealt over all tasks first
-    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     budgets = [(i + 1) * bits // segments for i in range(segments)]
 
     def key_rows(i: int, ring: Column, flips: bool) -> Column:
@@ -178,15 +178,17 @@ def _distinct_hashes(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def profiles(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """For rows (key, _text) that have words: key, n (distinct shingles), fp (of the distinct ones), parity and prefix.
+    """For rows (id, c1, c2, _text) that have words: id, c1, c2, n (distinct shingles), fp (of the distinct ones), parity,
+    wide, prefix and n_cold.
 
     The prefix holds the first n - ceil(s n) + 1 shingle hashes in one common order, the frequent ones last: of two
-    sets at Jaccard similarity s the prefixes share a hash, for else fewer than s n of the n were shared. Its hashes
-    that the sample shows in over SLICE rows stand in ``hot``, the others in ``cold``, both as (place, hash) arrays.
-    Bit i of the parity map is the number of hashes that end in i, modulo 2: two maps differ in no more bits than the
-    sets differ in hashes."""
+    sets at Jaccard similarity s the prefixes share a hash, for else fewer than s n of the n were shared. 48 bits of a
+    hash are kept; rows that share no more than those are compared for nothing. Behind the first n_cold are hashes that
+    the sample shows in over SLICE rows.
+    Bit i of a parity map is the number of hashes that end in i, modulo 2: two maps differ in no more bits than the sets
+    differ in hashes. ``parity`` has PARITY bits, ``wide`` the next power of two from 2 n on."""
     spark = texts.sparkSession
-    sample = texts.where(F.pmod(F.xxhash64("key"), F.lit(ORDER_SAMPLE)) == 0)
+    sample = texts.where(F.pmod("c1", F.lit(ORDER_SAMPLE)) == 0)
     counts = _distinct_hashes(sample, shingle).groupBy("h").count().where(F.col("count") >= ORDER_LEAST)
     often = counts.orderBy(F.desc("count"), "h").limit(ORDER_MOST).toArrow()
     common, times = often.column("h").to_numpy().view(np.uint64), often.column("count").to_numpy()
@@ -197,8 +199,8 @@ def profiles(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, times = shared.value
         for b in batches:
-            rows = []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            rows, kept = [], []
+            for i, t in enumerate(b.column(3)):
                 h = np.unique(shingle_hashes(t.as_py(), shingle))
                 n = len(h)
                 if not n:
@@ -206,28 +208,27 @@ def profiles(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
                 at = np.searchsorted(common[:-1], h)
                 seen = np.where(common[at] == h, times[at], 0)
                 first = np.argsort(seen, kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
-                hot = seen[first] * ORDER_SAMPLE > SLICE
-                parity = np.bincount((h % np.uint64(PARITY)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1
-                chosen, places = h[first].view(np.int64), np.arange(len(first), dtype=np.int32)
-                rows.append((k, n, fingerprint(h), np.packbits(parity).view(np.int64), places[~hot], chosen[~hot], places[hot], chosen[hot]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["key", "n", "fp", "parity", "cold_at", "cold", "hot_at", "hot"])
+                bits = max(PARITY, 1 << (2 * n - 1).bit_length())
+                parity, wide = (np.packbits(np.bincount((h % np.uint64(x)).astype(np.int64), minlength=x).astype(np.uint8) & 1).view(np.int64) for x in (PARITY, bits))
+                kept.append(i)
+                rows.append((n, fingerprint(h), parity, wide, (h[first] >> np.uint64(16)).view(np.int64), int((seen[first] * ORDER_SAMPLE <= SLICE).sum())))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32())
+            made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(kept, pa.int64())) for c in b.columns[:3]), *made], ["id", "c1", "c2", "n", "fp", "parity", "wide", "prefix", "n_cold"])
 
-    return texts.select("key", "_text").mapInArrow(run, "key long, n long, fp long, parity array<long>, cold_at array<int>, cold array<long>, hot_at array<int>, hot array<long>")
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", "c1", "c2", "_text").mapInArrow(run, f"id {kind}, c1 long, c2 long, n long, fp long, parity array<long>, wide array<long>, prefix array<long>, n_cold int")
 
 
 def _meetings(known: DataFrame) -> DataFrame:
     """(h, key, at, centre) of the prefix hashes that two rows and more share; the centre is the smallest such key."""
-
-    def rows(which: str) -> DataFrame:
-        return known.select("key", F.explode(F.arrays_zip(which, f"{which}_at")).alias("x")).select(F.col(f"x.{which}").alias("h"), "key", F.col(f"x.{which}_at").alias("at"))
-
     w = Window.partitionBy("h")
-    cold = rows("cold").select("*", F.min("key").over(w).alias("centre"), F.max("key").over(w).alias("_last")).where("centre <> _last").drop("_last")
-    hot = rows("hot")
-    # at most ORDER_MOST rows
+    cold = known.select("key", F.posexplode(F.slice("prefix", F.lit(1), F.col("n_cold"))).alias("at", "h"))
+    cold = cold.select("h", "key", "at", F.min("key").over(w).alias("centre"), F.max("key").over(w).alias("_last")).where("centre <> _last").drop("_last")
+    hot = known.where("n_cold < size(prefix)").select("key", "n_cold", F.posexplode("prefix").alias("at", "h")).where("at >= n_cold").drop("n_cold")
+    # at most ORDER_MOST rows, but for what shares 48 bits with one of them
     centres = hot.groupBy("h").agg(F.min("key").alias("centre"), F.max("key").alias("_last")).where("centre <> _last").drop("_last")
-    return cold.unionByName(hot.join(F.broadcast(centres), "h").select("h", "key", "at", "centre"))
+    return cold.unionByName(spread_join(hot, centres, "h").select("h", "key", "at", "centre"))
 
 
 def _may_be_similar(similarity: float, used: Column | None = None) -> Column:
@@ -252,71 +253,97 @@ def first_pairs(known: DataFrame, meetings: DataFrame, similarity: float) -> Dat
     one = lambda x: classes.select(F.col("fp").alias(x), F.col("first").alias(f"k{x}"))
     close = links(classes.select("fp")).join(one("a"), "a").join(one("b"), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
     stars = meetings.where("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b"))
-    pairs = same.unionByName(close).unionByName(stars).distinct()
-    return spread_join(pairs.join(_side(known, "b"), "b"), _side(known, "a"), "a").where(_may_be_similar(similarity)).select("a", "b")
+    pairs = cut_lineage(same.unionByName(close).unionByName(stars).distinct(), "pairs")
+    both = spread_join(pairs, _side(known, "b"), "b")
+    return spread_join(both, _side(known, "a"), "a", hot=hot_keys(pairs, "a")).where(_may_be_similar(similarity)).select("a", "b")
 
 
 def other_pairs(placed: DataFrame, meetings: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of rows (key, n, parity, root) of different roots that may be similar, all of them: rows meet on
     every hash of their prefixes, whatever the size of the group. Only rows of the centre's root do not meet each
-    other, as they are linked. A group is dealt over slices, and sizes are compared by buckets that a similar pair's
-    differ by one at most."""
-    groups = spread_join(meetings, placed.select("key", "root"), "key")
+    other, as they are linked. A large group is dealt over slices, and its rows over buckets by size that differ by one
+    at most for a similar pair."""
+    groups = cut_lineage(meetings.drop("centre").join(placed.select("key", "root"), "key"), "groups")
     several = groups.groupBy("h").agg(F.count("*").alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high"), F.min_by("root", "key").alias("main")).where("_low <> _high")
     several = several.select("h", "main", F.ceil(F.col("_n") / SLICE).cast("int").alias("slices"))
-    bucket = F.floor(F.log(F.col("n")) / F.lit(-np.log(similarity)) + F.lit(1e-9)).cast("int")
-    met = cut_lineage(spread_join(spread_join(groups.select("h", "key", "at"), several, "h"), placed, "key").withColumn("bucket", bucket), "meetings")
-    near = F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])).alias("bucket")
+    bucket = F.when(F.col("slices") == 1, F.lit(0)).otherwise(F.floor(F.log(F.col("n")) / F.lit(-np.log(similarity)) + F.lit(1e-9)).cast("int")).alias("bucket")
+    met = cut_lineage(spread_join(groups.drop("root"), several, "h").join(placed, "key"), "met")
+    near = F.explode(F.when(F.col("slices") == 1, F.array(F.lit(0))).otherwise(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)]))).alias("bucket")
     names = ("key", "root", "n", "at", "parity")
-    sliced = met.where("root <> main").select("h", "bucket", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), *[F.col(c).alias(f"{c}_a") for c in names])
+    sliced = met.where("root <> main").select("h", "slices", bucket, F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), *[F.col(c).alias(f"{c}_a") for c in names])
     left = sliced.select("h", "slice", near, *[f"{c}_a" for c in names])
-    right = met.select("h", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int").alias("slice"), "bucket", "main", *[F.col(c).alias(f"{c}_b") for c in names])
+    right = met.select("h", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int").alias("slice"), bucket, "main", *[F.col(c).alias(f"{c}_b") for c in names])
     once = (F.col("root_b") == F.col("main")) | (F.col("key_a") < F.col("key_b"))
     found = left.join(right, ["h", "slice", "bucket"]).where((F.col("root_a") != F.col("root_b")) & once & _may_be_similar(similarity, F.col("at_a")))
     return found.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
 
 
-def verified_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs whose whole shingle sets are similar enough. Sets are made only of rows (key, _text) that are in some
-    pair. A row with many pairs is copied to a task for each HUB of them, its partners' sets come to it."""
-    pairs = cut_lineage(pairs, "pairs")
+def _apart(a: Column, b: Column) -> Column:
+    """Bits in which two wide maps differ; the wider one is folded, which leaves the parity map of fewer bits."""
+    fold = lambda w: F.zip_with(F.slice(w, 1, (F.size(w) / 2).cast("int")), F.slice(w, (F.size(w) / 2).cast("int") + 1, (F.size(w) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
+    fit = lambda w, other: F.when(F.size(w) > F.size(other), fold(w)).otherwise(w)
+    return F.aggregate(F.zip_with(fit(a, b), fit(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def verified_pairs(pairs: DataFrame, known: DataFrame, texts: DataFrame, similarity: float, shingle: int, repeated: bool) -> DataFrame:
+    """The pairs whose whole shingle sets are similar enough. Wide parity maps sort out what cannot be; then sets are
+    made of those texts (c1, c2, _text; ``repeated`` if some stand in several rows) that are left in some pair. What a row with over HUB pairs brings is copied to
+    several tasks instead of all of its pairs meeting in one."""
+
+    def sides(pairs: DataFrame, single: DataFrame) -> DataFrame:
+        for x in ("b", "a"):
+            hot = hot_keys(cut, x, HUB)
+            pairs = spread_join(pairs, single.select(*[F.col(c).alias(x if c == "key" else f"{c}_{x}") for c in single.columns]), x, hot=hot)
+        return pairs
+
+    cut = cut_lineage(pairs, "pairs")
+    both = F.col("n_a") + F.col("n_b")
+    # sets of which one has twice the hashes of the other are not similar, so that folding once is enough
+    enough = both - 2 * F.ceil(F.lit(similarity / (1 + similarity)) * both - 1e-9)
+    cut = cut_lineage(sides(cut, known.select("key", "n", "wide")).where(_apart(F.col("wide_a"), F.col("wide_b")) <= enough).select("a", "b"), "pairs")
     # written, so that its size is known when the join is planned: texts are shuffled only if it is too large to broadcast
-    needed = cut_lineage(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "keys")
+    needed = cut.select(F.col("a").alias("key")).unionByName(cut.select(F.col("b").alias("key"))).distinct()
+    needed = cut_lineage(needed.join(known.select("key", "c1", "c2"), "key"), "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "s"])
 
-    sets = cut_lineage(texts.join(needed, "key", "left_semi").select("key", "_text").mapInArrow(run, "key long, s array<long>"), "sets")
-    slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("slices"))
-    partners = spread_join(pairs, sets.select(F.col("key").alias("b"), F.col("s").alias("s_b")), "b")
-    sliced = spread_join(partners, slices, "a").select("a", "b", "s_b", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"))
-    hubs = slices.join(sets.withColumnRenamed("key", "a"), "a").select("a", F.col("s").alias("s_a"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    own = texts.join(needed, ["c1", "c2"]).select("key", "_text")
+    sets = cut_lineage((own.dropDuplicates(["key"]) if repeated else own).mapInArrow(run, "key long, s array<long>"), "sets")
     shared = F.size(F.array_intersect("s_a", "s_b"))
-    return sliced.join(hubs, ["a", "slice"]).where(shared / (F.size("s_a") + F.size("s_b") - shared) >= similarity - 1e-9).select("a", "b")
+    return sides(cut, sets).where(shared / (F.size("s_a") + F.size("s_b") - shared) >= similarity - 1e-9).select("a", "b")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input without near copies: of each group of rows linked by Jaccard similarity ``similarity`` or more of
     their distinct shingles, the one with the smallest id stays, with all of its columns, whatever their names.
 
-    No similar pair is left out, but for those of one group already. Texts without words are linked to none. Of rows
-    repeated with id and text one stays. Null ids come last. An empty table gives an empty result.
+    No similar pair is left out, but for those of one group already. Texts without words are linked to none. Rows
+    repeated with id and text stay or go together. Null ids come last. An empty table gives an empty result.
     """
-    # a table of its own: every step must see the same keys
-    keyed = cut_lineage(docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn("key", F.monotonically_increasing_id()), "keyed")
-    id_col, text_col = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
-    bounded_batches(docs.sparkSession)
-    texts = keyed.select("key", whole_text(text_col).alias("_text"))
-    known = cut_lineage(profiles(texts, similarity, shingle), "profiles")
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    i, t = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
+    # rows are told by 128 bits of their id and text wherever they are read; what is kept of them has a 64-bit key
+    content = plain.withColumns({"c1": F.xxhash64(i, t), "c2": F.xxhash64(t, F.lit(1), i)})
+    texts = content.select(i.alias("id"), "c1", "c2", F.coalesce(t, F.lit("")).alias("_text"))
+    known = cut_lineage(profiles(texts, similarity, shingle).withColumn("key", F.monotonically_increasing_id()), "profiles")
+    # of rows repeated with id and text one is looked at
+    again = known.groupBy("c1", "c2").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    extra = cut_lineage(known.select("key", "c1", "c2").join(again, ["c1", "c2"]).where("key <> first").select("key"), "repeated")
+    if repeated := not extra.isEmpty():
+        known = known.join(extra, "key", "left_anti")
     meetings = cut_lineage(_meetings(known), "meetings")
-    linked = cut_lineage(verified_pairs(first_pairs(known, meetings, similarity), texts, similarity, shingle), "linked")
+    linked = cut_lineage(verified_pairs(first_pairs(known, meetings, similarity), known, texts, similarity, shingle, repeated), "linked")
     roots = components(linked)
     placed = cut_lineage(known.select("key", "n", "parity").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
-    more = verified_pairs(other_pairs(placed, meetings, similarity), texts, similarity, shingle)
+    more = verified_pairs(other_pairs(placed, meetings, similarity), known, texts, similarity, shingle, repeated)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(keyed.select(F.col("key").alias("node"), F.col(id_col).alias("id")), "node")
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(known.select(F.col("key").alias("node"), "id", "c1", "c2"), "node")
     stays = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "node")).alias("s")).select(F.col("s.node").alias("node"))
-    gone = cut_lineage(members.join(stays, "node", "left_anti").select(F.col("node").alias("key")), "gone")
-    return keyed.join(gone, "key", "left_anti").drop("key").toDF(*docs.columns)
+    gone = cut_lineage(members.join(stays, "node", "left_anti").select("c1", "c2"), "gone")
+    return content.join(gone, ["c1", "c2"], "left_anti").select(*names).toDF(*docs.columns)
