@@ -1,15 +1,16 @@
 """License scans: phrases by position, templates by an exact set-similarity join.
 
-Templates and text blocks are sets of words. A block answers a template when it contains at least ``threshold`` of
-its words. All words are ordered by how often they occur in the whole corpus, rarest first; then
+Tokens are pairs of words that follow one another, so that order counts. Templates are sets of tokens; the texts' side
+are blocks: for templates of up to L words (L a power of two) windows of 2 L words at steps of L, so that every stretch as
+long as a template stands whole in one of them, across line ends or not. A block answers a template when it contains at
+least ``threshold`` of its tokens. All tokens are ordered by how often they occur in the whole corpus, rarest first; then
 
-* prefix filter: an answering block holds one of the template's first size - needed + 1 words,
-* length filter: it has at least ``needed`` words of any template,
-* positional filter: a first common word at places i and j leaves room for the rest of the overlap,
+* prefix filter: an answering block holds one of the template's first size - needed + 1 tokens,
+* length filter: it has at least ``needed`` tokens of templates of its size,
+* positional filter: a first common token at places i and j leaves room for the rest of the overlap,
 
-and what passes is counted exactly. No answering block is missed. Templates are a fixed, short list, which every
-task holds; blocks are all windows of twice the longest template at steps of that template's length, so that every
-stretch as long as a template stands in one of them, across line ends or not.
+and what passes is counted exactly. No answering block is missed. Both sides are tables: (size, token, place, template) of
+the template prefixes, and of the blocks that hold any of these tokens the same; they meet by equality of size and token.
 """
 
 from __future__ import annotations
@@ -19,28 +20,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, whole_text
+from .license_texts import TEMPLATES
 
 THRESHOLD = 0.9
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Notices that are looked for besides the phrases, as (label, words).
-TEMPLATES = (
-    ("apache", "licensed under the apache license version 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc0", "dedicated to the public domain under cc0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "redistribute it and or modify it under the terms of the gnu general public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    ("unlicense", "free and unencumbered software released into the public domain"),
-)
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -49,49 +36,68 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_WORD).split()
 
 
-class Join:
-    """The template side: ordered words, prefixes, and what it takes to answer each template."""
-
-    def __init__(self, templates, threshold: float, frequency: dict[bytes, int]):
-        sets = [(label, {w for w in words_of(text)}) for label, text in templates]
-        vocabulary = sorted(set().union(*(s for _, s in sets)), key=lambda w: (frequency.get(w, 0), w)) if sets else []
-        self.rank = {w: i for i, w in enumerate(vocabulary)}
-        self.templates, self.prefix = [], {}
-        for t, (label, s) in enumerate(sets):
-            ordered = sorted(self.rank[w] for w in s)
-            needed = max(1, math.ceil(threshold * len(ordered) - 1e-9))
-            self.templates.append((label, frozenset(ordered), len(ordered), needed))
-            for i, r in enumerate(ordered[: len(ordered) - needed + 1]):
-                self.prefix.setdefault(r, []).append((t, i))
-        self.starters = {w for w in vocabulary if self.rank[w] in self.prefix}
-        self.width = max([1, *(len(words_of(text)) for _, text in templates)])
-
-    def answers(self, block: list[bytes]) -> dict[str, float]:
-        """Label -> best containment of the templates that a block answers."""
-        own = sorted({self.rank[w] for w in block if w in self.rank})
-        tried, found = set(), {}
-        for j, r in enumerate(own):
-            for t, i in self.prefix.get(r, ()):
-                if t in tried:
-                    continue
-                tried.add(t)  # the first common word decides about room
-                label, ranks, size, needed = self.templates[t]
-                if len(own) < needed or 1 + min(size - i - 1, len(own) - j - 1) < needed:
-                    continue
-                shared = sum(x in ranks for x in own)
-                if shared >= needed:
-                    found[label] = max(found.get(label, 0.0), shared / size)
-        return found
-
-    def scan(self, words: list[bytes]) -> dict[str, float]:
-        if self.starters.isdisjoint(words):
-            return {}
-        found: dict[str, float] = {}
-        blocks = sorted({b for i, w in enumerate(words) if w in self.starters for b in (i // self.width - 1, i // self.width) if b >= 0})
-        for b in blocks:
-            for label, c in self.answers(words[b * self.width : (b + 2) * self.width]).items():
-                found[label] = max(found.get(label, 0.0), c)
-        return found
+def tokens_of(words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    return zip(words, words[1:], strict=False)
+
+
+def read_templates(spark: SparkSession, path: str) -> tuple[tuple[str, str], ...]:
+    """Templates of a folder of text files, each one's label the part of its name before the first dot. They are a stated
+    set, as long as every task can hold it."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^/]*)?$", 1).alias("label"), "value")
+    return tuple(sorted((r["label"], r["value"]) for r in files.collect()))
+
+
+class Side:
+    """The templates: tokens ranked by frequency for each size of block, prefixes, and what it takes to answer."""
+
+    def __init__(self, templates, threshold: float, frequency: dict[tuple[bytes, bytes], int]):
+        self.ranks: dict[int, dict[tuple[bytes, bytes], int]] = {}
+        #: (size, template, label, ranks, needed) and (size, rank, template, place)
+        self.templates: list[tuple[int, int, str, list[int], int]] = []
+        self.prefixes: list[tuple[int, int, int, int]] = []
+        sized: dict[int, list[tuple[int, str, set]]] = {}
+        for t, (label, text) in enumerate(templates):
+            words = words_of(text)
+            if len(words) > 1:
+                sized.setdefault(1 << (len(words) - 1).bit_length(), []).append((t, label, set(tokens_of(words))))
+        for size, own in sorted(sized.items()):
+            order = sorted(set().union(*(s for _, _, s in own)), key=lambda x: (frequency.get(x, 0), x))
+            rank = self.ranks[size] = {x: i for i, x in enumerate(order)}
+            for t, label, s in own:
+                ordered = sorted(rank[x] for x in s)
+                needed = max(1, math.ceil(threshold * len(ordered) - 1e-9))
+                self.templates.append((size, t, label, ordered, needed))
+                self.prefixes += [(size, r, t, i) for i, r in enumerate(ordered[: len(ordered) - needed + 1])]
+        self.starts = {size: frozenset(r for s, r, _, _ in self.prefixes if s == size) for size in self.ranks}
+        self.starters = frozenset(x for size, rank in self.ranks.items() for x, r in rank.items() if r in self.starts[size])
+
+    def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """The prefixes, and the whole templates."""
+        return (
+            spark.createDataFrame(self.prefixes, "size int, token int, template int, i int"),
+            spark.createDataFrame(self.templates, "size int, template int, label string, ranks array<int>, needed int").drop("size"),
+        )
+
+    def blocks(self, words: list[bytes]) -> list[dict]:
+        """The text's blocks that hold a prefix token: size, own (ascending ranks) and starts (which of own are such)."""
+        if self.starters.isdisjoint(tokens_of(words)):
+            return []
+        out = []
+        for size, rank in self.ranks.items():
+            held: dict[int, set[int]] = {}
+            for at, token in enumerate(tokens_of(words)):
+                r = rank.get(token)
+                if r is not None:
+                    # the blocks that begin at multiples of size and hold both words
+                    for b in {at // size, at // size - 1}:
+                        if b >= 0 and at + 1 < (b + 2) * size:
+                            held.setdefault(b, set()).add(r)
+            for _, ranks in sorted(held.items()):
+                own = sorted(ranks)
+                starts = [{"token": r, "j": j} for j, r in enumerate(own) if r in self.starts[size]]
+                if starts:
+                    out.append({"size": size, "own": own, "starts": starts})
+        return out
 
 
 def places(joined: bytes, phrase: bytes) -> list[int]:
@@ -104,19 +110,26 @@ def places(joined: bytes, phrase: bytes) -> list[int]:
     return found
 
 
-def template_frequencies(docs: DataFrame, templates=TEMPLATES, text_col: str = "text") -> dict[bytes, int]:
-    """How often each template word occurs in all texts. Each task sends its sums over that fixed vocabulary."""
-    known = {w for _, text in templates for w in words_of(text)}
+def template_frequencies(docs: DataFrame, templates=TEMPLATES, text_col: str = "text") -> dict[tuple[bytes, bytes], int]:
+    """How often each template token occurs in all texts. Each task sends its sums over that fixed vocabulary."""
+    known = {x for _, text in templates for x in tokens_of(words_of(text))}
+    first = {a for a, _ in known}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+        seen: Counter[tuple[bytes, bytes]] = Counter()
         for b in batches:
             for t in b.column(0):
-                seen.update(w for w in words_of(t.as_py()) if w in known)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+                words = words_of(t.as_py())
+                if not first.isdisjoint(words):
+                    seen.update(x for x in tokens_of(words) if x in known)
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in seen], pa.binary()), pa.array([z for _, z in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["a", "z", "n"])
+
+    sums = docs.select(whole_text(text_col).alias("_text")).mapInArrow(run, "a binary, z binary, n long").groupBy("a", "z").agg(F.sum("n").alias("n"))
+    return {(bytes(r["a"]), bytes(r["z"])): r["n"] for r in sums.collect()}
 
-    sums = docs.select(whole_text(text_col).alias("_text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r["word"]): r["n"] for r in sums.collect()}
+
+_BASE = "n_words long, n_base long, first_word long, last_word long, base_labels array<string>"
+_BLOCKS = "array<struct<size:int,own:array<int>,starts:array<struct<token:int,j:int>>>>"
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,14 +137,16 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, thresho
 
     Null text is empty: no words, no labels (empty strings), null places, score 0. The score is 1 where a phrase
     stands, else the best containment of an answered template, else 0. Repeated rows are scanned each. Other
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty result. Templates of one word have no token and are not found.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    join = Join(templates, threshold, template_frequencies(docs, templates, text_col))
+    side = Side(templates, threshold, template_frequencies(docs, templates, text_col))
     base = [(b" ".join(words_of(p)), label) for p, label in phrases.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("size", pa.int32()), ("own", pa.list_(pa.int32())), ("starts", pa.list_(pa.struct([("token", pa.int32()), ("j", pa.int32())])))])))
         for b in batches:
             rows = []
             for t in b.column(1):
@@ -142,11 +157,21 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, thresho
                     if at := places(joined, phrase):
                         starts += at
                         labels.add(label)
-                more = join.scan(words)
-                rows.append((len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | set(more))), 1.0 if starts else max(more.values(), default=0.0)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
+                rows.append((len(words), len(starts), min(starts, default=None), max(starts, default=None), sorted(labels), side.blocks(words)))
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
-
-    schema = f"_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text")).mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "blocks"])
+
+    rows = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, {_BASE}, blocks {_BLOCKS}").withColumn("_row", F.monotonically_increasing_id())
+    prefixes, whole = side.tables(spark)
+    own = ["_row", "_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
+    blocks = rows.select(*own, F.explode_outer("blocks").alias("b")).select(*own, "b.size", "b.own", F.explode_outer("b.starts").alias("s")).select(*own, "size", "own", "s.token", "s.j")
+    met = blocks.join(prefixes, ["size", "token"], "left").join(whole, "template", "left")
+    n, shared = F.size("ranks"), F.size(F.array_intersect("own", "ranks"))
+    room = 1 + F.least(n - F.col("i") - 1, F.size("own") - F.col("j") - 1)
+    answered = (F.size("own") >= F.col("needed")) & (room >= F.col("needed")) & (shared >= F.col("needed"))
+    held = met.withColumn("share", F.when(answered, shared / n)).groupBy(*own).agg(F.collect_set(F.when(F.col("share").isNotNull(), F.col("label"))).alias("more"), F.max("share").alias("share"))
+    return held.select(
+        F.col("_id").alias(id_col), "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union("base_labels", "more")), ",").alias("labels"),
+        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
+    )

@@ -469,22 +469,55 @@ def test_licenses(docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
-def test_license_join_misses_no_block():
+def by_every_block(text, templates, threshold):
+    """Label -> best containment, over all blocks of all sizes."""
+    words, found = licenses.words_of(text or ""), {}
+    for label, template in templates:
+        own = licenses.words_of(template)
+        tokens, size = set(licenses.tokens_of(own)), 1 << (len(own) - 1).bit_length()
+        for b in range(0, max(1, len(words)), size):
+            share = len(tokens & set(licenses.tokens_of(words[b : b + 2 * size]))) / len(tokens)
+            if share >= threshold - 1e-9:
+                found[label] = max(found.get(label, 0.0), share)
+    return found
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.9, 1.0])
+def test_license_join_misses_no_block(spark, threshold):
+    """Labels and scores of whole texts against all blocks: templates of all sizes, whole, cut, changed and moved."""
     random.seed(4)
-    vocabulary = [f"w{i}" for i in range(30)]
-    templates = [(f"t{i}", " ".join(random.sample(vocabulary, random.randint(3, 10)))) for i in range(15)]
-    frequency = {w.encode(): random.randint(1, 100) for w in vocabulary}
-    for threshold in (0.6, 0.9, 1.0):
-        join = licenses.Join(templates, threshold, frequency)
-        for _ in range(300):
-            block = [w.encode() for w in random.choices(vocabulary + ["other", "words"], k=random.randint(1, 25))]
-            want = {}
-            for label, text in templates:
-                s = set(text.split())
-                share = len(s & {b.decode() for b in block}) / len(s)
-                if share >= threshold - 1e-9:
-                    want[label] = share
-            assert join.answers(block) == want
+    few = [f"w{i}" for i in range(12)]
+    templates = [(f"t{i}", " ".join(random.choices(few, k=random.randint(2, 40)))) for i in range(12)] + list(licenses.TEMPLATES)
+    rows = []
+    for i in range(150):
+        parts = []
+        for _ in range(random.randint(0, 3)):
+            w = random.choice(templates)[1].split()
+            for _ in range(random.choice([0, 0, 1, len(w) // 10, len(w) // 3])):
+                w[random.randrange(len(w))] = random.choice(["other", "w3", ""])
+            parts += random.choices(few + ["x", "y"], k=random.randint(0, 60)) + w
+        rows.append((i, " ".join(parts)))
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates, threshold=threshold).collect()
+    assert len(got) == len(rows)
+    texts_by_id = dict(rows)
+    for r in got:
+        want = by_every_block(texts_by_id[r.doc_id], templates, threshold)
+        assert r.labels == ",".join(sorted({*want, *filter(None, r.base_labels.split(","))}))
+        assert r.score == pytest.approx(1.0 if r.n_base else max(want.values(), default=0.0))
+    assert any(r.score not in (0, 1) for r in got) or threshold == 1.0
+
+
+def test_license_texts_are_found_in_order_only(spark, tmp_path):
+    mit = dict(licenses.TEMPLATES)["mit"]
+    mixed = mit.split()
+    random.seed(2)
+    random.shuffle(mixed)
+    rows = [(1, f"Copyright (c) 2020\n\n{mit.lower()}\nimport os"), (2, " ".join(mixed)), (3, mit.replace("NONINFRINGEMENT", "SOMETHING"))]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].labels == "mit" and got[1].score == 1.0 and got[2].labels == "" and got[3].labels == "mit" and 0.9 <= got[3].score < 1
+    (tmp_path / "own.txt").write_text("this text may be used by our friends")
+    (tmp_path / "other.v2.txt").write_text("all is free")
+    assert [x for x, _ in licenses.read_templates(spark, f"file://{tmp_path}")] == ["other", "own"]
 
 
 def test_language_id(spark, docs, empty):
@@ -517,6 +550,34 @@ def test_language_filters_by_brute_force(monkeypatch):
     assert [x for x, _ in whole] == ["aa", "und", "und", "und", "bb"]
 
 
+def test_language_decisions_by_brute_force(spark):
+    """Predictions of a whole table: every n-gram looked up in every language's filter on its own, and in plain sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    filters = language_id.learn(docs.where(~language_id.held_out()))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, filters).collect()}
+    rows, n_sets = docs.select("doc_id", "text", "lang").collect(), 0
+    labelled = [r for r in rows if r.lang and r.text and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    often = {lang: Counter() for lang in filters.languages}
+    for r in labelled:
+        for _, h in language_id.gram_hashes(language_id.letters(r.text)):
+            often[r.lang].update(h.tolist())
+    exact = {lang: {h for h, _ in sorted(c.items(), key=lambda x: (-x[1], np.uint64(x[0]).view(np.int64)))[: language_id.GRAMS]} for lang, c in often.items()}
+    for r in rows:
+        grams = [int(x) for _, h in language_id.gram_hashes(language_id.letters(r.text or "")) for x in h]
+        if not grams:
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        places = list(zip(*(p.tolist() for p in filters._places(np.array(grams, np.uint64))), strict=True))
+        shares = []
+        for i, lang in enumerate(filters.languages):
+            hits = sum(all(filters.table[i // 8, p] >> i % 8 & 1 for p in three) for three in places)
+            shares.append((max(0.0, (hits - len(grams) * filters.false[i]) / (1 - filters.false[i])) / len(grams), -i, lang))
+        share, _, lang = max(shares)
+        assert got[r.doc_id][0] == (lang if share else filters.default) and got[r.doc_id][1] == pytest.approx(min(1.0, share))
+        n_sets += max(filters.languages, key=lambda x: sum(g in exact[x] for g in grams)) == got[r.doc_id][0]
+    assert n_sets >= 0.99 * sum(any(language_id.letters(r.text or "")) for r in rows)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(1500)]
