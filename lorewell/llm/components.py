@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, spread_join
 
 #: Links that one task contracts at a time.
 TASK_LINKS = 200_000
@@ -46,11 +46,13 @@ def components(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     if tasks > 1:
         before = None
         while True:
+            # a node may have very many links: its rows are spread over tasks
             both = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(stars.select(F.col("b").alias("u"), F.col("a").alias("v")))
             least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            large = spread_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            large = cut_lineage(large, "stars")
             least = large.groupBy("u").agg(F.min("v").alias("m"))
-            joined = large.join(least, "u")
+            joined = spread_join(large, least, "u")
             small = joined.select(F.col("u").alias("a"), F.col("m").alias("b")).unionByName(joined.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))).distinct()
             stars = cut_lineage(small, "stars")
             now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()

@@ -56,10 +56,10 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = _tokenised(docs, tokenizer, end_id, id_col, text_col)
-    # one row per input partition: their number bounds what is broadcast
+    # one row per input partition, written so that the join knows its size: it is broadcast if that is small
     totals = rows.groupBy("part").agg(F.sum("n").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    offsets = cut_lineage(totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")), "offsets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +79,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
                 columns, names = [*columns, pa.array(cut, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    placed = rows.join(F.broadcast(offsets), "part").select("_id", (F.col("base") + F.col("begins")).alias("first"), "n", "width", "ids")
+    placed = rows.join(offsets, "part").select("_id", (F.col("base") + F.col("begins")).alias("first"), "n", "width", "ids")
     schema = f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     return placed.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
