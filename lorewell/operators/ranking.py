@@ -3,12 +3,16 @@ in one plan. Ties break by an explicit column. Sizes decide about broadcasts (AQ
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import vectors as V
-
+#: Questions that are scored against a block of items at a time, and rows of a block.
+_STEP, _BLOCK = 256, 5000
 
 def postings(df: DataFrame, item: str, tokens: Column) -> DataFrame:
     """(item, token) rows of distinct tokens."""
@@ -70,14 +74,66 @@ def fuse_lists(lists: DataFrame, k: int = 60) -> DataFrame:
     return once.groupBy("question", "item").agg(F.sum(F.lit(1.0) / (F.lit(float(k)) + F.col("place"))).alias("score"), F.min(F.struct("list", "place")).alias("first"))
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, least: float | None = None) -> DataFrame:
-    """Exact cosine k-NN of (question, q_vec) against (item, vec): (question, item, sim, rank), ties by item. The
-    question side is a stated query set; each pair is scored once and ranks are limited before the shuffle."""
-    pairs = queries.join(items, F.col("question") != F.col("item")) if queries.schema["question"].dataType == items.schema["item"].dataType else queries.crossJoin(items)
-    scored = pairs.select("question", "item", V.cosine(F.col("q_vec"), F.col("vec")).alias("sim"))
+def _blocks(df: DataFrame, prefix: str) -> DataFrame:
+    """Rows (id, label, part, vec) of a side as blocks: ids, labels and parts as arrays, unit vectors as one binary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), _BLOCK):
+                b = batch.slice(at, _BLOCK)
+                v = np.asarray(b.column(3).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(b), -1)
+                norm = np.sqrt((v * v).sum(1))
+                unit = v / np.where(norm < 1e-9, np.inf, norm)[:, None]
+                yield pa.RecordBatch.from_arrays([*(pa.array([c.to_pylist()], pa.list_(c.type)) for c in b.columns[:3]), pa.array([unit.tobytes()], pa.binary())], [f"{prefix}_{n}" for n in ("id", "label", "part", "m")])
+
+    return df.mapInArrow(run, f"{prefix}_id array<long>, {prefix}_label array<string>, {prefix}_part array<string>, {prefix}_m binary")
+
+
+def similarities(queries: DataFrame, items: DataFrame, k: int | None = None, part: Column | None = None, label: str | None = None, digits: int = 9, own: bool = False) -> DataFrame:
+    """(question, item, part, sim): cosines of (question, q_vec) and (item, vec), rounded; 0 for zero vectors. A
+    question does not meet the item of its own id unless ``own``, nor, with ``label``, items with its own value of that column.
+
+    With k, what cannot be among the k most similar of its part stays out, ties included. Both sides are packed into
+    blocks, and blocks meet as matrix products: the questions are a stated set, items are read once for each block of
+    them, and only what is kept becomes rows. Null vectors take no part; all vectors have one length."""
+    none = F.lit(None).cast("string")
+    q = queries.where("q_vec IS NOT NULL").select(F.col("question").cast("long"), (F.col(label).cast("string") if label else none).alias("l"), none.alias("p"), "q_vec")
+    i = items.where("vec IS NOT NULL").select(F.col("item").cast("long"), (F.col(label).cast("string") if label else none).alias("l"), (none if part is None else part.cast("string")).alias("p"), "vec")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, asked = np.array(row["i_id"], np.int64), np.array(row["q_id"], np.int64)
+                labels, theirs = np.array(row["i_label"], object), np.array(row["q_label"], object)
+                parts = np.array(["" if p is None else p for p in row["i_part"]], object)
+                m, v = (np.frombuffer(row[x]).reshape(len(n), -1) for x, n in (("i_m", ids), ("q_m", asked)))
+                for at in range(0, len(asked), _STEP):
+                    some = asked[at : at + _STEP]
+                    sims = v[at : at + _STEP] @ m.T
+                    if not own:
+                        sims[some[:, None] == ids] = -np.inf
+                    if label:
+                        sims[theirs[at : at + _STEP][:, None] == labels] = -np.inf
+                    keep = np.isfinite(sims)
+                    for p in sorted(set(parts)) if k is not None else ():
+                        here = np.flatnonzero(parts == p)
+                        if len(here) > k:
+                            # a little below the k-th, as what is equal when rounded is decided by id
+                            edge = -np.partition(-sims[:, here], k - 1, axis=1)[:, k - 1] - 2 * 10.0**-digits
+                            keep[:, here] &= sims[:, here] >= edge[:, None]
+                    r, c = np.nonzero(keep)
+                    yield pa.RecordBatch.from_arrays([pa.array(some[r]), pa.array(ids[c]), pa.array(parts[c], pa.string()), pa.array(sims[r, c])], ["question", "item", "part", "sim"])
+
+    met = _blocks(i, "i").crossJoin(_blocks(q, "q"))  # blocks, not rows
+    return met.mapInArrow(run, "question long, item long, part string, sim double").withColumn("sim", F.round("sim", digits))
+
+
+def nearest(queries: DataFrame, items: DataFrame, k: int, least: float | None = None, part: Column | None = None, label: str | None = None, digits: int = 9, rank: str = "rank", own: bool = False) -> DataFrame:
+    """Exact cosine k-NN: (question, item, part, sim, rank), in each part if there are any; ties by item."""
+    scored = similarities(queries, items, k, part, label, digits, own)
     if least is not None:
         scored = scored.where(F.col("sim") >= least)
-    return top(scored, "question", [F.desc("sim"), F.asc("item")], k)
+    return top(scored, ["question", "part"], [F.desc("sim"), F.asc("item")], k, rank)
 
 
 def gap_cut(scored: DataFrame, by: str, score: str, place: str) -> DataFrame:

@@ -40,28 +40,28 @@ def ctc_traverse_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.forward_contents(links, active, tags, excluded, first.select("graph", "content").distinct())
 
 
-@query(f"WITH {LINKS_SQL} SELECT DISTINCT graph, cue, tag FROM links WHERE place % 3 = 0")
+@query(f"WITH {LINKS_SQL} SELECT DISTINCT graph, cue, tag FROM links")
 def ctc_traverse_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = _contents(spark, sf_dir).where("place % 3 = 0").select("graph", "content")
-    return G.reverse(_links(spark, sf_dir), some)
+    """Cues and tags behind the contents of each graph."""
+    return G.reverse(_links(spark, sf_dir), _contents(spark, sf_dir).select("graph", "content"))
 
 
-@query("SELECT conv_id AS graph, 't' || (turn // 4) AS topic, turn AS episode FROM conversations WHERE turn // 4 = 0")
+@query("SELECT conv_id AS graph, 't' || (turn // 4) AS topic, turn AS episode FROM conversations")
 def topic_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Episodes of a topic's list, here the first four turns of a conversation."""
+    """Episodes of each topic's list, here four turns of a conversation."""
     topics = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("graph"), F.concat(F.lit("t"), F.floor(F.col("turn") / 4)).alias("topic")).agg(F.collect_list("turn").alias("topic_links"))
-    return topics.where("topic = 't0'").select("graph", "topic", F.explode("topic_links").alias("episode"))
+    return topics.select("graph", "topic", F.explode("topic_links").alias("episode"))
 
 
 @query(f"""WITH {LINKS_SQL}, cues AS (SELECT graph, cue, min(place) AS seq FROM links GROUP BY 1, 2),
-q AS (SELECT graph, content AS question, lower(text) AS t, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS toks FROM contents WHERE place % 2 = 1),
+q AS (SELECT graph, content AS question, lower(text) AS t, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS toks FROM contents),
 m AS (SELECT q.graph, question, cue, seq, len(list_distinct(regexp_extract_all(lower(cue), '[a-z0-9]+'))) AS n_tokens FROM q JOIN cues ON q.graph = cues.graph
   WHERE len(list_filter(list_distinct(regexp_extract_all(lower(cue), '[a-z0-9]+')), lambda x: NOT list_contains(toks, x))) = 0 OR contains(t, lower(cue)))
 SELECT graph, question, cue, n_tokens::INT AS n_tokens, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY graph, question ORDER BY n_tokens DESC, seq, cue) AS rank FROM m) WHERE rank <= 25""")
 def cue_subset_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     contents = _contents(spark, sf_dir)
     cues = _links(spark, sf_dir).join(contents.select("graph", "content", "place"), ["graph", "content"]).groupBy("graph", "cue").agg(F.min("place").alias("seq"))
-    questions = contents.where("place % 2 = 1").select("graph", F.col("content").alias("question"), "text")
+    questions = contents.select("graph", F.col("content").alias("question"), "text")
     return G.match_cues(questions, cues)
 
 
@@ -85,20 +85,10 @@ WITH probes AS (SELECT item_id, left(trim(regexp_replace(lower(text), '\\s+', '
 ctx AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS c FROM documents)
 SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM probes JOIN ctx ON contains(c, probe) WHERE length(probe) > 20 GROUP BY item_id""")
 def contamination_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items whose first 200 normalised characters stand in a document. A probe's first eight words meet
-    the documents' eight-word runs by equality, so only likely pairs are searched."""
+    """Benchmark items whose first 200 normalised characters (the rule's probe) stand in a document."""
     probes = table(spark, sf_dir, "benchmark").select("item_id", F.substring(X.squeezed(F.col("text")), 1, 200).alias("probe")).where(F.length("probe") > 20)
-    # whole words of the probe behind its first, which may continue a longer word in the document
-    inner = F.slice(F.split("probe", " "), 2, 5)
-    keyed = probes.withColumn("key", F.when(F.size(F.split("probe", " ")) > 7, F.xxhash64(F.array_join(inner, " "))))
     docs = table(spark, sf_dir, "documents").select("doc_id", X.squeezed(F.col("text")).alias("c"))
-    words = F.split("c", " ")
-    runs = docs.select("doc_id", "c", words.alias("w")).select("doc_id", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(size(w) - 4, 1)), i -> xxhash64(array_join(slice(w, i, 5), ' '))))")).alias("key"))
-    likely = runs.join(keyed.where("key IS NOT NULL").select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    near = likely.join(docs, "doc_id").join(probes, "item_id").where(F.contains("c", "probe"))
-    short = keyed.where("key IS NULL").drop("key").join(docs, F.contains("c", "probe"))
-    hits = near.select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id")).distinct()
-    return hits.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    return G.holding(probes, docs).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 @query("""
@@ -109,13 +99,14 @@ def gold_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH gold AS (SELECT conv_id, turn, left(text, 50) AS g FROM conversations WHERE turn % 2 = 0), ev AS (SELECT conv_id, turn, text AS e FROM conversations WHERE turn < 4)
+WITH gold AS (SELECT conv_id, turn, left(text, 50) AS g FROM conversations), ev AS (SELECT conv_id, text AS e FROM conversations WHERE role <> 'user')
 SELECT gold.conv_id, gold.turn, max(CASE WHEN contains(e, g) THEN 1 ELSE 0 END)::INT AS hit FROM gold JOIN ev USING (conv_id) GROUP BY 1, 2""")
 def gold_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold passages found in a question's evidence by their first 50 characters, inserted dates removed."""
+    """Gold passages (all turns) found in their conversation's evidence (the replies) by their first 50 characters, which
+    is the test's own rule, inserted dates removed."""
     c = table(spark, sf_dir, "conversations")
-    gold = c.where("turn % 2 = 0").select("conv_id", "turn", F.substring("text", 1, 50).alias("g"))
-    evidence = c.where("turn < 4").select("conv_id", X.without_dates(F.col("text")).alias("e"))
+    gold = c.select("conv_id", "turn", F.substring("text", 1, 50).alias("g"))
+    evidence = c.where("role <> 'user'").select("conv_id", X.without_dates(F.col("text")).alias("e"))
     return gold.join(evidence, "conv_id").groupBy("conv_id", "turn").agg(F.max(F.contains("e", "g").cast("int")).alias("hit"))
 
 
