@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def shared_count(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two token arrays."""
-    distinct = F.array_distinct(a)
-    return F.aggregate(F.transform(distinct, lambda t: F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda x: x == t)))), F.lit(0), lambda s, n: s + n)
-
-
-def token_scores(prediction: Column, gold: Column, both_empty: float = 1.0) -> Column:
-    """struct(precision, recall, f1) over token arrays; ``both_empty`` where neither has tokens, 0 where one has none."""
-    n_p, n_g, shared = F.size(prediction), F.size(gold), shared_count(prediction, gold)
+def shared_counts(rows: DataFrame, key: list[str], prediction: str = "p", gold: str = "g") -> DataFrame:
+    """One row per key (key, n_p, n_g, shared) of rows with two token arrays: their sizes and the size of their multiset
+    intersection. Tokens become rows and are counted per key and token, so the work grows with the tokens, and where
+    rows are dealt by some of the key columns already, nothing is shuffled."""
+    side = lambda c, p, g: F.transform(c, lambda t: F.struct(t.alias("t"), F.lit(p).alias("in_p"), F.lit(g).alias("in_g")))
+    both = F.concat(side(F.coalesce(prediction, F.array().cast("array<string>")), 1, 0), side(F.coalesce(gold, F.array().cast("array<string>")), 0, 1))
+    sized = rows.select(*key, F.coalesce(F.size(prediction), F.lit(0)).alias("n_p"), F.coalesce(F.size(gold), F.lit(0)).alias("n_g"), F.explode_outer(both).alias("x"))
+    counted = sized.groupBy(*key, "n_p", "n_g", F.col("x.t").alias("t")).agg(F.sum("x.in_p").alias("in_p"), F.sum("x.in_g").alias("in_g"))
+    return counted.groupBy(*key, "n_p", "n_g").agg(F.coalesce(F.sum(F.least("in_p", "in_g")), F.lit(0)).alias("shared"))
+
+
+def token_scores(n_p: Column, n_g: Column, shared: Column, both_empty: float = 1.0) -> Column:
+    """struct(precision, recall, f1) from the counts; ``both_empty`` where neither has tokens, 0 where one has none."""
     p, r = shared / n_p, shared / n_g
     f1 = F.when(shared == 0, F.lit(0.0)).otherwise(F.lit(2.0) * p * r / (p + r))
     empty = F.when((n_p == 0) & (n_g == 0), F.lit(both_empty)).otherwise(F.lit(0.0))
@@ -22,15 +26,24 @@ def token_scores(prediction: Column, gold: Column, both_empty: float = 1.0) -> C
     return F.struct(F.when(none, empty).otherwise(p).alias("precision"), F.when(none, empty).otherwise(r).alias("recall"), F.when(none, empty).otherwise(f1).alias("f1"))
 
 
-def best_f1(prediction: Column, golds: Column) -> Column:
-    """Largest F1 over an array of token arrays, 0 without any."""
-    return F.coalesce(F.array_max(F.transform(golds, lambda g: token_scores(prediction, g, 0.0)["f1"])), F.lit(0.0))
+def scored(rows: DataFrame, key: list[str], prediction: str = "p", gold: str = "g", both_empty: float = 1.0) -> DataFrame:
+    """(key, precision, recall, f1) of rows with two token arrays."""
+    counts = shared_counts(rows, key, prediction, gold)
+    return counts.select(*key, token_scores(F.col("n_p"), F.col("n_g"), F.col("shared"), both_empty).alias("s")).select(*key, "s.*")
+
+
+def best_f1(rows: DataFrame, key: list[str], prediction: str = "p", golds: str = "golds") -> DataFrame:
+    """(key, score): the largest F1 over an array of token arrays, 0 without any."""
+    each = rows.select(*key, prediction, F.posexplode_outer(golds).alias("_i", "_g"))
+    return scored(each, [*key, "_i"], prediction, "_g", 0.0).groupBy(*key).agg(F.max("f1").alias("score"))
 
 
-def listed_f1(predictions: Column, golds: Column) -> Column:
-    """Mean over the gold items of the best F1 among the predicted items (arrays of token arrays)."""
-    per = F.transform(golds, lambda g: F.coalesce(F.array_max(F.transform(predictions, lambda p: token_scores(p, g, 0.0)["f1"])), F.lit(0.0)))
-    return F.when((F.size(predictions) == 0) | (F.size(golds) == 0), F.lit(0.0)).otherwise(F.aggregate(per, F.lit(0.0), lambda s, x: s + x) / F.size(golds))
+def listed_f1(rows: DataFrame, key: list[str], predictions: str = "ps", golds: str = "gs") -> DataFrame:
+    """(key, score): the mean over the gold items of the best F1 among the predicted items (arrays of token arrays); 0
+    where there are none of either."""
+    each = rows.select(*key, predictions, F.posexplode_outer(golds).alias("_i", "_g")).select(*key, "_i", "_g", F.posexplode_outer(predictions).alias("_j", "_p"))
+    best = scored(each, [*key, "_i", "_j"], "_p", "_g", 0.0).groupBy(*key, "_i").agg(F.max("f1").alias("best"))
+    return best.groupBy(*key).agg(F.avg("best").alias("score"))
 
 
 def informative(text: Column) -> Column:

@@ -12,6 +12,8 @@ from ..functions import vectors as V
 from ..registry import query
 from ..session import table
 
+#: What tells the scored pairs apart.
+KEY = ["conv_id", "turn"]
 _TOK = "list_filter(regexp_split_to_array(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+'), lambda t: t <> '')"
 PAIRS_SQL = f"""pairs AS (SELECT a.conv_id, a.turn, {_TOK.format('a.text')} AS p, {_TOK.format('b.text')} AS g, a.text AS pt, b.text AS gt FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1)"""
 SHARED_SQL = "coalesce(list_sum(list_transform(list_distinct({p}), lambda t: least(len(list_filter({p}, lambda x: x = t)), len(list_filter({g}, lambda x: x = t))))), 0)"
@@ -28,8 +30,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, turn, round(CASE WHEN np = 0 AND ng = 0 THEN 1 WHEN np = 0 OR ng = 0 THEN 0 ELSE s / np END, 9) AS precision, round(CASE WHEN np = 0 AND ng = 0 THEN 1 WHEN np = 0 OR ng = 0 THEN 0 ELSE s / ng END, 9) AS recall,
   round(CASE WHEN np = 0 AND ng = 0 THEN 1 WHEN np = 0 OR ng = 0 OR s = 0 THEN 0 ELSE 2 * (s / np) * (s / ng) / (s / np + s / ng) END, 9) AS f1 FROM s""")
 def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _pairs(spark, sf_dir).withColumn("s", M.token_scores(F.col("p"), F.col("g")))
-    return s.select("conv_id", "turn", *[F.round(f"s.{c}", 9).alias(c) for c in ("precision", "recall", "f1")])
+    return M.scored(_pairs(spark, sf_dir), KEY).select(*KEY, *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def _lists_sql(col: str) -> str:
@@ -42,7 +43,8 @@ f AS (SELECT conv_id, turn, gi, max(CASE WHEN s = 0 THEN 0 ELSE 2 * (s / len(p))
 SELECT l.conv_id, l.turn, round(coalesce(avg(best), 0), 9) AS score FROM l LEFT JOIN f USING (conv_id, turn) GROUP BY 1, 2""")
 def multi_answer_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = lambda t: F.filter(F.transform(F.split(t, ","), lambda x: F.filter(F.split(F.regexp_replace(F.lower(x), r"(?U)[^\w\s]", " "), r"\s+"), lambda y: y != "")), lambda x: F.size(x) > 0)
-    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(M.listed_f1(items(F.col("pt")), items(F.col("gt"))), 9).alias("score"))
+    lists = _pairs(spark, sf_dir).select(*KEY, items(F.col("pt")).alias("ps"), items(F.col("gt")).alias("gs"))
+    return M.listed_f1(lists, KEY).withColumn("score", F.round("score", 9))
 
 
 @query(f"""WITH {PAIRS_SQL}, a AS (SELECT conv_id, turn, p, unnest([g, p[:3], g[:5]]) AS g FROM pairs), s AS (SELECT *, {SHARED_SQL.format(p='p', g='g')}::DOUBLE AS s FROM a)
@@ -50,7 +52,7 @@ SELECT conv_id, turn, round(max(CASE WHEN s = 0 THEN 0 ELSE 2 * (s / len(p)) * (
 def qa_f1_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best F1 over several accepted answers."""
     golds = F.array(F.col("g"), F.slice("p", 1, 3), F.slice("g", 1, 5))
-    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(M.best_f1(F.col("p"), golds), 9).alias("score"))
+    return M.best_f1(_pairs(spark, sf_dir).select(*KEY, "p", golds.alias("golds")), KEY).withColumn("score", F.round("score", 9))
 
 
 @query()
@@ -58,12 +60,17 @@ def stemmed_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 over Porter stems of dialogue answers."""
     stems = lambda t: X.stemmed(F.filter(F.split(X.answer_dialogue(X.decomposed(F.col(t))), " "), lambda x: x != ""))
     s = _pairs(spark, sf_dir).select("conv_id", "turn", stems("pt").alias("p"), stems("gt").alias("g"))
-    return s.select("conv_id", "turn", F.round(M.token_scores(F.col("p"), F.col("g"), 0.0)["f1"], 9).alias("score"))
+    return M.scored(s, KEY, both_empty=0.0).select(*KEY, F.round("f1", 9).alias("score"))
 
 
-@query(f"""WITH {PAIRS_SQL} SELECT conv_id, turn, levenshtein(left(regexp_replace(pt, '[^ -~]', '', 'g'), 60), left(regexp_replace(gt, '[^ -~]', '', 'g'), 60))::INT AS distance FROM pairs""")
+#: DuckDB compares bytes: there, each letter beyond ASCII that the table has becomes a control character of its own.
+_BEYOND = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_BYTES_SQL = f"translate({{}}, '{_BEYOND}', '{''.join(chr(i) for i in range(1, 32) if i not in (9, 10, 11, 12, 13))[: len(_BEYOND)]}')"
+
+
+@query(f"""WITH {PAIRS_SQL} SELECT conv_id, turn, levenshtein({_BYTES_SQL.format('pt')}, {_BYTES_SQL.format('gt')})::INT AS distance FROM pairs""")
 def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("conv_id", "turn", F.levenshtein(*[F.substring(F.regexp_replace(c, "[^ -~]", ""), 1, 60) for c in ("pt", "gt")]).alias("distance"))
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.levenshtein("pt", "gt").alias("distance"))
 
 
 _INF = "list_distinct(list_transform(list_filter(regexp_extract_all({}, '[A-Za-z0-9]+'), lambda w: length(w) > 5 OR regexp_matches(w, '[0-9]') OR regexp_matches(w, '^[A-Z]{{3,}}$')), lambda w: lower(w)))"
