@@ -25,43 +25,40 @@ def buffer_evictions(df: DataFrame, by: str, order: list[str], item: str, capaci
 # -- mixture gate ----------------------------------------------------------------------------------------------------
 
 
-def _beta_log(x: np.ndarray, a: float, b: float) -> np.ndarray:
-    return math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + (a - 1) * np.log(x) + (b - 1) * np.log1p(-x)
+_lgamma = np.vectorize(math.lgamma)
 
 
-def _by_moments(mean: float, variance: float) -> tuple[float, float]:
-    kappa = max(mean * (1 - mean) / max(variance, 1e-8) - 1, 0.1)
-    return max(mean * kappa, 0.1), max((1 - mean) * kappa, 0.1)
+def _shapes(mean: np.ndarray, variance: np.ndarray) -> np.ndarray:
+    """Shape parameters (a, b) of Beta components with these moments, kept above 0.1."""
+    spread = np.maximum(mean * (1 - mean) / np.maximum(variance, 1e-8) - 1, 0.1)
+    return np.maximum(np.stack([mean, 1 - mean]) * spread, 0.1)
 
 
 def mixture_gate(scores: np.ndarray, rounds: int = 20, eps: float = 1e-6) -> np.ndarray:
     """Posterior of each score's belonging to the upper of two Beta components (EM by moments after min-max scaling,
-    started from the 0.3 and 0.7 quantiles)."""
+    started from the 0.3 and 0.7 quantiles). Both components are worked on at once."""
     scores = np.asarray(scores, float)
     if len(scores) < 2:
         return np.ones(len(scores))
     low, high = scores.min(), scores.max()
     x = np.full(len(scores), 0.5) if high <= low else np.clip(eps + (1 - 2 * eps) * (scores - low) / (high - low), eps, 1 - eps)
-    share = np.array([0.5, 0.5])
-    params = [_by_moments(q, 0.05) for q in np.quantile(x, [0.3, 0.7])]
+    logs = np.stack([np.log(x), np.log1p(-x)], 1)
+    share, shapes = np.full(2, 0.5), _shapes(np.quantile(x, [0.3, 0.7]), np.full(2, 0.05))
 
-    def joint() -> np.ndarray:
-        return np.stack([np.log(np.maximum(s, 1e-300)) + _beta_log(x, *p) for s, p in zip(share, params, strict=True)], 1)
+    def posterior() -> np.ndarray:
+        norm = _lgamma(shapes.sum(0)) - _lgamma(shapes).sum(0)
+        log = np.log(np.maximum(share, 1e-300)) + norm + logs @ (shapes - 1)
+        part = np.exp(log - log.max(1, keepdims=True))
+        return part / part.sum(1, keepdims=True)
 
     for _ in range(rounds):
-        log = joint()
-        r = np.exp(log - log.max(1, keepdims=True))
-        r /= r.sum(1, keepdims=True)
-        weight = r.sum(0)
-        share = weight / len(x)
-        for k in (0, 1):
-            if weight[k] >= 1e-9:
-                mean = r[:, k] @ x / weight[k]
-                params[k] = _by_moments(mean, r[:, k] @ (x - mean) ** 2 / weight[k])
-    upper = int(np.argmax([a / (a + b) for a, b in params]))
-    log = joint()
-    top = log.max(1, keepdims=True)
-    return np.exp(log[:, upper] - (top[:, 0] + np.log(np.exp(log - top).sum(1))))
+        own = posterior()
+        weight = own.sum(0)
+        share, some = weight / len(x), weight >= 1e-9
+        mean = x @ own / np.where(some, weight, 1)
+        variance = ((x[:, None] - mean) ** 2 * own).sum(0) / np.where(some, weight, 1)
+        shapes = np.where(some, _shapes(mean, variance), shapes)
+    return posterior()[:, int(np.argmax(shapes[0] / shapes.sum(0)))]
 
 
 def gate_accepts(scores: np.ndarray, tau: float = 0.6, least: int = 1) -> list[int]:
@@ -101,42 +98,43 @@ def gated_sessions(vectors: np.ndarray, tau: float = 0.6, capacity: int = 2000)
 
 
 def greedy_clusters(vectors: np.ndarray, least: float = 0.5) -> list[int]:
-    """First cluster whose centre is at least this similar, the centre a running mean; else a new one."""
-    centres: list[np.ndarray] = []
-    sizes: list[int] = []
-    out = []
-    for v in vectors:
-        home = next((i for i, c in enumerate(centres) if _cosine(v, c) >= least), None)
-        if home is None:
-            centres.append(v.copy())
-            sizes.append(1)
-            home = len(centres) - 1
-        else:
-            sizes[home] += 1
-            centres[home] += (v - centres[home]) / sizes[home]
-        out.append(home)
-    return out
+    """First cluster whose centre is at least this similar, the centre a running mean; else a new one. Each vector is
+    compared with all centres at once."""
+    centres, sizes = np.zeros(vectors.shape), np.zeros(len(vectors), np.int64)
+    labels, used = np.zeros(len(vectors), np.int64), 0
+    for at, v in enumerate(vectors):
+        norms = np.linalg.norm(centres[:used], axis=1) * np.linalg.norm(v)
+        alike = (centres[:used] @ v) / np.where(norms < 1e-9, np.inf, norms) >= least
+        home = int(alike.argmax()) if alike.any() else used
+        used = max(used, home + 1)
+        sizes[home] += 1
+        centres[home] += (v - centres[home]) / sizes[home]
+        labels[at] = home
+    return labels.tolist()
 
 
 def ward(vectors: np.ndarray, clusters: int) -> list[int]:
-    """Agglomerative clustering that merges the pair with the least growth of variance; labels by first member."""
-    members = {i: [i] for i in range(len(vectors))}
-    centre = {i: vectors[i].astype(float) for i in members}
-    while len(members) > max(1, clusters):
-        keys = sorted(members)
-        best = None
-        for n, i in enumerate(keys):
-            for j in keys[n + 1 :]:
-                a, b = len(members[i]), len(members[j])
-                cost = a * b / (a + b) * float(((centre[i] - centre[j]) ** 2).sum())
-                if best is None or cost < best[0] - 1e-12:
-                    best = (cost, i, j)
-        _, i, j = best
-        a, b = len(members[i]), len(members[j])
-        centre[i] = (centre[i] * a + centre[j] * b) / (a + b)
-        members[i] += members.pop(j)
-    label = {m: n for n, k in enumerate(sorted(members)) for m in members[k]}
-    return [label[i] for i in range(len(vectors))]
+    """Agglomerative clustering that merges the pair with the least growth of variance, the first of equal ones; labels
+    by first member. Costs are kept as a matrix, of which a merge changes one row."""
+    n = len(vectors)
+    centre, size, owner = vectors.astype(float), np.ones(n), np.arange(n)
+
+    def costs(i: int) -> np.ndarray:
+        return size[i] * size / (size[i] + size) * ((centre - centre[i]) ** 2).sum(1)
+
+    cost = np.full((n, n), np.inf)
+    for i in range(n):
+        cost[i, i + 1 :] = costs(i)[i + 1 :]
+    for _ in range(n - max(1, clusters)):
+        i, j = divmod(int(np.round(cost, 12).argmin()), n)
+        centre[i] = (centre[i] * size[i] + centre[j] * size[j]) / (size[i] + size[j])
+        size[i] += size[j]
+        owner[owner == j] = i
+        cost[j], cost[:, j] = np.inf, np.inf
+        alive = np.isin(np.arange(n), owner)
+        again = np.where(alive, costs(i), np.inf)
+        cost[i, i + 1 :], cost[:i, i] = again[i + 1 :], again[:i]
+    return np.unique(owner, return_inverse=True)[1].tolist()
 
 
 def consolidate(rows: list[tuple[float, np.ndarray, int]], capacity: int, close: float = 0.92) -> tuple[list[int], list[int]]:

@@ -58,7 +58,18 @@ def beta_mixture_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grouped(spark, sf_dir, 20).groupBy("grp").applyInPandas(run, "grp long, vec_id long, gate double, accepted boolean")
 
 
-@query()
+def _clusters_sql(size: int, least: float, by: str, label: str) -> str:
+    """Greedy clustering as a recursion over the vectors of a group, its state the centres and their sizes."""
+    return f"""
+WITH RECURSIVE p AS (SELECT vec_id // {size} AS grp, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY vec_id // {size} ORDER BY vec_id) AS i FROM embeddings),
+r AS (SELECT grp, vec_id, i, [v] AS c, [1] AS n, 1 AS home FROM p WHERE i = 1
+  UNION ALL SELECT grp, vec_id, i, CASE WHEN home > len(c) THEN list_append(c, v) ELSE list_transform(range(1, len(c) + 1), lambda k: CASE WHEN k = home THEN list_transform(range(1, len(v) + 1), lambda d: c[k][d] + (v[d] - c[k][d]) / (n[k] + 1)) ELSE c[k] END) END,
+    CASE WHEN home > len(c) THEN list_append(n, 1) ELSE list_transform(range(1, len(n) + 1), lambda k: CASE WHEN k = home THEN n[k] + 1 ELSE n[k] END) END, home
+  FROM (SELECT p.grp, p.vec_id, p.i, p.v, r.c, r.n, coalesce(list_filter(range(1, len(r.c) + 1), lambda k: list_cosine_similarity(r.c[k], p.v) >= {least})[1], len(r.c) + 1)::INT AS home FROM r JOIN p ON p.grp = r.grp AND p.i = r.i + 1))
+SELECT grp AS {by}, vec_id, home - 1 AS {label} FROM r"""
+
+
+@query(_clusters_sql(50, 0.2, "grp", "cluster"))
 def greedy_cluster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
@@ -98,13 +109,22 @@ def long_term_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grouped(spark, sf_dir, 25).groupBy("grp").applyInPandas(run, "grp long, vec_id long, used int")
 
 
-@query()
+_ROW_SQL = "s[4 * {a} + 1] * {x}[1] + s[4 * {a} + 2] * {x}[2] + s[4 * {a} + 3] * {x}[3] + s[4 * {a} + 4] * {x}[4]"
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, [sin(value), sin(value * 2), sin(value * 3), sin(value * 4)] AS q, [sin(value * 2), sin(value * 3), sin(value * 4), sin(value * 5)] AS k, [sin(value * 3), sin(value * 4), sin(value * 5), sin(value * 6)] AS v, event_id % 5 > 0 AS valid FROM events),
+r AS (SELECT user_id, 0::BIGINT AS step, list_transform(range(16), lambda i: 0::DOUBLE) AS s, 0::DOUBLE AS norm FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL SELECT e.user_id, e.step, CASE WHEN valid THEN list_transform(range(16), lambda i: 0.9::DOUBLE * s[i + 1] - 0.1::DOUBLE * ({_ROW_SQL.format(a='(i // 4)', x='k')}) * k[i % 4 + 1] + 0.5::DOUBLE * v[i // 4 + 1] * k[i % 4 + 1]) ELSE s END,
+    CASE WHEN valid THEN sqrt(list_sum(list_transform(range(4), lambda a: pow({_ROW_SQL.format(a='a', x='q')}, 2)))) ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.step = r.step + 1),
+l AS (SELECT user_id, sqrt(list_sum(list_transform(arg_max(s, step), lambda x: x * x))) AS state_norm FROM r GROUP BY 1)
+SELECT r.user_id, r.step, round(norm, 6) AS read_norm, round(state_norm, 6) AS state_norm FROM r JOIN l USING (user_id) WHERE r.step > 0""")
 def delta_rule_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as steps of an associative memory of width four."""
     e = table(spark, sf_dir, "events")
     wave = lambda p: F.array(*[F.sin(F.col("value") * F.lit(p + i)) for i in range(4)])
     steps = e.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("step"), wave(1).alias("q"), wave(2).alias("k"), wave(3).alias("v"), F.lit(0.9).alias("keep"), F.lit(0.1).alias("erase"), F.lit(0.5).alias("write"), (F.col("event_id") % 5 > 0).alias("valid"))
-    return Y.delta_streams(steps, "user_id", "step")
+    return Y.delta_streams(steps, "user_id", "step").withColumns({c: F.round(c, 6) for c in ("read_norm", "state_norm")})
 
 
 @query("""
@@ -117,18 +137,17 @@ def partition_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS question, b.vec_id AS entry, round(list_cosine_similarity(a.v, b.v), 9) AS sim FROM e a JOIN e b ON b.vec_id % 4 = 0 AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS question, b.vec_id AS entry, round(list_cosine_similarity(a.v, b.v), 9) AS sim FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY sim DESC, entry) AS r FROM s) WHERE r <= 5)
 SELECT entry, count(*) AS used, round(max(sim), 9) AS best FROM t GROUP BY 1""")
 def long_term_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five nearest entries of each question, and how often each entry was used."""
-    from ..operators.ranking import top
+    from ..operators.ranking import nearest
 
     e = table(spark, sf_dir, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("v"))
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question"), F.col("v").alias("q_vec"))
-    entries = e.where("vec_id % 4 = 0").select(F.col("vec_id").alias("entry"), F.col("v").alias("vec"))
-    s = q.join(entries, F.col("question") != F.col("entry")).select("question", "entry", F.round(V.cosine(F.col("q_vec"), F.col("vec")), 9).alias("sim"))
-    return top(s, "question", [F.desc("sim"), F.asc("entry")], 5).groupBy("entry").agg(F.count("*").alias("used"), F.round(F.max("sim"), 9).alias("best"))
+    found = nearest(q, e.select(F.col("vec_id").alias("item"), F.col("v").alias("vec")), 5).withColumnRenamed("item", "entry")
+    return found.groupBy("entry").agg(F.count("*").alias("used"), F.round(F.max("sim"), 9).alias("best"))
 
 
 @query("""

@@ -14,6 +14,7 @@ from ..functions import vectors as V
 from ..operators import memory as Y
 from ..registry import query
 from ..session import table
+from .memory_queries import _clusters_sql
 
 
 @query("""
@@ -78,12 +79,12 @@ def evidence_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH b AS (SELECT a.conv_id, a.turn, a.text AS p, b.text AS g FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1)
-SELECT conv_id, turn, n(p) = n(g) AS em, contains(n(g), n(p)) OR contains(n(p), n(g)) AS correct FROM b""".replace("n(p)", "trim(regexp_replace(regexp_replace(lower(left(p, 12)), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))").replace("n(g)", "trim(regexp_replace(regexp_replace(lower(left(g, 12)), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"))
+SELECT conv_id, turn, n(p) = n(g) AS em, contains(n(g), n(p)) OR contains(n(p), n(g)) AS correct FROM b""".replace("n(p)", "trim(regexp_replace(regexp_replace(lower(p), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))").replace("n(g)", "trim(regexp_replace(regexp_replace(lower(g), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"))
 def exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal answers, and answers that contain each other, over the first characters."""
+    """Equal answers, and answers that contain each other."""
     c = table(spark, sf_dir, "conversations")
-    g = c.select("conv_id", (F.col("turn") + 1).alias("turn"), X.answer_plain(F.substring("text", 1, 12)).alias("g"))
-    p = c.select("conv_id", "turn", X.answer_plain(F.substring("text", 1, 12)).alias("p")).join(g, ["conv_id", "turn"])
+    g = c.select("conv_id", (F.col("turn") + 1).alias("turn"), X.answer_plain(F.col("text")).alias("g"))
+    p = c.select("conv_id", "turn", X.answer_plain(F.col("text")).alias("p")).join(g, ["conv_id", "turn"])
     return p.select("conv_id", "turn", (F.col("p") == F.col("g")).alias("em"), (F.contains("g", "p") | F.contains("p", "g")).alias("correct"))
 
 
@@ -95,7 +96,7 @@ def graph_date_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "content", F.when(F.col("time").isNotNull(), D.resolved(F.col("text"), F.col("time"))["text"]).otherwise(F.col("text")).alias("text"), F.when(F.col("time").isNotNull(), D.date_only(F.col("time"))).alias("time"))
 
 
-@query()
+@query(_clusters_sql(40, 0.15, "conv", "topic"))
 def topic_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes in order join the first topic that matches (here by similarity to its running centre), or open one."""
     e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 40).alias("conv"), "vec_id", "embedding")

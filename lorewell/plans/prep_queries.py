@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..registry import query
 from ..session import table
 from ..sources import readers
+from .text_queries import BM25_STOP_SQL
 
 
 @query("""
@@ -119,7 +120,9 @@ def balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", "event_id", n.alias("n")).select("user_id", "event_id", F.floor(F.col("n") / 3).alias("shard"), (F.col("n") % 3 == 0).alias("first"))
 
 
-@query()
+@query(f"""
+WITH x AS (SELECT conv_id, turn, role, regexp_extract_all(text, '\\b[A-Z][a-z]{{2,}}') AS c, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN ({BM25_STOP_SQL})) AS t FROM conversations)
+SELECT conv_id, turn, coalesce(list_reverse_sort(list_transform(t, lambda w: {{'n': length(w), 'w': w}}))[1].w, 'Mention') AS tag, unnest(list_distinct(list_append(c, coalesce(role, 'Unknown')))) AS cue FROM x""")
 def extracted_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags and cues of every turn by the rule-based extractor."""
     from ..functions import models
@@ -128,7 +131,12 @@ def extracted_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", "x.tag", F.explode("x.cues").alias("cue"))
 
 
-@query()
+@query("""
+WITH t AS (SELECT DISTINCT text FROM conversations), w AS (SELECT text, ('0x' || left(md5(w), 8))::BIGINT AS h FROM (SELECT text, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM t)),
+s AS (SELECT text, h % 64 AS d, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS x FROM w GROUP BY 1, 2),
+g AS (SELECT a.text, a.d, coalesce(x, 0) AS x FROM (SELECT text, unnest(range(64)) AS d FROM t) a LEFT JOIN s ON s.text = a.text AND s.d = a.d), n AS (SELECT text, sqrt(sum(x * x)) AS n FROM g GROUP BY 1),
+v AS (SELECT g.text, list(round(CASE WHEN n > 1e-9 THEN x / n ELSE x END, 9) ORDER BY d) AS v FROM g JOIN n USING (text) GROUP BY 1)
+SELECT conv_id, turn, v, floor(len(regexp_extract_all(text, '\\S+')) * 1.35::DOUBLE)::BIGINT AS tokens FROM conversations JOIN v USING (text)""")
 def encoded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns and hashed bag-of-words vectors; each distinct text is encoded once."""
     from ..functions import models

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,15 @@ def build(app: str = "lorewell", cpus: int | str | None = None, partitions: int
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder (spark.checkpoint.dir), so that the next round of an iteration starts from
+    them and a lost executor does not undo the rounds before. In local mode, where that is unset, a folder of our own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        found = context.getConf().get("spark.checkpoint.dir")
+        if not found and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='lorewell-')}")
+    return df.checkpoint()
