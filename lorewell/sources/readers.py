@@ -163,3 +163,11 @@ def index_range(spec: str) -> list[int]:
         low, _, high = part.strip().partition("-")
         out += range(int(low), int(high or low) + 1)
     return out
+
+
+def read_session(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(messages, state) of a snapshot that was written to its end."""
+    marker = spark.read.schema("version int").json(f"{path}/snapshot.json").first()
+    if marker is None or marker["version"] != 1:
+        raise ValueError(f"{path} holds no snapshot of version 1")
+    return spark.read.parquet(f"{path}/messages"), spark.read.parquet(f"{path}/state")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,3 +52,40 @@ def manifest(before: DataFrame, after: DataFrame) -> DataFrame:
 def purged(results: DataFrame, indexes: list[int], key: str = "idx") -> tuple[DataFrame, DataFrame]:
     """(kept, removed) rows of a result table by index."""
     return results.where(~F.col(key).isin(indexes)), results.where(F.col(key).isin(indexes))
+
+
+def write_json(spark: SparkSession, path: str, payload: object) -> None:
+    """One JSON document, written beside its place first and then moved there, so that readers see all of it or the
+    former one."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    fs = place.getFileSystem(conf)
+    out = fs.create(beside, True)
+    try:
+        out.write(bytearray(json.dumps(payload, ensure_ascii=False, sort_keys=True).encode()))
+    finally:
+        out.close()
+    # a rename that replaces, which FileSystem.rename does not
+    flags = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    flags[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri() if "://" in path or path.startswith("file:") else fs.getUri(), conf).rename(beside, place, flags)
+
+
+def write_sections(records: DataFrame, path: str) -> None:
+    """Records (section, ...) as one folder of JSON lines per section, which read back as one merged table."""
+    records.write.mode("overwrite").partitionBy("section").json(path)
+
+
+def write_session(messages: DataFrame, state: DataFrame, path: str) -> None:
+    """A snapshot of sessions: messages (session, place, role, content, message_id) and state (session, key, value). The
+    marker is written last, so that a snapshot without one is not read."""
+    messages.write.mode("overwrite").partitionBy("session").parquet(f"{path}/messages")
+    state.write.mode("overwrite").partitionBy("session").parquet(f"{path}/state")
+    write_json(messages.sparkSession, f"{path}/snapshot.json", {"version": 1})
+
+
+def report(rows: DataFrame, columns: list[str], widths: list[int]) -> DataFrame:
+    """(line): rows as fixed-width text, in the order of the columns."""
+    cells = [F.rpad(F.coalesce(F.col(c).cast("string"), F.lit("-")), w, " ") for c, w in zip(columns, widths, strict=True)]
+    return rows.orderBy(*columns).select(F.rtrim(F.concat_ws(" ", *cells)).alias("line"))
