@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +81,33 @@ def category_score(category: Column, prediction: Column, single: Column, listed:
     return F.when(category == 5, refused.cast("double")).when(category == 1, listed).otherwise(single)
 
 
+def gold_of(category: Column, gold: Column) -> Column:
+    """The answer that counts: in category 3 the part before the first semicolon."""
+    return F.when(category == 3, F.trim(F.substring_index(gold, ";", 1))).otherwise(gold)
+
+
+def least_loaded(costs: list[float], ranks: int) -> list[int]:
+    """Rank of each cost of a falling list: the least loaded one so far, the first of equal ones."""
+    loads = [(0.0, r) for r in range(ranks)]
+    out = []
+    for c in costs:
+        load, rank = heapq.heappop(loads)
+        heapq.heappush(loads, (load + c, rank))
+        out.append(rank)
+    return out
+
+
+def scheduled(tasks: DataFrame, by: str, task: str, cost: str, ranks: int) -> DataFrame:
+    """(by, task, rank): the tasks of each group by falling cost, each to the rank with the least load."""
+    kinds = {f.name: f.dataType.simpleString() for f in tasks.schema}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([cost, task], ascending=[False, True])
+        return pd.DataFrame({by: pdf[by], task: pdf[task], "rank": least_loaded(pdf[cost].tolist(), ranks)})
+
+    return tasks.select(by, task, cost).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {task} {kinds[task]}, rank int")
+
+
 def rolled_up(df: DataFrame, by: list[str], score: str) -> DataFrame:
     """Mean and count overall and by each column of ``by`` alone, in one pass (grouping sets)."""
     sets = [[]] + [[c] for c in by]

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import settled
+
 #: Questions that are scored against a block of items at a time, and rows of a block.
 _STEP, _BLOCK = 256, 5000
 
@@ -31,7 +33,8 @@ def token_idf(posts: DataFrame, n: int) -> DataFrame:
 
 def overlap_scores(questions: DataFrame, posts: DataFrame, idf: DataFrame) -> DataFrame:
     """(question, item, score): the summed idf of shared tokens, for pairs that share any. Questions' tokens get
-    their weights first, so that only matching postings meet."""
+    their weights first, so that only matching postings meet. Where postings lie by item, pairs are summed where they
+    are made and no pair is shuffled before the ranks are cut."""
     weighted = questions.join(idf.select("token", "idf"), "token")
     return weighted.join(posts, "token").groupBy("question", "item").agg(F.sum("idf").alias("score"))
 
@@ -56,12 +59,15 @@ def bm25(questions: DataFrame, terms: DataFrame, n: int, average: float, k1: flo
     return weights.join(terms, "token").groupBy("question", "item").agg(F.sum(part).alias("score"))
 
 
-def term_table(df: DataFrame, item: str, tokens: Column) -> tuple[DataFrame, int, float]:
-    """(item, token, tf, length), the number of items and their mean length."""
+def term_table(df: DataFrame, item: str, tokens: Column, vocabulary: DataFrame | None = None) -> tuple[DataFrame, int, float]:
+    """(item, token, tf, length), the number of items and their mean length. With a ``vocabulary`` (token) only its
+    tokens are counted; lengths are of all. Where ``df`` lies by item, nothing is shuffled."""
     rows = df.select(F.col(item).alias("item"), tokens.alias("tokens")).withColumn("length", F.size("tokens"))
     n, average = rows.agg(F.count("*"), F.avg("length")).first()
-    terms = rows.select("item", "length", F.explode("tokens").alias("token")).groupBy("item", "token", "length").agg(F.count("*").alias("tf"))
-    return terms, n, average or 1.0
+    terms = rows.select("item", "length", F.explode("tokens").alias("token"))
+    if vocabulary is not None:
+        terms = terms.join(vocabulary.distinct(), "token", "left_semi")
+    return terms.groupBy("item", "token", "length").agg(F.count("*").alias("tf")), n, average or 1.0
 
 
 def fused(rank_a: Column, rank_b: Column, k: int = 60) -> Column:
@@ -152,3 +158,19 @@ def budget_prefix(df: DataFrame, by: str, place: str, cost: str, budget: float)
     w = Window.partitionBy(by).orderBy(place)
     run = df.withColumn("_spent", F.sum(cost).over(w)).withColumn("_row", F.row_number().over(w))
     return run.where((F.col("_spent") <= budget) | (F.col("_row") == 1)).drop("_spent", "_row")
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Every row with its 0-based place in the order of all: rows are dealt by ranges and numbered within a range; a
+    prefix sum over the ranges, one row each, gives the rest. ``order`` must tell all rows apart."""
+    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    own = settled(dealt.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = own.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return own.join(parts, "_part").withColumn(name, F.col("_row") + F.col("_before")).drop("_part", "_row", "_before")
+
+
+def long_enough(df: DataFrame, by: list[str], words: Column, least: int = 3) -> DataFrame:
+    """Rows of at least ``least`` words; all rows of a group in which none has as many."""
+    known = df.withColumn("_ok", words >= least).withColumn("_any", F.max("_ok").over(Window.partitionBy(*by)))
+    return known.where("_ok OR NOT _any").drop("_ok", "_any")

@@ -10,6 +10,7 @@ from ..functions import prompts as P
 from ..functions import records as C
 from ..functions import scores as M
 from ..functions import text as X
+from ..operators import ranking as R
 from ..registry import query
 from ..session import table
 from .score_queries import KEY, PAIRS_SQL, SHARED_SQL
@@ -102,14 +103,11 @@ def warmup_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH a AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY s) AS r, s FROM (SELECT conv_id, turn, text, 0 AS s FROM conversations WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn, upper(role), 1 FROM conversations))
 SELECT conv_id AS sample, turn AS question, md5(text) AS record_md5, row_number() OVER (ORDER BY conv_id, turn) AS place FROM a WHERE r = 1""")
 def merged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of several shards as one list in (sample, question) order, the first shard's where both have one. Places
-    come from a prefix sum over samples, so no task numbers all records."""
+    """Records of several shards as one list in (sample, question) order, the first shard's where both have one."""
     c = table(spark, sf_dir, "conversations")
     both = c.where("turn % 2 = 0").select("conv_id", "turn", "text", F.lit(0).alias("s")).unionByName(c.select("conv_id", "turn", F.upper("role").alias("text"), F.lit(1).alias("s")))
-    one = both.groupBy("conv_id", "turn").agg(F.min_by("text", "s").alias("text"))
-    before = one.groupBy("conv_id").agg(F.count("*").alias("n")).select("conv_id", F.coalesce(F.sum("n").over(Window.orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) + F.col("before")
-    return one.join(before, "conv_id").select(F.col("conv_id").alias("sample"), F.col("turn").alias("question"), F.md5("text").alias("record_md5"), place.alias("place"))
+    one = both.groupBy(F.col("conv_id").alias("sample"), F.col("turn").alias("question")).agg(F.md5(F.min_by("text", "s")).alias("record_md5"))
+    return R.numbered(one, ["sample", "question"], "place").withColumn("place", F.col("place") + 1)
 
 
 @query("""

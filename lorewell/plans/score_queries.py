@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import scores as M
 from ..functions import text as X
 from ..functions import vectors as V
+from ..operators import ranking as R
 from ..registry import query
 from ..session import table
 
@@ -144,9 +145,9 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile interval of the mean difference; resampling by hash, so that every run and engine agrees."""
     signed = F.when(F.col("event_type") == "click", F.col("value")).otherwise(-F.col("value"))
     d = table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.avg(signed), 6).alias("diff"))
-    o = d.select("diff", (F.row_number().over(Window.orderBy("user_id")) - 1).alias("i"))  # a row per question
+    o = R.numbered(d, ["user_id"], "i").select("diff", "i")
     n = d.count()
-    slots = spark.range(BOOT).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
+    slots = spark.range(BOOT * n).select(F.floor(F.col("id") / n).alias("b"), (F.col("id") % n).alias("slot"))
     pick = F.conv(F.substring(F.md5(F.concat(F.lit("7|"), "b", F.lit("|"), "slot")), 1, 8), 16, 10).cast("long") % n
     means = slots.select("b", pick.alias("i")).join(o, "i").groupBy("b").agg(F.avg("diff").alias("m")).agg(F.sort_array(F.collect_list("m")).alias("ms"))
     at = lambda q: F.round(F.get("ms", F.lit(int(q * BOOT))), 6)

@@ -42,6 +42,12 @@ def questions(samples: DataFrame, categories: list[int] | None = None, most: int
     return rows
 
 
+def samples_with_questions(samples: DataFrame, asked: DataFrame, most: int | None = None) -> DataFrame:
+    """The first ``most`` samples by id that keep a question, as asked by questions()."""
+    kept = samples.join(asked.select("sample_id").distinct(), "sample_id", "left_semi")
+    return kept.orderBy("sample_id").limit(most) if most is not None else kept
+
+
 def expected_questions(path: str) -> int | None:
     """The number of questions that a file name such as "dev_200q.json" promises."""
     found = re.search(r"(\d+)q", path.rsplit("/", 1)[-1])
@@ -65,8 +71,12 @@ def bootstrap_split(df: DataFrame, order: str, fraction: float = 0.1) -> DataFra
 
 
 def read_document_questions(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines as (id, context, question, answers, length); ids and questions have fallbacks, null answers go."""
-    raw = spark.read.schema(schemas.DOCUMENT_QA).json(path)
+    """document_questions() of JSON lines."""
+    return document_questions(spark.read.schema(schemas.DOCUMENT_QA).json(path))
+
+
+def document_questions(raw: DataFrame) -> DataFrame:
+    """Rows of DOCUMENT_QA as (id, context, question, answers, length); ids and questions have fallbacks, null answers go."""
     return raw.select(F.coalesce("_id", "id", F.substring(F.md5(F.coalesce("context", F.lit(""))), 1, 16)).alias("id"), F.coalesce("context", F.lit("")).alias("context"), F.coalesce("input", "question", F.lit("")).alias("question"), F.filter(F.coalesce("answers", F.array().cast("array<string>")), lambda a: a.isNotNull()).alias("answers"), F.coalesce("length", F.lit(0)).alias("length"))
 
 
@@ -92,7 +102,11 @@ def paper_answer(unanswerable: Column, spans: Column, free: Column, yes_no: Colu
 
 def read_papers(spark: SparkSession, path: str) -> DataFrame:
     """(paper_id, text) of a JSON object of papers by id."""
-    whole = spark.read.option("wholetext", True).text(path)
+    return papers(spark.read.option("wholetext", True).text(path))
+
+
+def papers(whole: DataFrame) -> DataFrame:
+    """(paper_id, text, title, abstract) of rows (value) that are such objects."""
     papers = whole.select(F.explode(F.from_json("value", T.MapType(T.StringType(), schemas.PAPER))).alias("paper_id", "paper"))
     return papers.select("paper_id", paper_text(F.col("paper")).alias("text"), "paper.title", "paper.abstract")
 
@@ -106,14 +120,19 @@ def zipped_questions(df: DataFrame, key: str, arrays: list[str], default: str =
 
 
 def seeded_sample(df: DataFrame, key: str, seed: int, most: int) -> DataFrame:
-    """``most`` rows in an order that the key and the seed decide, numbered from 0."""
-    picked = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).orderBy("_h", key).limit(most)
+    """``most`` rows in an order that the key and the seed decide (the digest of "seed|key"), numbered from 0."""
+    picked = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))).orderBy("_h", key).limit(most)
     return picked.withColumn("eval_index", F.row_number().over(Window.orderBy("_h", key)) - 1).drop("_h")
 
 
 def read_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(contents, links, cues) of graph files, one JSON document each."""
-    docs = spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("graph"), F.from_json("value", schemas.GRAPH).alias("g"))
+    """graphs() of files, named by their file."""
+    return graphs(spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("graph"), F.col("value").alias("json")))
+
+
+def graphs(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(contents, links, cues) of graph documents (graph, json)."""
+    docs = documents.select("graph", F.from_json("json", schemas.GRAPH).alias("g"))
     contents = docs.select("graph", F.explode("g.contents").alias("content", "c")).select("graph", "content", "c.*")
     links = docs.select("graph", F.explode("g.links").alias("l")).select("graph", F.get("l", F.lit(0)).alias("cue"), F.get("l", F.lit(1)).alias("tag"), F.get("l", F.lit(2)).alias("content"))
     cues = docs.select("graph", F.explode("g.cues").alias("cue", "c")).select("graph", "cue", F.explode_outer("c.tag_set").alias("tag"))
@@ -121,8 +140,14 @@ def read_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
 
 
 def read_hypergraphs(spark: SparkSession, path: str, version: int = 1) -> dict[str, DataFrame]:
-    """Node and incidence tables of hypergraph files of one version; files of others are left out, to be rebuilt."""
-    docs = spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("graph"), F.from_json("value", schemas.HYPERGRAPH).alias("h")).where(F.col("h.version") == version)
+    """hypergraphs() of files, named by their file."""
+    return hypergraphs(spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("graph"), F.col("value").alias("json")), version)
+
+
+def hypergraphs(documents: DataFrame, version: int = 1) -> dict[str, DataFrame]:
+    """Node and incidence tables of hypergraph documents (graph, json) of one version; others are left out, to be
+    rebuilt."""
+    docs = documents.select("graph", F.from_json("json", schemas.HYPERGRAPH).alias("h")).where(F.col("h.version") == version)
     part = lambda name: docs.select("graph", F.explode(f"h.{name}").alias("x")).select("graph", "x.*")
     edges = part("fact_hyperedges").unionByName(part("episode_hyperedges"))
     members = edges.select("graph", F.col("id").alias("edge"), F.coalesce("episode_id", "topic_id").alias("owner"), F.explode("relation").alias("node", "role"), "weights")
@@ -131,10 +156,16 @@ def read_hypergraphs(spark: SparkSession, path: str, version: int = 1) -> dict[s
 
 
 def read_chats(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
-    """Messages of chat rows, from messages or from prompt and response."""
-    raw = (spark.read.option("multiLine", True) if array else spark.read).schema(schemas.CHAT).json(path)
+    """chats() of a file, of JSON lines or of one array."""
+    return chats((spark.read.option("multiLine", True) if array else spark.read).schema(schemas.CHAT).json(path))
+
+
+def chats(raw: DataFrame) -> DataFrame:
+    """Rows of CHAT with their messages, or those that prompt and response make; rows with neither go."""
     pair = F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")), F.struct(F.lit("assistant").alias("role"), F.col("response").alias("content")))
-    return raw.select(F.coalesce("messages", F.when(F.col("prompt").isNotNull() & F.col("response").isNotNull(), pair)).alias("messages")).where("messages IS NOT NULL")
+    made = F.when(F.col("prompt").isNotNull() & F.col("response").isNotNull(), pair)
+    kept = [c for c in raw.columns if c not in ("messages", "prompt", "response")]
+    return raw.select(*kept, F.coalesce("messages", made).alias("messages")).where("messages IS NOT NULL")
 
 
 def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
