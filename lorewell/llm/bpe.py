@@ -20,6 +20,7 @@ and merged here, so that long pieces of any script are concatenated; ids are the
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
@@ -35,7 +36,8 @@ LONG_PIECE, LEAF, WINDOW = 4096, 2048, 4
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters on which this module's splitting and lower-casing provably agree with the library's.
-_PLAIN = frozenset("\t\n\rŒœ–—‘’‚‛“”„†‡•…€" + "".join(map(chr, [*range(32, 127), *range(161, 173), *range(174, 256)])))
+_PLAIN = "\t\n\rŒœ–—‘’‚‛“”„†‡•…€" + "".join(map(chr, [*range(32, 127), *range(161, 173), *range(174, 256)]))
+_OTHER = re.compile(f"[^{re.escape(_PLAIN)}]")
 _LONG_RUN = regex.compile(r"\S{%d}" % LONG_PIECE)
 
 
@@ -119,7 +121,7 @@ class ByteBpe(_Engine):
         self._split = regex.compile(BYTE_PATTERN)
 
     def encode(self, text: str) -> np.ndarray:
-        if not _PLAIN.issuperset(text):
+        if _OTHER.search(text):
             return self._by_library(text)
         if _LONG_RUN.search(text) is None:
             return np.frombuffer(self.core._core_bpe.encode_to_tiktoken_buffer(text, set(self.special)), np.uint32)
@@ -139,7 +141,7 @@ class _Words(dict):
 
     def __init__(self, bpe: _Engine, most: int = 300_000):
         super().__init__()
-        self.bpe, self.most = bpe, most
+        self.bpe, self.most, self.piece = bpe, most, bpe.core._core_bpe.encode_single_piece
 
     def __missing__(self, word: str) -> bytes:
         data = word.encode() + b" "
@@ -147,22 +149,44 @@ class _Words(dict):
             return array("I", self.bpe.concatenated(data)).tobytes()
         if len(self) >= self.most:
             self.clear()
-        ids = self[word] = array("I", self.bpe.piece(data)).tobytes()
+        ids = self[word] = array("I", self.piece(data)).tobytes()
+        return ids
+
+
+class _Chunks(dict):
+    """Ids of stretches without white space met so far, which no piece crosses; long ones are not kept."""
+
+    def __init__(self, words: _Words, split: regex.Pattern):
+        super().__init__()
+        self.words, self.pieces = words, split.findall
+
+    def __missing__(self, chunk: str) -> bytes:
+        words = self.words
+        if chunk.isalpha():
+            ids = words[chunk]
+        elif chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            ids = words[chunk[:-1]] + words[chunk[-1]]
+        else:
+            ids = b"".join([words[p] for p in self.pieces(chunk)])
+        if len(chunk) <= 64:
+            if len(self) >= words.most:
+                self.clear()
+            self[chunk] = ids
         return ids
 
 
 class WordBpe(_Engine):
     """The mark is a space, which no piece holds: a word is its bytes and the mark, "w</w>" a token that ends in it.
-    Words repeat, so their ids are kept."""
+    Words and stretches between white space repeat, so their ids are kept."""
 
     def __init__(self, path: str):
         super().__init__(path, b" ")
         self.core = tiktoken.Encoding("word", pat_str="[^ ]+ ", mergeable_ranks=self.ranks, special_tokens={})
         self._split = regex.compile(WORD_PATTERN)
-        self._words = _Words(self)
+        self._chunks = _Chunks(_Words(self), self._split)
 
     def encode(self, text: str) -> np.ndarray:
-        if not _PLAIN.issuperset(text):
+        if _OTHER.search(text):
             return self._by_library(text)
         if self._special and "<|" in text and self._special.search(text):
             parts, at = [], 0
@@ -173,8 +197,8 @@ class WordBpe(_Engine):
         return self._ordinary(text)
 
     def _ordinary(self, text: str) -> np.ndarray:
-        words = self._words
-        return np.frombuffer(b"".join([words[w] for w in self._split.findall(text.lower())]), np.uint32)
+        chunks = self._chunks
+        return np.frombuffer(b"".join([chunks[c] for c in text.lower().split()]), np.uint32)
 
 
 @lru_cache(maxsize=4)

@@ -109,8 +109,8 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_shard(uri: str, rows: Iterator[tuple[int | None, np.ndarray]], width: int) -> tuple[int, int]:
-    """Write (key, ids) rows, null keys first and then ascending, as one shard: a new name first, then a rename, so that
+def write_shard(uri: str, rows: Iterator[tuple[int | None, bytes]], width: int) -> tuple[int, int]:
+    """Write (key, ids as bytes) rows, null keys first and then ascending, as one shard: a new name first, then a rename, so that
     a repeated or speculative task cannot leave a half-written shard. Only the index is held in memory. Returns rows
     and ids."""
     fs, path = _store(uri)
@@ -118,12 +118,12 @@ def write_shard(uri: str, rows: Iterator[tuple[int | None, np.ndarray]], width:
     temp = f"{path}.{context.taskAttemptId() if context else 0}.part"
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     keys, sizes = [], []
-    with fs.open_output_stream(temp) as out:
+    with fs.open_output_stream(temp, buffer_size=1 << 20) as out:
         for k, ids in rows:
             if k is not None:
                 keys.append(k)
-            sizes.append(len(ids))
-            out.write(ids.astype(f"<u{width}", copy=False).tobytes())
+            sizes.append(len(ids) // width)
+            out.write(ids)
         key = np.array(keys, np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)]).astype("<u8")
         distinct, first, counts = np.unique(key, return_index=True, return_counts=True)
@@ -179,6 +179,11 @@ class Shard:
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         return self.foot["nulls"] + self.slots[safe].astype(np.int64), np.where(here, self.counts[safe], 0).astype(np.int64)
 
+    def all_ids(self) -> np.ndarray:
+        """The whole payload."""
+        w = self.foot["width"]
+        return np.frombuffer(self.file.read_at(self.foot["ids"] * w, 0), f"<u{w}").astype("<u4")
+
     def ids(self, row: int) -> np.ndarray:
         a, b = int(self.starts[row]), int(self.starts[row + 1])
         w = self.foot["width"]
@@ -209,15 +214,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part = engine(tokenizer), TaskContext.get().partitionId()
         width = 2 if max(bpe.size, end_id + 1) <= 1 << 16 else 4
-        flow = ((k, np.append(bpe.encode(t), np.uint32(end_id))) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        kind, end = f"<u{width}", end_id.to_bytes(width, "little")
+        flow = ((k, bpe.encode(t).astype(kind).tobytes() + end) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         row, file = next(flow, None), 0
 
-        def some() -> Iterator[tuple[int | None, np.ndarray]]:
+        def some() -> Iterator[tuple[int | None, bytes]]:
             nonlocal row
             written = 0
             while row is not None and written < shard_bytes:
                 yield row
-                written += len(row[1]) * width
+                written += len(row[1])
                 row = next(flow, None)
 
         while row is not None:
@@ -233,7 +239,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
 def read_token_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """From the files that write_token_files() lists: id, start (ids of all documents before it), n_tokens, ids_crc32.
-    Each document is found through its file's index. Where a file starts is a prefix sum in two passes: over the
+    Each document is found through its file's index; as all of a file's are wanted, its payload is read at once. Where a file starts is a prefix sum in two passes: over the
     tasks' totals, then over the files of a task."""
     running = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # TASKS rows at most
@@ -252,9 +258,10 @@ def read_token_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 # repeated keys: the k-th of them is the k-th row from the first
                 rows = np.concatenate([np.arange(nulls), first + np.arange(len(keys)) - np.searchsorted(keys, keys)])
                 ids = pa.concat_arrays([pa.nulls(nulls, pa.int64()), pa.array(keys, pa.int64())])
+                payload, starts = shard.all_ids(), shard.starts.tolist()
                 for at in range(0, len(rows), 2000):
                     some = rows[at : at + 2000]
-                    crc = [zlib.crc32(shard.ids(int(r)).tobytes()) for r in some]
+                    crc = [zlib.crc32(payload[starts[r] : starts[r + 1]]) for r in some.tolist()]
                     yield pa.RecordBatch.from_arrays([ids[at : at + 2000], pa.array(start + shard.starts[some]), pa.array(shard.starts[some + 1] - shard.starts[some]), pa.array(crc, pa.int64())], ["_id", "start", "n_tokens", "ids_crc32"])
 
     tasks = max(1, min(TASKS, files.count()))
