@@ -44,7 +44,29 @@ def _grouped(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / size).alias("grp"), "vec_id", "embedding")
 
 
-@query()
+def _shape_sql(mean: str, variance: str) -> tuple[str, str]:
+    spread = f"greatest(({mean}) * (1 - ({mean})) / greatest({variance}, 1e-8) - 1, 0.1::DOUBLE)"
+    return f"greatest(({mean}) * {spread}, 0.1::DOUBLE)", f"greatest((1 - ({mean})) * {spread}, 0.1::DOUBLE)"
+
+
+_BETA_SQL = "ln(greatest(s{k}, 1e-300)) + lgamma(a{k} + b{k}) - lgamma(a{k}) - lgamma(b{k}) + (a{k} - 1) * ln(x) + (b{k} - 1) * ln(1 - x)"
+_OWN_SQL = "list_transform(xs, lambda x: 1 / (1 + exp(({}) - ({}))))".format(_BETA_SQL.format(k=1), _BETA_SQL.format(k=0))
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT vec_id, vec_id // 20 AS grp, embedding::DOUBLE[] AS v FROM embeddings), f AS (SELECT grp, arg_min(v, vec_id) AS h, min(vec_id) AS first FROM e GROUP BY 1),
+s AS (SELECT e.grp, e.vec_id, list_dot_product(e.v, f.h) AS d FROM e JOIN f USING (grp) WHERE e.vec_id <> f.first), b AS (SELECT grp, min(d) AS lo, max(d) AS hi FROM s GROUP BY 1),
+x AS (SELECT s.grp, s.vec_id, s.d, CASE WHEN hi <= lo THEN 0.5::DOUBLE ELSE least(greatest(1e-6 + (1 - 2e-6) * (d - lo) / (hi - lo), 1e-6), 1 - 1e-6) END AS x FROM s JOIN b USING (grp)),
+g AS (SELECT grp, list(x ORDER BY vec_id) AS xs, count(*)::DOUBLE AS n, quantile_cont(x, 0.3) AS q0, quantile_cont(x, 0.7) AS q1 FROM x GROUP BY 1),
+r AS (SELECT grp, 0 AS t, 0.5::DOUBLE AS s0, 0.5::DOUBLE AS s1, {_shape_sql("q0", "0.05::DOUBLE")[0]} AS a0, {_shape_sql("q0", "0.05::DOUBLE")[1]} AS b0, {_shape_sql("q1", "0.05::DOUBLE")[0]} AS a1, {_shape_sql("q1", "0.05::DOUBLE")[1]} AS b1 FROM g
+  UNION ALL SELECT grp, t + 1, w0 / n, w1 / n, CASE WHEN w0 >= 1e-9 THEN {_shape_sql("m0", "v0")[0]} ELSE a0 END, CASE WHEN w0 >= 1e-9 THEN {_shape_sql("m0", "v0")[1]} ELSE b0 END, CASE WHEN w1 >= 1e-9 THEN {_shape_sql("m1", "v1")[0]} ELSE a1 END, CASE WHEN w1 >= 1e-9 THEN {_shape_sql("m1", "v1")[1]} ELSE b1 END
+  FROM (SELECT *, list_sum(list_transform(xs, lambda x, i: o[i] * (x - m0) * (x - m0))) / w0 AS v0, list_sum(list_transform(xs, lambda x, i: (1 - o[i]) * (x - m1) * (x - m1))) / w1 AS v1
+    FROM (SELECT *, list_sum(list_transform(xs, lambda x, i: o[i] * x)) / w0 AS m0, list_sum(list_transform(xs, lambda x, i: (1 - o[i]) * x)) / w1 AS m1
+      FROM (SELECT *, list_sum(o) AS w0, n - list_sum(o) AS w1 FROM (SELECT r.*, g.xs, g.n, {_OWN_SQL} AS o FROM r JOIN g USING (grp) WHERE t < 20))))),
+z AS (SELECT r.grp, {_OWN_SQL} AS o, a1 / (a1 + b1) > a0 / (a0 + b0) AS upper, n FROM r JOIN g USING (grp) WHERE t = 20),
+k AS (SELECT x.grp, x.vec_id, x.d, CASE WHEN n < 2 THEN 1 WHEN upper THEN 1 - o[row_number() OVER (PARTITION BY x.grp ORDER BY x.vec_id)] ELSE o[row_number() OVER (PARTITION BY x.grp ORDER BY x.vec_id)] END AS gate, n FROM x JOIN z USING (grp)),
+p AS (SELECT *, max(gate >= 0.6) OVER (PARTITION BY grp) AS any_passed, row_number() OVER (PARTITION BY grp ORDER BY d DESC, vec_id DESC) AS best FROM k)
+SELECT grp, vec_id, round(gate, 6)::DOUBLE AS gate, CASE WHEN n < 2 THEN true WHEN any_passed THEN gate >= 0.6 ELSE best = 1 END AS accepted FROM p""")
 def beta_mixture_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate posteriors of cosine scores within groups of twenty."""
 
@@ -53,7 +75,7 @@ def beta_mixture_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
         m = np.array(pdf["embedding"].tolist(), float)
         scores = m @ m[0]
         accepted = set(Y.gate_accepts(scores[1:])) if len(scores) > 1 else set()
-        return pd.DataFrame({"grp": pdf["grp"].iloc[1:], "vec_id": pdf["vec_id"].iloc[1:], "gate": np.round(Y.mixture_gate(scores[1:]), 9), "accepted": [i in accepted for i in range(len(scores) - 1)]})
+        return pd.DataFrame({"grp": pdf["grp"].iloc[1:], "vec_id": pdf["vec_id"].iloc[1:], "gate": np.round(Y.mixture_gate(scores[1:]), 6), "accepted": [i in accepted for i in range(len(scores) - 1)]})
 
     return _grouped(spark, sf_dir, 20).groupBy("grp").applyInPandas(run, "grp long, vec_id long, gate double, accepted boolean")
 
@@ -78,7 +100,15 @@ def greedy_cluster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grouped(spark, sf_dir, 50).groupBy("grp").applyInPandas(run, "grp long, vec_id long, cluster int")
 
 
-@query()
+@query("""
+WITH RECURSIVE g AS (SELECT vec_id // 20 AS grp, list(embedding::DOUBLE[] ORDER BY vec_id) AS vs, list(vec_id ORDER BY vec_id) AS ids, count(*) AS n FROM embeddings GROUP BY 1),
+r AS (SELECT grp, n, list_transform(vs, lambda v, i: {'f': i, 'm': 1::DOUBLE, 'v': v}) AS c, list_transform(vs, lambda v, i: i) AS own, greatest(2, round_even(n / 5.0::DOUBLE, 0)) AS most, false AS done FROM g
+  UNION ALL SELECT grp, n, list_transform(list_filter(c, lambda e, k: k <> best.j), lambda e: CASE WHEN e.f = c[best.i].f THEN {'f': e.f, 'm': e.m + c[best.j].m, 'v': list_transform(e.v, lambda x, d: (x * e.m + c[best.j].v[d] * c[best.j].m) / (e.m + c[best.j].m))} ELSE e END),
+    list_transform(own, lambda o: CASE WHEN o = c[best.j].f THEN c[best.i].f ELSE o END), most, len(c) - 1 <= most
+  FROM (SELECT *, list_sort(flatten(list_transform(range(1, len(c)), lambda i: list_transform(range(i + 1, len(c) + 1), lambda j: {'cost': round(c[i].m * c[j].m / (c[i].m + c[j].m) * list_sum(list_transform(range(1, len(c[i].v) + 1), lambda d: pow(c[i].v[d] - c[j].v[d], 2))), 12), 'i': i, 'j': j}))))[1] AS best FROM r WHERE len(c) > most)),
+f AS (SELECT grp, own FROM r WHERE len(c) <= most QUALIFY row_number() OVER (PARTITION BY grp ORDER BY len(c) DESC) = 1),
+u AS (SELECT g.grp, unnest(g.ids) AS vec_id, unnest(f.own) AS o FROM g JOIN f USING (grp))
+SELECT grp, vec_id, (dense_rank() OVER (PARTITION BY grp ORDER BY o) - 1)::INT AS topic FROM u""")
 def ward_retopic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes of a conversation in balanced topics: max(2, round(n / 5)) Ward clusters."""
 
@@ -90,8 +120,9 @@ def ward_retopic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grouped(spark, sf_dir, 20).groupBy("grp").applyInPandas(run, "grp long, vec_id long, topic int")
 
 
-@query()
+@query("SELECT vec_id // 25 AS grp, vec_id, 0 AS session FROM embeddings")
 def gated_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of pages by the gate, which keeps one at least: all pages of a group join the first page's."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
         return pd.DataFrame({"grp": pdf["grp"], "vec_id": pdf["vec_id"], "session": Y.gated_sessions(np.array(pdf["embedding"].tolist(), float))})
@@ -99,7 +130,14 @@ def gated_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grouped(spark, sf_dir, 25).groupBy("grp").applyInPandas(run, "grp long, vec_id long, session int")
 
 
-@query()
+@query("""
+WITH RECURSIVE p AS (SELECT vec_id // 25 AS grp, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY vec_id // 25 ORDER BY vec_id) - 1 AS i FROM embeddings),
+r AS (SELECT grp, -1::BIGINT AS i, []::STRUCT(id BIGINT, v DOUBLE[], used INT, seen DOUBLE)[] AS s FROM (SELECT DISTINCT grp FROM p)
+  UNION ALL SELECT grp, i, CASE WHEN len(n) > 8 THEN list_filter(n, lambda e, k: k <> list_filter(range(1, len(n) + 1), lambda j: NOT (n[j].used >= 1 AND exp(-(now - n[j].seen) / 604800) >= 0.01))[1]) ELSE n END
+  FROM (SELECT *, CASE WHEN twin IS NOT NULL THEN list_transform(s, lambda e, k: CASE WHEN k = twin THEN {'id': e.id, 'v': e.v, 'used': e.used + 1, 'seen': now} ELSE e END) ELSE list_append(s, {'id': vec_id, 'v': v, 'used': 0, 'seen': now}) END AS n
+    FROM (SELECT p.grp, p.i, p.vec_id, p.v, (p.i * 3600)::DOUBLE AS now, r.s, list_filter(range(1, len(r.s) + 1), lambda k: list_cosine_similarity(r.s[k].v, p.v) > 0.3)[1] AS twin FROM r JOIN p ON p.grp = r.grp AND p.i = r.i + 1))),
+l AS (SELECT grp, unnest(arg_max(s, i)) AS e FROM r GROUP BY grp)
+SELECT grp, e.id AS vec_id, e.used AS used FROM l""")
 def long_term_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")

@@ -52,7 +52,13 @@ def long_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(S.word_windows(F.col("text"), 120)).alias("piece", "words"))
 
 
-@query()
+@query("""
+WITH RECURSIVE b AS (SELECT doc_id, list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda x: regexp_matches(x, '\\S')) AS p, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')) AS l FROM documents),
+w AS (SELECT doc_id, generate_subscripts(x, 1) AS bi, regexp_extract_all(unnest(x), '\\S+') AS w FROM (SELECT doc_id, CASE WHEN len(p) < 2 THEN l ELSE p END AS x FROM b)),
+pieces AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY bi, k) AS i, array_to_string(w[k * 300 + 1 : k * 300 + 300], ' ') AS t, least(300, len(w) - k * 300) AS n FROM (SELECT *, unnest(range((len(w) + 299) // 300)) AS k FROM w)),
+r AS (SELECT doc_id, i, t, CASE WHEN n >= 180 THEN 301 ELSE n END AS fill, 0 AS passage_no FROM pieces WHERE i = 1
+  UNION ALL SELECT doc_id, i, t, CASE WHEN f >= 180 THEN 301 ELSE f END, passage_no FROM (SELECT p.doc_id, p.i, p.t, CASE WHEN fill + n > 300 THEN n ELSE fill + n END AS f, CASE WHEN fill + n > 300 THEN passage_no + 1 ELSE passage_no END AS passage_no FROM r JOIN pieces p ON p.doc_id = r.doc_id AND p.i = r.i + 1))
+SELECT doc_id, passage_no::INT AS passage_no, string_agg(t, chr(10) ORDER BY i) AS passage FROM r GROUP BY 1, 2""")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.chunks(table(spark, sf_dir, "documents"), "doc_id")
 
@@ -141,7 +147,17 @@ def modularity_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.groupBy("stream").agg(F.round(F.sum(F.when(inside, F.col("w") - F.col("ki") * F.col("kj") / F.col("total")).otherwise(0.0)) / (2 * F.first("total")), 6).alias("modularity"))
 
 
-@query()
+_BLOCK_SQL = "coalesce(list_sum(flatten(list_transform(range({a}, {b}), lambda i: list_transform(range({c}, {d}), lambda j: m[i + 1][j + 1])))), 0)"
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT vec_id // 25 AS stream, vec_id % 25 AS pos, embedding::DOUBLE[] AS v FROM embeddings),
+w AS (SELECT x.stream, x.pos, list(list_dot_product(x.v, y.v) + 1 ORDER BY y.pos) AS row FROM e x JOIN e y ON x.stream = y.stream GROUP BY 1, 2),
+g AS (SELECT stream, list(row ORDER BY pos) AS m, count(*) AS n FROM w GROUP BY 1),
+r AS (SELECT stream, m, n, 0 AS k, 0::BIGINT AS cut FROM g
+  UNION ALL SELECT stream, m, n, k + 1, CASE WHEN e - prev > 2 AND e > 2 THEN coalesce(list_sort(list_transform(range(prev + 2, e), lambda s: {{'x': -(({_BLOCK_SQL.format(a='lo', b='s', c='lo', d='s')} + {_BLOCK_SQL.format(a='s', b='hi', c='s', d='hi')}) - (pow({_BLOCK_SQL.format(a='lo', b='s', c='lo', d='hi')}, 2) + pow(total - {_BLOCK_SQL.format(a='lo', b='s', c='lo', d='hi')}, 2)) / total) / (2 * total), 's': s}}))[1].s, prev + 2) ELSE e END
+  FROM (SELECT *, {_BLOCK_SQL.format(a='lo', b='hi', c='lo', d='hi')} AS total FROM (SELECT *, greatest(0, prev - (e - prev) // 2) AS lo, least(n, e + (e - prev) // 2) AS hi FROM (SELECT stream, m, n, k, cut AS prev, (k + 1) * 5 AS e FROM r WHERE (k + 1) * 5 < n))))
+SELECT stream, (k - 1)::INT AS event, cut::INT AS at FROM r WHERE k > 0""")
 def refined_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundaries at every fifth vector of streams of twenty-five, moved to the best modularity split."""
     e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 25).alias("stream"), "vec_id", "embedding")
