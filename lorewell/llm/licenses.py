@@ -175,3 +175,32 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, thresho
         F.array_join(F.array_sort(F.array_union("base_labels", "more")), ",").alias("labels"),
         F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )
+
+
+_WORDS_SQL = "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def oracle_sql(templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> str:
+    """scan_licenses() of documents in SQL: all blocks that hold a template's token are counted."""
+    rows = ", ".join(f"({t}, {_quoted(label)}, {_quoted(text)})" for t, (label, text) in enumerate(templates))
+    places = []
+    for phrase, label in phrases.items():
+        words = [w.decode() for w in words_of(phrase)]
+        same = " AND ".join(f"w[i + {n}] = {_quoted(w)}" for n, w in enumerate(words, 1))
+        places.append(f"{{'label': {_quoted(label)}, 'at': list_filter(range(len(w)), lambda i: {same})}}")
+    return f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL.format('text')} AS w FROM documents),
+f AS (SELECT doc_id, len(w) AS n_words, [{', '.join(places)}] AS p FROM d),
+g AS (SELECT doc_id, n_words, flatten(list_transform(p, lambda x: x.at)) AS places, list_transform(list_filter(p, lambda x: len(x.at) > 0), lambda x: x.label) AS own FROM f),
+t AS (SELECT tid, label, len(w) AS n, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS k FROM (SELECT tid, label, {_WORDS_SQL.format('text')} AS w FROM (VALUES {rows}) AS v(tid, label, text))),
+s AS (SELECT tid, label, pow(2, ceil(log2(n)))::BIGINT AS size, len(k) AS n, greatest(1, ceil({threshold}::DOUBLE * len(k) - 1e-9)) AS needed, unnest(k) AS k FROM t),
+b AS (SELECT doc_id, i, w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT doc_id, w, unnest(range(len(w) - 1)) AS i FROM d)),
+h AS (SELECT doc_id, tid, label, n, needed, i, size, b.k, unnest([i // size, i // size - 1]) AS blk FROM b JOIN s ON s.k = b.k),
+c AS (SELECT doc_id, label, count(DISTINCT k) / any_value(n)::DOUBLE AS share FROM h WHERE blk >= 0 AND i + 1 < (blk + 2) * size GROUP BY doc_id, tid, label, blk HAVING count(DISTINCT k) >= any_value(needed)),
+m AS (SELECT doc_id, list(DISTINCT label) AS more, max(share) AS share FROM c GROUP BY 1)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, array_to_string(list_sort(own), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(own, coalesce(more, [])))), ',') AS labels, CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0) END AS score
+FROM g LEFT JOIN m USING (doc_id)"""

@@ -55,4 +55,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_licenses, op4_substring_dedup, op5_jump_sharding, op6_graph_search, op7_bpe_codec, op8_packing, op9_exact_dedup, op10_token_files)}
-ORACLES = {"op4_substring_dedup": substring_dedup.ORACLE_SQL, "op9_exact_dedup": exact.ORACLE_SQL}
+ORACLES = {"op3_licenses": licenses.oracle_sql(), "op4_substring_dedup": substring_dedup.ORACLE_SQL, "op9_exact_dedup": exact.ORACLE_SQL}

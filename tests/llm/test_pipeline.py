@@ -118,3 +118,17 @@ def test_registered():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+
+
+def test_operators_equal_their_sql(spark, sf_dir):
+    import duckdb
+    from lorewell.llm import queries
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for name, sql in queries.ORACLES.items():
+        df = queries.QUERIES[name](spark, sf_dir)
+        rel = con.sql(sql)
+        at = [rel.columns.index(c) for c in df.columns]
+        assert len(rel.columns) == len(at)
+        assert sorted(map(repr, (tuple(r) for r in df.collect()))) == sorted(repr(tuple(r[i] for i in at)) for r in rel.fetchall()), name
