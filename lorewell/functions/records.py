@@ -5,8 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The primary metric of sources that have another than accuracy, and how metrics are called in reports.
-PRIMARY = {"infbench_sum": "f1", "detective_qa": "accuracy", "recsys": "recsys_recall@5"}
+# Sources of a memory benchmark with the data set's printed name, a trailing _ standing for what follows;
+# those whose metric is not accuracy; printed names of metrics; fields of a reply in the order they are looked at.
+SOURCES = {
+    "ruler_qa1_197K": "SH-Doc QA",
+    "ruler_qa2_421K": "MH-Doc QA",
+    "longmemeval_": "LongMemEval (S*)",
+    "eventqa_": "EventQA",
+    "icl_banking77_": "BANKING77",
+    "icl_clinic150_": "CLINIC150",
+    "icl_nlu_": "NLU",
+    "icl_trec_coarse_": "TREC Coarse",
+    "icl_trec_fine_": "TREC Fine",
+    "recsys_": "Movie Recommendation",
+    "infbench_sum_eng_shots2": "InfinityBench-Sum",
+    "detective_qa": "Detective QA",
+    "factconsolidation_sh_": "FactConsolidation-SH",
+    "factconsolidation_mh_": "FactConsolidation-MH",
+}
+PRIMARY = {"recsys_": "recsys_recall@5", "infbench_sum_eng_shots2": "f1"}
 DISPLAY = {"f1": "F1-Score", "recsys_recall@5": "Recall@5"}
 FIELDS = ("response", "assistant", "text", "content")
 
@@ -18,13 +35,22 @@ def prediction(reply: Column, messages: Column) -> Column:
     return F.coalesce(*named, F.try_element_at(said, F.lit(-1))["content"], F.lit(""))
 
 
-def primary_metric(source: Column) -> Column:
-    out = F.lit("accuracy")
-    for name, metric in PRIMARY.items():
-        out = F.when(source.startswith(name), metric).otherwise(out)
+def _by_source(source: Column, table: dict[str, str], default: Column) -> Column:
+    out = default
+    for name, value in table.items():
+        out = F.when(source.startswith(name) if name.endswith("_") else source == name, value).otherwise(out)
     return out
 
 
+def primary_metric(source: Column) -> Column:
+    return _by_source(source, PRIMARY, F.lit("accuracy"))
+
+
+def dataset_name(source: Column) -> Column:
+    """The printed name of a source's data set; its own name where it is not known, "unknown" without one."""
+    return _by_source(source, SOURCES, F.coalesce(F.nullif(source, F.lit("")), F.lit("unknown")))
+
+
 def display_name(metric: Column) -> Column:
     out = F.lit("Accuracy")
     for name, shown in DISPLAY.items():

@@ -22,6 +22,33 @@ def buffer_evictions(df: DataFrame, by: str, order: list[str], item: str, capaci
     return df.select(by, item, F.lag(item, capacity).over(w).alias("evicted"))
 
 
+def cached(keys: list, capacity: int) -> list[tuple[bool, object]]:
+    """(hit, evicted) of each key met in order by a cache that drops what was put in first, however often it was hit."""
+    held: dict = {}
+    out = []
+    for k in keys:
+        hit, gone = k in held, None
+        if not hit:
+            held[k] = None
+            if len(held) > capacity:
+                gone = next(iter(held))
+                del held[gone]
+        out.append((hit, gone))
+    return out
+
+
+def cache_events(df: DataFrame, by: str, order: list[str], item: str, key: str, capacity: int) -> DataFrame:
+    """(by, item, hit, evicted) of rows with a string ``key`` in order."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        got = cached(pdf[key].tolist(), capacity)
+        return pd.DataFrame({by: pdf[by], item: pdf[item], "hit": [h for h, _ in got], "evicted": [g for _, g in got]})
+
+    return df.groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {item} {kinds[item]}, hit boolean, evicted string")
+
+
 # -- mixture gate ----------------------------------------------------------------------------------------------------
 
 

@@ -40,6 +40,18 @@ def periodic_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", "event_id", (F.col("n") % 10 == 0).alias("consolidate"), F.get(kinds, ((F.col("n") - 1) % 3).cast("int")).alias("structure"))
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, event_type || (floor(value)::BIGINT % 3) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, event_id, i, [k] AS c, false AS hit, NULL::VARCHAR AS evicted FROM e WHERE i = 1
+  UNION ALL SELECT user_id, event_id, i, CASE WHEN hit THEN c WHEN len(c) >= 4 THEN list_append(c[2:], k) ELSE list_append(c, k) END, hit, CASE WHEN NOT hit AND len(c) >= 4 THEN c[1] END
+  FROM (SELECT e.*, r.c, list_contains(r.c, e.k) AS hit FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+SELECT user_id, event_id, hit, evicted FROM r""")
+def embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits and evictions of a cache of four that drops the first inserted."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.concat("event_type", F.floor("value") % 3).alias("k"))
+    return Y.cache_events(e, "user_id", ["ts", "event_id"], "event_id", "k", 4)
+
+
 def _grouped(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / size).alias("grp"), "vec_id", "embedding")
 

@@ -29,7 +29,7 @@ def prediction_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(told, "conv_id").select("conv_id", "turn", F.md5(C.prediction(reply, F.col("messages"))).alias("prediction_md5"))
 
 
-_SOURCE_SQL = "CASE turn % 3 WHEN 0 THEN 'infbench_sum_eng' WHEN 1 THEN 'detective_qa' ELSE 'ruler_' || turn END"
+_SOURCE_SQL = "CASE turn % 3 WHEN 0 THEN 'infbench_sum_eng_shots2' WHEN 1 THEN 'detective_qa' ELSE 'ruler_' || turn END"
 
 
 @query(f"""WITH {PAIRS_SQL}, s AS (SELECT conv_id, turn, pt, gt, p, g, {SHARED_SQL.format(p='p', g='g')}::DOUBLE AS s, {_SOURCE_SQL} AS source FROM pairs),
@@ -44,7 +44,7 @@ def benchmark_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _pairs(spark, sf_dir)
     f1 = M.scored(pairs, KEY, both_empty=0.0).select(*KEY, "f1")
     n = F.col("turn") % 3
-    rows = pairs.join(f1, KEY).withColumn("source", F.when(n == 0, "infbench_sum_eng").when(n == 1, "detective_qa").otherwise(F.concat(F.lit("ruler_"), "turn")))
+    rows = pairs.join(f1, KEY).withColumn("source", F.when(n == 0, "infbench_sum_eng_shots2").when(n == 1, "detective_qa").otherwise(F.concat(F.lit("ruler_"), "turn")))
     np, ng, metric = F.array_join("p", " "), F.array_join("g", " "), C.primary_metric(F.col("source"))
     correct = F.contains(ng, np) | F.contains(np, ng)
     clipped = F.length(X.clipped(F.col("gt"), 215))

@@ -290,9 +290,11 @@ def coarse_to_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey % 20 AS source, CASE WHEN o_orderkey % 20 = 0 THEN 'F1-Score' WHEN o_orderkey % 20 = 1 THEN 'Recall@5' ELSE 'Accuracy' END AS shown, count(*) AS n FROM orders GROUP BY 1, 2""")
+WITH s AS (SELECT CASE o_orderkey % 5 WHEN 0 THEN 'infbench_sum_eng_shots2' WHEN 1 THEN 'recsys_' || (o_custkey % 3) WHEN 2 THEN 'icl_trec_fine_' || (o_custkey % 2) WHEN 3 THEN 'detective_qa' ELSE 'detective_qa_2' END AS source FROM orders)
+SELECT source, CASE WHEN source = 'infbench_sum_eng_shots2' THEN 'F1-Score' WHEN source LIKE 'recsys%' THEN 'Recall@5' ELSE 'Accuracy' END AS shown,
+  CASE WHEN source = 'infbench_sum_eng_shots2' THEN 'InfinityBench-Sum' WHEN source LIKE 'recsys%' THEN 'Movie Recommendation' WHEN source LIKE 'icl%' THEN 'TREC Fine' WHEN source = 'detective_qa' THEN 'Detective QA' ELSE source END AS dataset, count(*) AS n FROM s GROUP BY 1, 2, 3""")
 def metric_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The metric that each source reports, by its printed name."""
-    k = F.col("o_orderkey") % 20
-    source = F.when(k == 0, "infbench_sum_eng").when(k == 1, "recsys_movies").otherwise("ruler")
-    return table(spark, sf_dir, "orders").select(k.alias("source"), C.display_name(C.primary_metric(source)).alias("shown")).groupBy("source", "shown").agg(F.count("*").alias("n"))
+    """The data set and the metric that each source reports, by their printed names."""
+    k, c = F.col("o_orderkey") % 5, F.col("o_custkey")
+    source = F.when(k == 0, "infbench_sum_eng_shots2").when(k == 1, F.concat(F.lit("recsys_"), c % 3)).when(k == 2, F.concat(F.lit("icl_trec_fine_"), c % 2)).when(k == 3, "detective_qa").otherwise("detective_qa_2")
+    return table(spark, sf_dir, "orders").select(source.alias("source"), C.display_name(C.primary_metric(source)).alias("shown"), C.dataset_name(source).alias("dataset")).groupBy("source", "shown", "dataset").agg(F.count("*").alias("n"))
