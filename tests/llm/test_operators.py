@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lorewell.llm import bpe, components, exact_dedup, graph_search, language_id, licenses, packing, sharding, simhash, substring_dedup, token_files, tokens
+from lorewell.llm import bpe, common, components, exact_dedup, graph_search, language_id, licenses, packing, sharding, simhash, substring_dedup, token_files, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, blk long, key string, part int"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -247,6 +247,15 @@ def test_perfect_hash_is_minimal():
         assert sorted(h.slots(keys).tolist()) == list(range(len(keys)))
 
 
+def test_hot_keys_are_spread(spark):
+    rows = spark.createDataFrame([(i, "a" if i % 3 else f"k{i}") for i in range(200)] + [(999, None)], "i int, k string")
+    single = rows.groupBy("k").agg(F.max("i").alias("m"))
+    assert common.hot_keys(rows, "k", 10) == ["a"] and common.hot_keys(rows, "k") == []
+    for how in ("inner", "left"):
+        want = Counter(collected(rows.join(single, "k", how).select("i", "k", "m")))
+        assert Counter(collected(common.spread_join(rows, single, "k", how, hot=["a"]).select("i", "k", "m"))) == want
+
+
 def fingerprint(text, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     s = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [" ".join(w)] * bool(w)
