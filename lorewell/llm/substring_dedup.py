@@ -390,7 +390,7 @@ def _judged(docs: DataFrame, words: int, id_col: str, text_col: str, with_text:
         return pa.table(columns)
 
     def ask(sent: DataFrame, level: int) -> DataFrame:
-        return sent.groupBy("bucket").applyInArrow(_count_hashes if level < 3 else _compare_words(words), _ANSWER).withColumn("level", F.lit(level))
+        return sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_count_hashes if level < 3 else _compare_words(words), _ANSWER).withColumn("level", F.lit(level))
 
     by_block = lambda: texts.groupBy("_blk")
     kept = ask(by_block().applyInArrow(lambda t: count(1)(t), _SENT), 1)
