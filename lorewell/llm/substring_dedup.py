@@ -173,7 +173,8 @@ class _Distinct:
 
 class _Stretches:
     """The words of a block's candidate windows: stretches of windows that follow one another and share an anchor,
-    each distinct one once, ordered by bucket and first place: the same on every pass over the block."""
+    each distinct one once, ordered by their words: the same on every pass over the block, also where a shuffle hands
+    over the block's rows in another order."""
 
     def __init__(self, buckets: int, levels: _Levels, w: Words, places: np.ndarray):
         anchor, smallest = levels.anchors(w, places)
@@ -183,7 +184,7 @@ class _Stretches:
         n = np.diff(np.append(first, len(places)))
         text = w.raw.tobytes().translate(_TO_SPACE)
         #: of each distinct stretch its number of windows, how often it stands here, and its bucket
-        self.places, known, which, sizes, self.times, owner = places, {}, [], [], [], []
+        self.places, known, which, sizes, times, owner = places, {}, [], [], [], []
         for a, b, k, bucket in zip(w.starts[places[first]].tolist(), w.ends[places[first] + n + levels.words - 2].tolist(), n.tolist(), _bucket(smallest[first], buckets).tolist(), strict=True):
             words = text[a:b]
             if b"  " in words:
@@ -191,16 +192,20 @@ class _Stretches:
             at = known.setdefault(words, len(known))
             if at == len(sizes):
                 sizes.append(k)
-                self.times.append(0)
+                times.append(0)
                 owner.append(bucket)
-            self.times[at] += 1
+            times[at] += 1
             which.append(at)
-        self.words, self.by_bucket = list(known), {}
-        for i, bucket in enumerate(owner):
-            self.by_bucket.setdefault(bucket, []).append(i)
-        self.sizes, self.ends = np.array(sizes, np.int64), np.cumsum(sizes, dtype=np.int64)
+        words, self.by_bucket = list(known), {}
+        order = sorted(range(len(words)), key=words.__getitem__)
+        for i, at in enumerate(order):
+            self.by_bucket.setdefault(owner[at], []).append(i)
+        self.words, self.times = [words[at] for at in order], [times[at] for at in order]
+        order = np.array(order, np.int64)
+        self.sizes = np.array(sizes, np.int64)[order]
+        self.ends = np.cumsum(self.sizes)
         #: of each window its place among the distinct stretches' windows
-        which = np.array(which, np.int64)
+        which = np.argsort(order)[np.array(which, np.int64)]
         self.place = np.repeat((self.ends - self.sizes)[which], n) + np.arange(len(places)) - np.repeat(first, n) if len(places) else places
 
     def sent(self, block: int) -> pa.Table:
