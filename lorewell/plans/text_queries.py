@@ -169,5 +169,5 @@ SELECT item_id, n, alias FROM (
       SELECT item_id, unnest([0, 1, 2, 3]) AS n, unnest([w, upper(w), w || '!', w || ' extra']) AS alias FROM (SELECT item_id, split_part(text, ' ', 1) AS w FROM benchmark)))) WHERE r = 1""")
 def alias_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.split_part("text", F.lit(" "), F.lit(1))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.array(w, F.upper(w), F.concat(w, F.lit("!")), F.concat(w, F.lit(" extra")))).alias("n", "alias"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.array(w, X.simple_upper(w), F.concat(w, F.lit("!")), F.concat(w, F.lit(" extra")))).alias("n", "alias"))
     return b.groupBy("item_id", X.answer_plain(F.col("alias")).alias("norm")).agg(F.min(F.struct("n", "alias")).alias("x")).select("item_id", "x.n", "x.alias")

@@ -39,3 +39,20 @@ def test_equals_sql(spark, duck, sf_dir, name):
     assert sorted(at) == columns
     want = sorted(repr([plain(r[at[c]]) for c in columns]) for r in rel.fetchall())
     assert sorted(repr([plain(r[c]) for c in columns]) for r in df.collect()) == want
+
+
+def equals_sql_on(spark, path, name, table, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/{table}.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{path}/{table}.parquet/*.parquet'")
+    df = __spark_entry__.queries()[name](spark, str(path))
+    rel = con.sql(__spark_entry__.oracle_sql()[name]).select(*df.columns)
+    want = sorted(repr([plain(v) for v in r]) for r in rel.fetchall())
+    assert sorted(repr([plain(v) for v in r]) for r in df.collect()) == want
+
+
+def test_aliases_of_other_letters(spark, tmp_path):
+    """Letters whose other case is several letters, final sigma, marks, fractions, odd white space, no text."""
+    words = ["Erßie", "STRAẞE", "ŉa", "ﬁn", "ΐ", "ᾳ", "İstanbul", "ΣΑΣ", "ǅ", "ɤ", "\U00010d70", "e\u0301t", "\u0301", "x²½", "Ⓐb", "a\u00a0b", "a\x0bb", "a\u200db", "a\u203fb", "a_b", "!", ""]
+    rows = [(i, w and w + " and more") for i, w in enumerate([*words, None])]
+    equals_sql_on(spark, tmp_path, "alias_dedup", "benchmark", rows, "item_id long, text string")
