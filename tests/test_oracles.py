@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -64,3 +65,38 @@ def test_question_shapes_at_other_letters(spark, tmp_path):
     texts = [x.format(y) for x in shapes for y in ("do", "doñado", "éis", "i\u017f", "IS", "ıs", "İs", "do\u0301", "or", "ñor", "orñ", "do_", "do1", "do\u0661")]
     rows = [(i, n, t) for n in range(5) for i, t in enumerate([*texts, None])]
     equals_sql_on(spark, tmp_path, "question_shapes", "conversations", rows, "conv_id long, turn long, text string")
+
+
+def shuffled_rows(spark, df):
+    """Rows that the stages of a result write to shuffles."""
+    gateway = spark.sparkContext._gateway
+
+    def stages():
+        found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(found.apply, range(found.size()))}
+
+    before = stages()
+    df.write.format("noop").mode("overwrite").save()
+    return sum(n for s, n in stages().items() if s not in before)
+
+
+@pytest.fixture(scope="module")
+def many_vectors(spark, tmp_path_factory):
+    """2,000 vectors, 100 of which ask; a third are copies of one, so that ranks are decided by ids."""
+    path = tmp_path_factory.mktemp("vectors")
+    rng = random.Random(3)
+    one = [rng.gauss(0, 1) for _ in range(64)]
+    rows = [(i, one if i % 3 == 1 else [rng.gauss(0, 1) for _ in range(64)], i % 10) for i in range(2000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{path}/embeddings.parquet")
+    return str(path)
+
+
+#: Rows that may be shuffled over ``many_vectors``; there are 200,000 pairs of a question and a vector.
+@pytest.mark.parametrize("name, most", [("strict_hierarchy_topk", 10_000)])
+def test_pairs_are_not_shuffled(spark, many_vectors, name, most):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{many_vectors}/embeddings.parquet/*.parquet'")
+    df = __spark_entry__.queries()[name](spark, many_vectors)
+    want = con.sql(__spark_entry__.oracle_sql()[name]).select(*df.columns).fetchall()
+    assert sorted(repr([plain(v) for v in r]) for r in df.collect()) == sorted(repr([plain(v) for v in r]) for r in want)
+    assert shuffled_rows(spark, __spark_entry__.queries()[name](spark, many_vectors)) < most
