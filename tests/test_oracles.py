@@ -92,7 +92,7 @@ def many_vectors(spark, tmp_path_factory):
 
 
 #: Rows that may be shuffled over ``many_vectors``; there are 200,000 pairs of a question and a vector.
-@pytest.mark.parametrize("name, most", [("strict_hierarchy_topk", 10_000), ("prf_rocchio", 60_000), ("rerank_fusion", 20_000), ("soft_episode_score", 120_000)])
+@pytest.mark.parametrize("name, most", [("strict_hierarchy_topk", 10_000), ("prf_rocchio", 60_000), ("rerank_fusion", 20_000), ("soft_episode_score", 120_000), ("turn_selection", 200_000)])
 def test_pairs_are_not_shuffled(spark, many_vectors, name, most):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{many_vectors}/embeddings.parquet/*.parquet'")
@@ -100,3 +100,23 @@ def test_pairs_are_not_shuffled(spark, many_vectors, name, most):
     want = con.sql(__spark_entry__.oracle_sql()[name]).select(*df.columns).fetchall()
     assert sorted(repr([plain(v) for v in r]) for r in df.collect()) == sorted(repr([plain(v) for v in r]) for r in want)
     assert shuffled_rows(spark, __spark_entry__.queries()[name](spark, many_vectors)) < most
+
+
+def test_turns_of_alike_scores(spark, tmp_path):
+    """Turns so far behind that many ranks give one score, in episodes that are chosen all the same: the smaller turn goes first."""
+    rng = random.Random(5)
+
+    def vector(i):
+        near = i % 50 in (1, 3, 5)
+        angle = 0.01 * (i % 50) if i < 50 else 2.8 + 0.01 * (i % 50) if near else 0.02 * (i % 50)
+        return [math.cos(angle), math.sin(angle), round(rng.uniform(-0.3, 0.3), 2)]
+
+    ids = [*range(50), *range(51, 140_000, 2)]
+    spark.createDataFrame([(i, vector(i), 0) for i in ids], "vec_id long, embedding array<float>, label int").coalesce(2).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    df = __spark_entry__.queries()["turn_selection"](spark, str(tmp_path))
+    want = con.sql(__spark_entry__.oracle_sql()["turn_selection"]).select(*df.columns).fetchall()
+    assert sorted(repr([plain(v) for v in r]) for r in df.collect()) == sorted(repr([plain(v) for v in r]) for r in want)
+    # these episodes' turns take part, from places where scores are alike
+    assert any(r[df.columns.index("episode")] in (1, 3, 5) for r in want)
