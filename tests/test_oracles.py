@@ -92,7 +92,7 @@ def many_vectors(spark, tmp_path_factory):
 
 
 #: Rows that may be shuffled over ``many_vectors``; there are 200,000 pairs of a question and a vector.
-@pytest.mark.parametrize("name, most", [("strict_hierarchy_topk", 10_000), ("prf_rocchio", 60_000), ("rerank_fusion", 20_000), ("soft_episode_score", 120_000), ("turn_selection", 200_000)])
+@pytest.mark.parametrize("name, most", [("strict_hierarchy_topk", 10_000), ("prf_rocchio", 60_000), ("rerank_fusion", 20_000), ("soft_episode_score", 120_000), ("turn_selection", 200_000), ("linear_memory_rank", 10_000)])
 def test_pairs_are_not_shuffled(spark, many_vectors, name, most):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{many_vectors}/embeddings.parquet/*.parquet'")
@@ -120,3 +120,10 @@ def test_turns_of_alike_scores(spark, tmp_path):
     assert sorted(repr([plain(v) for v in r]) for r in df.collect()) == sorted(repr([plain(v) for v in r]) for r in want)
     # these episodes' turns take part, from places where scores are alike
     assert any(r[df.columns.index("episode")] in (1, 3, 5) for r in want)
+
+
+def test_sessions_are_scored_as_blocks(spark, many_vectors):
+    """Cosines come from matrix products, not from a join that folds two arrays for each pair of rows."""
+    plan = __spark_entry__.queries()["linear_memory_rank"](spark, many_vectors)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan
+    assert "zip_with" not in plan
