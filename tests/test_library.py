@@ -351,3 +351,17 @@ def test_registry(spark):
     names, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(names) and len(names) > 90
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_fused_ranks_by_counting(spark):
+    """Only the heads of two lists are ranked; every place they have in the whole lists is right, ties and gaps included."""
+    rng = np.random.default_rng(4)
+    lists = [{(q, int(i)): float(rng.integers(0, 60)) / 4 for q in (1, 2, 3) for i in rng.choice(900, 700 if q < 3 else 4, replace=False)} for _ in "ab"]
+    frames = [spark.createDataFrame([(q, i, s) for (q, i), s in x.items()], "question long, item long, score double") for x in lists]
+    got = {(r.question, r["rank"]): (r.item, r.score) for r in ranking.fused_top(frames, 900, 100, 10).collect()}
+    want = {}
+    for q in (1, 2, 3):
+        place = [{i: n for n, (_, i) in enumerate(sorted((-s, i) for (p, i), s in x.items() if p == q))} for x in lists]
+        scores = [(-round(sum(1 / (60 + x.get(i, 900)) for x in place), 9), i) for i in {*place[0], *place[1]}]
+        want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(sorted(scores)[:10])}
+    assert got == want
