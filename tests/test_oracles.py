@@ -92,7 +92,7 @@ def many_vectors(spark, tmp_path_factory):
 
 
 #: Rows that may be shuffled over ``many_vectors``; there are 200,000 pairs of a question and a vector.
-@pytest.mark.parametrize("name, most", [("strict_hierarchy_topk", 10_000), ("prf_rocchio", 60_000), ("rerank_fusion", 20_000), ("soft_episode_score", 120_000), ("turn_selection", 200_000), ("linear_memory_rank", 10_000)])
+@pytest.mark.parametrize("name, most", [("strict_hierarchy_topk", 10_000), ("prf_rocchio", 60_000), ("rerank_fusion", 20_000), ("soft_episode_score", 120_000), ("turn_selection", 200_000), ("linear_memory_rank", 10_000), ("coarse_to_fine", 60_000)])
 def test_pairs_are_not_shuffled(spark, many_vectors, name, most):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{many_vectors}/embeddings.parquet/*.parquet'")
